@@ -115,5 +115,7 @@ def id_number(uri: Column) -> Column:
     return F.regexp_extract(uri, r"[QP](\d+)>?$", 1).try_cast("bigint")
 
 
-def rounded(column: Column, digits: int = 6) -> Column:
-    return F.round(column, digits)
+def digits(name: str) -> int:
+    """Decimals shown of a double. Averages of microsecond gaps often end exactly between two sixth decimals of
+    a second, so times in seconds get fewer."""
+    return 3 if any(part in name for part in ("_sec", "time_between", "_time_bc_")) else 6

@@ -10,8 +10,13 @@ from editlore.session import Scale
 from editlore.vocabulary import SANDBOX_ENTITIES
 
 
+HASH_BITS = 52  # a double holds these exactly
+
+
 def hash_order(*identity: str, seed: int = 42) -> Column:
-    return F.xxhash64(*identity, F.lit(seed))
+    """A number that depends on the identity and the seed only; the same in any engine that knows MD5."""
+    digest = F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in identity), F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
 def no_sandboxes(df: DataFrame) -> DataFrame:
@@ -41,7 +46,7 @@ def _within_share(df: DataFrame, group: list[str], identity: list[str], share: f
 
     The cut-off is an exact quantile of the hashes, so large groups are neither sorted nor numbered as a whole.
     """
-    hashed = df.withColumn("_hash", F.pmod(hash_order(*identity, seed=seed), F.lit(2**52)).cast("double"))
+    hashed = df.withColumn("_hash", hash_order(*identity, seed=seed).cast("double"))
     cuts = quantile_columns(hashed, group, {"_cut": F.col("_hash")}, [share], scale)
     return hashed.join(cuts, group).withColumn("_within", F.col("_hash") <= F.col("_cut")[0]).drop("_hash", "_cut")
 

@@ -6,7 +6,7 @@ from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
@@ -54,12 +54,22 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("weight", weight)
 
 
+class PositiveF1(Evaluator):
+    """F1 of class 1; 0 where a fold has no such rows, as a rare class may miss from one."""
+
+    def __init__(self, label: str):
+        super().__init__()
+        self.label = label
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        return binary_metrics(dataset, self.label, "prediction", []).first()["f1"]
+
+
 def forest_search(label: str, grid: dict[str, list], folds: int = 3, parallelism: int = 4, seed: int = 42) -> CrossValidator:
     """Weighted random forest, all combinations of ``grid``, chosen by F1 of class 1."""
     forest = RandomForestClassifier(labelCol=label, featuresCol="features", weightCol="weight", seed=seed)
     combinations = [{forest.getParam(k): v for k, v in zip(grid, values)} for values in product(*grid.values())]
-    f1 = MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0)
-    return CrossValidator(estimator=forest, estimatorParamMaps=combinations, evaluator=f1, numFolds=folds,
+    return CrossValidator(estimator=forest, estimatorParamMaps=combinations, evaluator=PositiveF1(label), numFolds=folds,
                           parallelism=parallelism, seed=seed)
 
 
