@@ -1,14 +1,14 @@
 """Ordered scans over keyed logs: previous / next row, running totals, latest value so far.
 
-A window per key puts a whole key into one task. That is fine while no key can be large, and it is the
-plan used then. Beyond that, keys above the limit are cut into time slices: windows run inside a slice,
-every slice is summed up in one row, and a scan over those few rows carries totals, first and last rows
-across the slice borders. The result is the same, and no task ever holds more than about one slice.
+A window per key puts a whole key into one task. That is the plan for all keys within the limit. Larger keys, if
+the log has any, are cut into time slices: windows run inside a slice, every slice is summed up in one row, and a
+scan over those few rows carries totals, first and last rows across the slice borders. The result is the same, and
+no task ever holds more than about one slice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -49,8 +49,8 @@ class Latest:
 
 
 @dataclass(frozen=True)
-class Least:
-    """The smallest value of the whole group."""
+class First:
+    """The value on the first row of the group."""
 
     value: Column
 
@@ -62,7 +62,8 @@ class Total:
     value: Column
 
 
-Measure = Before | After | Running | Latest | Least | Total
+Measure = Before | After | Running | Latest | First | Total
+Scan = Callable[..., DataFrame]
 
 
 def row_number() -> Running:
@@ -77,9 +78,34 @@ def ordered_scan(
     order: Sequence[str] = TIMELINE,
 ) -> DataFrame:
     """Add one column per measure, computed per ``keys`` group in ``order`` (first column: a timestamp)."""
-    if scale.fits:
-        return df.select("*", *(_in_window(m, keys, order).alias(name) for name, m in measures.items()))
-    return _scan_in_slices(materialise(df), list(keys), measures, scale, list(order))
+    return by_heat(df, keys, scale, lambda part, scan: scan(part, keys, measures, order))
+
+
+def by_heat(df: DataFrame, keys: Sequence[str], scale: Scale, plan: Callable[[DataFrame, Scan], DataFrame]) -> DataFrame:
+    """Apply ``plan`` to ``df``, handing it the scan that suits the groups of ``keys``.
+
+    Without hot groups that is one plan over all rows. Otherwise rows of hot groups, and only those, are planned
+    with slices. ``plan`` may scan repeatedly by ``keys`` and by keys that refine them.
+    """
+    level = scale.level(keys)
+    hot = scale.hot(level) if level else None
+    if hot is None:
+        return plan(df, scan_in_windows)
+    df = materialise(df)
+    cold = df.join(F.broadcast(hot), list(level), "left_anti")
+    warm = materialise(df.join(F.broadcast(hot), list(level), "left_semi"))
+    every = max(scale.limit // 4, 1)
+    return plan(cold, scan_in_windows).unionByName(
+        plan(warm, lambda part, keys, measures, order=TIMELINE: scan_in_slices(part, keys, measures, order, every)))
+
+
+def colocated(part: DataFrame, keys: Sequence[str], scan: Scan) -> DataFrame:
+    """Shuffle rows without hot groups by ``keys`` once; all scans by finer keys that follow need no shuffle."""
+    return part.repartition(*keys) if scan is scan_in_windows else part
+
+
+def scan_in_windows(df: DataFrame, keys: Sequence[str], measures: dict[str, Measure], order: Sequence[str] = TIMELINE) -> DataFrame:
+    return df.select("*", *(_in_window(m, keys, order).alias(name) for name, m in measures.items()))
 
 
 def _in_window(measure: Measure, keys: Sequence[str], order: Sequence[str]) -> Column:
@@ -95,17 +121,19 @@ def _in_window(measure: Measure, keys: Sequence[str], order: Sequence[str]) -> C
             return F.sum(F.coalesce(value, F.lit(0))).over(so_far)
         case Latest(value):
             return F.last(value, ignorenulls=True).over(so_far)
-        case Least(value):
-            return F.min(value).over(group)
+        case First(value):
+            return F.first(value).over(so_far)
         case Total(value):
             return F.sum(F.coalesce(value, F.lit(0))).over(group)
 
 
-def _scan_in_slices(
-    df: DataFrame, keys: list[str], measures: dict[str, Measure], scale: Scale, order: list[str]
+def scan_in_slices(
+    df: DataFrame, keys: Sequence[str], measures: dict[str, Measure], order: Sequence[str], every: int
 ) -> DataFrame:
+    """As ``scan_in_windows``, with about ``every`` rows of a group per task."""
+    keys, order = list(keys), list(order)
     columns = df.columns
-    sliced = materialise(_with_slices(df, keys, order, scale))
+    sliced = materialise(_with_slices(df, keys, order, every))
     at = F.struct(*order)
 
     # Inside a slice the previous and next row are wrapped, so that "no row" differs from "row with NULL".
@@ -116,11 +144,7 @@ def _scan_in_slices(
     }
     local = sliced.select(*columns, "_slice", *inner.values())
 
-    borders = (
-        sliced.filter(F.col("_slice").isNotNull())
-        .groupBy(*keys, "_slice")
-        .agg(*(_summary(m, at).alias(f"_b_{name}") for name, m in measures.items()))
-    )
+    borders = sliced.groupBy(*keys, "_slice").agg(*(_summary(m, at).alias(f"_b_{name}") for name, m in measures.items()))
     group = Window.partitionBy(*keys)
     line = group.orderBy("_slice")
     earlier = line.rowsBetween(Window.unboundedPreceding, -1)
@@ -132,28 +156,21 @@ def _scan_in_slices(
         *columns, *(_combine(m, F.col(name), F.col(f"_c_{name}")).alias(name) for name, m in measures.items()))
 
 
-def _with_slices(df: DataFrame, keys: list[str], order: list[str], scale: Scale) -> DataFrame:
-    """Add ``_slice``: NULL in groups within the limit, else an ordered (day, cut) pair.
+def _with_slices(df: DataFrame, keys: list[str], order: list[str], every: int) -> DataFrame:
+    """Add ``_slice``, an ordered (day, cut) pair.
 
-    Cuts are the rows whose hash falls into one of ``every`` classes, so a slice holds about ``every``
-    rows however the rows crowd in time. Both lookup tables have a size bound (see MAX_HOT_GROUPS).
+    Cuts are the rows whose hash falls into one of ``every`` classes, so a slice holds about ``every`` rows however
+    the rows crowd in time. There are about rows / ``every`` cuts, which the limit keeps few enough to broadcast.
     """
-    every = max(scale.limit // 4, 1)
     at = F.struct(*order)
-    day = F.unix_date(F.to_date(F.col(order[0])))
-    hot = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > scale.limit).select(*keys, F.lit(True).alias("_hot"))
-    )
-    marked = df.join(F.broadcast(hot), list(keys), "left").withColumn("_day", F.when(F.col("_hot"), day))
+    dated = df.withColumn("_day", F.unix_date(F.to_date(F.col(order[0]))))
     cuts = (
-        marked.filter(F.col("_hot") & (F.pmod(F.xxhash64(*order), F.lit(every)) == 0))
+        dated.filter(F.pmod(F.xxhash64(*order), F.lit(every)) == 0)
         .groupBy(*keys, "_day").agg(F.sort_array(F.collect_set(at)).alias("_cuts"))
     )
-    found = marked.join(F.broadcast(cuts), [*keys, "_day"], "left")
+    found = dated.join(F.broadcast(cuts), [*keys, "_day"], "left")
     passed = F.coalesce(F.size(F.filter("_cuts", lambda cut: cut <= at)), F.lit(0))
-    return found.withColumn("_slice", F.when(F.col("_hot"), F.struct(F.col("_day"), passed.alias("cut")))).select(
-        *df.columns, "_slice")
+    return found.select(*df.columns, F.struct("_day", passed.alias("cut")).alias("_slice"))
 
 
 def _summary(measure: Measure, at: Column) -> Column:
@@ -166,8 +183,8 @@ def _summary(measure: Measure, at: Column) -> Column:
             return F.sum(F.coalesce(value, F.lit(0)))
         case Latest(value):
             return F.max_by(value, F.when(value.isNotNull(), at))
-        case Least(value):
-            return F.min(value)
+        case First(value):
+            return F.min_by(F.struct(value.alias("v")), at)
 
 
 def _carry(measure: Measure, border: Column, group, line, earlier) -> Column:
@@ -180,8 +197,8 @@ def _carry(measure: Measure, border: Column, group, line, earlier) -> Column:
             return F.sum(border).over(earlier)
         case Latest():
             return F.last(border, ignorenulls=True).over(earlier)
-        case Least():
-            return F.min(border).over(group)
+        case First():
+            return F.first(border).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         case Total():
             return F.sum(border).over(group)
 
@@ -194,8 +211,10 @@ def _combine(measure: Measure, local: Column, carried: Column) -> Column:
             return local + F.coalesce(carried, F.lit(0))
         case Latest():
             return F.coalesce(local, carried)
-        case Least() | Total():
-            return F.coalesce(carried, local)
+        case First():
+            return carried["v"]
+        case Total():
+            return carried
 
 
 def overlay(
@@ -213,10 +232,5 @@ def overlay(
     """
     lanes = changes.withColumn("_lane", F.lit(1)).unionByName(
         events.withColumn("_lane", F.lit(0)), allowMissingColumns=True)
-    scanned = ordered_scan(lanes, keys, measures, _doubled(scale), ("timestamp", "_lane", "revision_id"))
+    scanned = ordered_scan(lanes, keys, measures, scale, ("timestamp", "_lane", "revision_id"))
     return scanned.filter(F.col("_lane") == 1).select(*changes.columns, *measures)
-
-
-def _doubled(scale: Scale) -> Scale:
-    """Bound for a union: interval borders count twice, changes once, and up to three event logs meet."""
-    return Scale(rows=scale.rows * 6, group_rows=scale.group_rows, broadcast_rows=scale.broadcast_rows)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from editlore.session import Scale, materialise
+from editlore.session import Scale, hot_groups, materialise
 
 
 def quantile_columns(
@@ -24,15 +24,24 @@ def quantile_columns(
     linear interpolation between the two neighbouring ranks.
     """
     keys = list(keys)
-    if scale.fits:
+    names = list(extra)
+
+    def in_buffers(part: DataFrame) -> DataFrame:
         wanted = F.array(*(F.lit(float(f)) for f in fractions))
-        return df.groupBy(*keys).agg(
-            *extra, *(F.percentile(value, wanted).alias(name) for name, value in measures.items()))
-    source = materialise(df)
-    found = _by_rank(source, keys, measures, fractions, scale)
-    totals = source.groupBy(*keys).agg(*(extra or [F.count(F.lit(1)).alias("_n")]))
-    kept = [c for c in totals.columns if c != "_n"]
-    return totals.select(*kept).join(found, keys, "left")
+        return part.groupBy(*keys).agg(*names, *(F.percentile(value, wanted).alias(name) for name, value in measures.items()))
+
+    if scale.fits:
+        return in_buffers(df)
+    level = scale.level(keys)
+    df = df if level else materialise(df)
+    hot = scale.hot(level) if level else hot_groups(df, keys, scale.limit)
+    if hot is None:
+        return in_buffers(df)
+    on = list(level or keys)
+    warm = materialise(df.join(F.broadcast(hot), on, "left_semi"))
+    totals = warm.groupBy(*keys).agg(*(names or [F.count(F.lit(1)).alias("_n")]))
+    found = totals.select(*(c for c in totals.columns if c != "_n")).join(_by_rank(warm, keys, measures, fractions, scale), keys, "left")
+    return in_buffers(df.join(F.broadcast(hot), on, "left_anti")).unionByName(found)
 
 
 def _by_rank(

@@ -9,7 +9,9 @@ from editlore.functions.columns import (
     change_type_flags, change_type_list, comment_has_keyword, days_between, empty_object_to_null, flag, share_or_zero,
     time_of_day, time_of_week, whole_days,
 )
-from editlore.operators.ordered import STATEMENT, After, Before, Latest, Least, Running, ordered_scan, overlay, row_number
+from editlore.operators.ordered import (
+    STATEMENT, After, Before, First, Latest, Running, Scan, by_heat, colocated, ordered_scan, overlay, row_number,
+)
 from editlore.session import Scale
 from editlore.vocabulary import (
     BASE_COLUMNS, CHANGE_TYPES, ENTITY_DATATYPES, IMPORTED_FROM_WIKIPEDIA, NO_NEXT_EDIT_DAYS, UNKNOWN_VALUES, USER_TYPES,
@@ -90,6 +92,23 @@ def single_change_features(changes: DataFrame, model: DataFrame, prop_ref_rate:
     return with_editor_and_property(with_next_edit(changes, scale), model, prop_ref_rate)
 
 
+def with_replaced_values(changes: DataFrame, scale: Scale) -> DataFrame:
+    """Changes together with what they replaced: the value, datatype and label before them.
+
+    Rows stay placed by statement for the scans that usually follow.
+    """
+    def plan(part: DataFrame, scan: Scan) -> DataFrame:
+        return scan(colocated(part, STATEMENT, scan), [*STATEMENT, "change_target"],
+                    {"_old": Before(F.struct("new_value", "new_datatype", "new_value_label"))})
+
+    told = by_heat(changes, STATEMENT, scale, plan)
+    return told.select(
+        *changes.columns,
+        F.coalesce(F.col("_old.new_value"), F.lit("{}")).alias("old_value"),
+        F.col("_old.new_datatype").alias("old_datatype"),
+        F.col("_old.new_value_label").alias("old_value_label"))
+
+
 def expected_datatypes(changes: DataFrame) -> DataFrame:
     """The most frequent datatype of each property, the smallest on ties. Counting first keeps groups small."""
     counted = changes.groupBy("property_id", F.coalesce("new_datatype", F.lit("")).alias("_type")).agg(
@@ -118,20 +137,21 @@ def running_history(changes: DataFrame, scale: Scale) -> DataFrame:
         "num_changes_wd_values": Running(unknown),
         "_previous": Before(at),
         "_next": After(at),
-        "_first": Least(at),
+        "_first": First(at),
         "_next_action": After(F.col("action")),
         **{f"_n_{t}": Running(_is(F.col("user_type") == t)) for t in USER_TYPES},
         **{f"num_{t}": Running(F.col(t)) for t in CHANGE_TYPES},
     }
-    scanned = ordered_scan(changes, STATEMENT, measures, scale)
-
-    seen = ordered_scan(scanned.withColumn("_value", F.coalesce("new_value", F.lit(""))), [*STATEMENT, "_value"],
-                        {"_same_value": row_number()}, scale)
-    met = ordered_scan(seen.withColumn("_user", F.coalesce("user_id", F.lit(-1))), [*STATEMENT, "_user"],
-                       {"_of_user": row_number()}, scale)
     is_new_user = _is((F.col("_of_user") == 1) & F.col("user_id").isNotNull())
-    counted = ordered_scan(met, STATEMENT, {"num_unique_registered_users": Running(is_new_user)}, scale)
 
+    def plan(part: DataFrame, scan: Scan) -> DataFrame:
+        scanned = scan(part, STATEMENT, measures).withColumns({
+            "_value": F.coalesce("new_value", F.lit("")), "_user": F.coalesce("user_id", F.lit(-1))})
+        seen = scan(scanned, [*STATEMENT, "_value"], {"_same_value": row_number()})
+        met = scan(seen, [*STATEMENT, "_user"], {"_of_user": row_number()})
+        return scan(met, STATEMENT, {"num_unique_registered_users": Running(is_new_user)})
+
+    counted = by_heat(changes, STATEMENT, scale, plan)
     total = F.col("total_changes_up_to_t")
     return counted.select(
         *changes.columns,

@@ -9,8 +9,10 @@ from editlore.functions.columns import (
     MICROS_PER_DAY, canonical_label, change_type_flags, change_type_list, comment_has_keyword, count_where, days_between, flag,
     micros_between, share, time_of_day, time_of_week, whole_days,
 )
-from editlore.operators.ordered import STATEMENT, After, Before, Least, Running, Total, ordered_scan, row_number
-from editlore.plans.history import spread_left_join
+from editlore.operators.ordered import (
+    STATEMENT, After, Before, First, Running, Scan, Total, by_heat, ordered_scan, row_number,
+)
+from editlore.plans.history import spread_left_join, with_replaced_values
 from editlore.session import Scale
 from editlore.vocabulary import CHANGE_TYPES, DUMP_TIME, REJECTION_DAYS, TRAINING_CUTOFF
 
@@ -46,15 +48,22 @@ def features_for(group: str) -> tuple[list[str], list[str], list[str]]:
     return kept(NUMERICAL), kept(CATEGORICAL), kept(BINARY)
 
 
-def change_sample(value_change: DataFrame, revision: DataFrame, entity_stats: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Changes (values and ranks) with their editor, entity statistics and property type."""
+def change_sample(
+    value_change: DataFrame, revision: DataFrame, entity_stats: DataFrame, catalogue: DataFrame, model: DataFrame, scale: Scale
+) -> DataFrame:
+    """Changes (values and ranks) with the values they replaced, their editor, entity statistics and property type.
+
+    Everything is joined before the changes are placed by statement, so no later step has to move them again.
+    """
     entities = entity_stats.select("entity_id", *ENTITY_COLUMNS).withColumnsRenamed({c: f"entity_{c}" for c in ENTITY_COLUMNS})
     editors = revision.select("revision_id", "user_id", "username", "user_type", "comment")
-    return (
+    joined = (
         value_change.join(editors, "revision_id")
         .join(entities, "entity_id")
         .join(catalogue.select("property_id", F.nullif("property_type", F.lit("")).alias("property_type")), "property_id", "left")
     )
+    first_edits = model.select("user_id", F.col("first_edit").alias("user_first_edit"))
+    return with_replaced_values(spread_left_join(joined, first_edits, "user_id", "revision_id"), scale)
 
 
 def _labels() -> Column:
@@ -63,7 +72,7 @@ def _labels() -> Column:
     return change_type_list(F.when(updated, F.col("change_type")), canonical_label(F.col("label")))
 
 
-def predictor_features(sample: DataFrame, model: DataFrame, scale: Scale, before_t: bool = False) -> DataFrame:
+def predictor_features(sample: DataFrame, scale: Scale, before_t: bool = False) -> DataFrame:
     """All predictor features beside the sampled changes.
 
     ``before_t`` counts unreverted edits without the current one, so that the count does not give the label away.
@@ -73,14 +82,16 @@ def predictor_features(sample: DataFrame, model: DataFrame, scale: Scale, before
     prepared = sample.withColumns({
         "change_target": F.coalesce("change_target", F.lit("")), "_labels": _labels(),
         "_value": F.coalesce("new_value", F.lit("")), "_clean": clean})
-    scanned = ordered_scan(prepared, STATEMENT, {
-        "total_changes_up_to_t": row_number(), "_clean_so_far": Running(F.col("_clean")), "_previous": Before(at),
-        "_first": Least(at), "_previous_action": Before(F.col("action"))}, scale)
-    seen = ordered_scan(scanned, [*STATEMENT, "_value"], {"_same_value": row_number()}, scale)
-    aged = spread_left_join(seen, model.select("user_id", "first_edit"), "user_id", "revision_id")
 
+    def plan(part: DataFrame, scan: Scan) -> DataFrame:
+        scanned = scan(part, STATEMENT, {
+            "total_changes_up_to_t": row_number(), "_clean_so_far": Running(F.col("_clean")), "_previous": Before(at),
+            "_first": First(at), "_previous_action": Before(F.col("action"))})
+        return scan(scanned, [*STATEMENT, "_value"], {"_same_value": row_number()})
+
+    seen = by_heat(prepared, STATEMENT, scale, plan)
     last = F.col("entity_last_revision_timestamp")
-    return aged.select(
+    return seen.select(
         *[c for c in prepared.columns if not c.startswith("_")],
         *change_type_flags(F.col("_labels")),
         time_of_day(at).alias("time_of_day"), time_of_week(at).alias("time_of_week"),
@@ -97,7 +108,7 @@ def predictor_features(sample: DataFrame, model: DataFrame, scale: Scale, before
         *(share(F.col(part), F.col(whole)).alias(name) for name, (part, whole) in ENTITY_SHARES.items()),
         whole_days(at, last).alias("time_to_last_edit_of_entity_at_t"),
         flag(micros_between(F.lit(DUMP_TIME).cast("timestamp"), last) > 365 * MICROS_PER_DAY).alias("entity_abandoned"),
-        F.when(F.col("user_type") != "anonymous", whole_days(at, F.col("first_edit"))).otherwise(F.lit(0)).alias("user_age_days"))
+        F.when(F.col("user_type") != "anonymous", whole_days(at, F.col("user_first_edit"))).otherwise(F.lit(0)).alias("user_age_days"))
 
 
 def with_groups(df: DataFrame, cutoff: str = TRAINING_CUTOFF) -> DataFrame:

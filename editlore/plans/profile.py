@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from editlore.functions.columns import count_where, micros_between, share, whole_days
-from editlore.operators.ordered import STATEMENT, Before, Least, ordered_scan
+from editlore.operators.ordered import STATEMENT, Before, First, ordered_scan
 from editlore.operators.quantiles import quantile_columns
 from editlore.session import Scale
 from editlore.vocabulary import CLOSE_IN_TIME_SECONDS, PSEUDO_PROPERTIES, TEMPORAL_QUALIFIERS
@@ -66,7 +66,7 @@ def _with_gaps(small: DataFrame, keys: tuple[str, ...], scale: Scale) -> DataFra
     """Activity rows with the gap to the row before and the age since the first one, in microseconds."""
     scanned = ordered_scan(
         small.filter("is_overall_activity").select("revision_id", *STATEMENT, "timestamp", "action"), keys,
-        {"_previous": Before(F.col("timestamp")), "_first": Least(F.col("timestamp"))}, scale)
+        {"_previous": Before(F.col("timestamp")), "_first": First(F.col("timestamp"))}, scale)
     gap = micros_between(F.col("timestamp"), F.col("_previous"))
     age = F.when(F.col("_previous").isNotNull(), micros_between(F.col("timestamp"), F.col("_first")))
     return scanned.select(*STATEMENT, "action", gap.alias("gap"), age.alias("age"))

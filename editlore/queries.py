@@ -19,7 +19,6 @@ from editlore.sources.files import active_entities, sparql_bindings
 # A small search keeps the registered model queries short; the full grids are the defaults of ``classify``.
 SHORT_GRID = {"numTrees": [20], "maxDepth": [5], "minInstancesPerNode": [1], "featureSubsetStrategy": ["sqrt"]}
 SHORT_FOLDS = 2
-DOCUMENT = "concat('{\"results\":{\"bindings\":[', bindings, ']}}')"
 
 
 class Analyses(Tables):
@@ -82,8 +81,9 @@ class Analyses(Tables):
     def edited_values(self) -> DataFrame:
         """Value changes with their editor and comment: the input of the change features."""
         editors = self.log.revision.select("revision_id", "user_id", "username", "user_type", "comment")
+        edited = self.log.value_change.filter("change_target = ''").join(editors, "revision_id")
         values = {c: empty_object_to_null(F.col(c)) for c in ("old_value", "new_value")}
-        return self.log.value_change.filter("change_target = ''").withColumns(values).join(editors, "revision_id")
+        return history.with_replaced_values(edited, self.scale).withColumns(values)
 
     @cached_property
     def feature_table(self) -> DataFrame:
@@ -92,8 +92,9 @@ class Analyses(Tables):
 
     @cached_property
     def predictor_features(self) -> DataFrame:
-        sample = predictor.change_sample(self.log.value_change, self.log.revision, self.log.entity_stats, self.properties)
-        return predictor.predictor_features(sample, self.model, self.scale)
+        sample = predictor.change_sample(self.log.value_change, self.log.revision, self.log.entity_stats, self.properties,
+                                         self.model, self.scale)
+        return predictor.predictor_features(sample, self.scale)
 
     @cached_property
     def labelled(self) -> DataFrame:
@@ -145,12 +146,11 @@ def _inference(a: Analyses) -> DataFrame:
 
 
 def _link_results(a: Analyses) -> DataFrame:
-    """sameAs links, packed into SPARQL JSON documents (one per subject) and read back."""
-    packed = graph.edges(a.triples, "owl:sameAs", "dbpedia", "wikidata").groupBy("dbpedia").agg(
-        F.array_join(F.array_sort(F.collect_list(F.to_json(F.struct(
-            F.struct(F.col("dbpedia").alias("value")).alias("dbpedia"),
-            F.struct(F.col("wikidata").alias("value")).alias("wikidata"))))), ",").alias("bindings"))
-    return sparql_bindings(packed.select(F.expr(DOCUMENT).alias("json")), "json", ["dbpedia", "wikidata"])
+    """sameAs links as SPARQL JSON documents, read back into rows."""
+    links = graph.edges(a.triples, "owl:sameAs", "dbpedia", "wikidata")
+    binding = F.to_json(F.struct(*(F.struct(F.col(v).alias("value")).alias(v) for v in ("dbpedia", "wikidata"))))
+    documents = links.select(F.format_string('{"results":{"bindings":[%s]}}', binding).alias("json"))
+    return sparql_bindings(documents, "json", ["dbpedia", "wikidata"])
 
 
 def _property_prompts(a: Analyses) -> DataFrame:
@@ -172,7 +172,7 @@ def _length_scorer():
 
 
 ANALYSES: dict[str, Callable[[Analyses], DataFrame]] = {
-    "change_log": lambda a: a.log.value_change,
+    "change_log": lambda a: history.with_replaced_values(a.log.value_change, a.scale),
     "small_table": lambda a: a.small,
     "entity_prop_overall_activity": lambda a: profile.overall_activity(a.small, a.scale),
     "entity_prop_distinct_val_change": lambda a: profile.distinct_value_profile(a.log.value_change, a.log.revision),

@@ -2,46 +2,62 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 GROUP_ROWS_CONF = "editlore.group.rows"
-BROADCAST_ROWS_CONF = "editlore.broadcast.rows"
+GROUP_ROWS = 4_000_000  # rows of one group that one task may hold
 
-# Hot keys and their slices stay small enough to broadcast: a log has at most this many groups
-# above the limit, whatever its size.
+# The limit grows with the log, so that it has at most this many groups above it: their keys can be broadcast.
 MAX_HOT_GROUPS = 20_000
 
 
-@dataclass(frozen=True)
 class Scale:
-    """How large a log is, and how much of one group a single task may hold.
+    """How large a change log is, and which of its groups are too large for one task.
 
-    ``rows`` bounds the rows of every log of a change log (values, references, qualifiers).
-    A log that fits into ``group_rows`` cannot contain a larger group, so plain windows are safe.
+    A log that fits into the limit as a whole cannot contain a larger group; nothing is counted then. For a larger
+    log the rows of each group are counted once per key (a narrow scan with map-side combine), and the few groups
+    above the limit are kept as a table with at most ``MAX_HOT_GROUPS`` rows.
     """
 
-    rows: int
-    group_rows: int = 4_000_000
-    broadcast_rows: int = 200_000
+    LEVELS = (("entity_id", "property_id", "value_id"), ("entity_id", "property_id"), ("entity_id",))
 
-    @property
-    def limit(self) -> int:
-        return max(self.group_rows, self.rows // MAX_HOT_GROUPS)
+    def __init__(self, rows: int, group_rows: int = GROUP_ROWS, logs: DataFrame | None = None):
+        """``logs``: key columns and ``weight`` of all rows that may meet in one scan; needed above the limit only."""
+        self.rows = rows
+        self.limit = max(group_rows, rows // MAX_HOT_GROUPS)
+        self._logs = logs
+        self._hot: dict[tuple[str, ...], DataFrame | None] = {}
 
     @property
     def fits(self) -> bool:
         return self.rows <= self.limit
 
+    def level(self, keys: Sequence[str]) -> tuple[str, ...] | None:
+        """The finest key of the log that ``keys`` refine: groups of ``keys`` are no larger than its groups."""
+        return next((level for level in self.LEVELS if set(level) <= set(keys)), None)
+
+    def hot(self, level: tuple[str, ...]) -> DataFrame | None:
+        """Keys of the groups above the limit, None if there are none."""
+        if self.fits:
+            return None
+        if level not in self._hot:
+            self._hot[level] = hot_groups(self._logs, level, self.limit, F.sum("weight"))
+        return self._hot[level]
+
     @classmethod
-    def of(cls, spark: SparkSession, rows: int) -> Scale:
-        return cls(
-            rows=rows,
-            group_rows=int(spark.conf.get(GROUP_ROWS_CONF, str(cls.group_rows))),
-            broadcast_rows=int(spark.conf.get(BROADCAST_ROWS_CONF, str(cls.broadcast_rows))),
-        )
+    def configured(cls, spark: SparkSession, rows: int, logs: DataFrame | None = None) -> Scale:
+        return cls(rows, int(spark.conf.get(GROUP_ROWS_CONF, str(GROUP_ROWS))), logs)
+
+
+def hot_groups(df: DataFrame, keys: Sequence[str], limit: int, size: Column | None = None) -> DataFrame | None:
+    """Keys of the groups with more than ``limit`` rows, None if there are none."""
+    counted = df.groupBy(*keys).agg((F.count(F.lit(1)) if size is None else size).alias("_n"))
+    found = materialise(counted.filter(F.col("_n") > limit).select(*keys))
+    return None if found.isEmpty() else found
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -60,6 +76,15 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread_shuffles(spark: SparkSession, rows: int) -> None:
+    """Start shuffles of large logs with enough partitions (about a million rows each); adaptive execution merges
+    small ones again. Small logs and sessions that chose a number themselves stay as they are."""
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    wanted = min(rows // 1_000_000, 100_000)
+    if spark.conf.get(key, None) is None and wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(key, str(wanted))
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once for several readers.
 
