@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from editlore.functions.columns import flag, json_text
-from editlore.operators.ordered import STATEMENT, After, Latest, Running, ordered_scan, overlay
+from editlore.operators.ordered import STATEMENT, After, Latest, Running, ordered_scan, overlay, placed
 from editlore.session import Scale
 from editlore.vocabulary import DEPRECATION_REASON, PSEUDO_PROPERTIES, UNRELIABLE_SOURCE
 
@@ -29,7 +29,7 @@ def rank_intervals(value_change: DataFrame, scale: Scale) -> DataFrame:
 
 
 def qualifier_intervals(qualifier_change: DataFrame, scale: Scale) -> DataFrame:
-    values = qualifier_change.select(
+    values = placed(qualifier_change, STATEMENT, scale).select(
         "revision_id", *STATEMENT, "qual_property_id", "value_hash", "timestamp", json_text(F.col("new_value")).alias("qual_value"))
     return build_intervals(values, (*STATEMENT, "qual_property_id", "value_hash"), "qual_value", scale)
 
@@ -39,7 +39,7 @@ def reference_intervals(reference_change: DataFrame, scale: Scale, drop_deletes:
 
     Removals open intervals too unless ``drop_deletes`` is set.
     """
-    attributes = reference_change.select(
+    attributes = placed(reference_change, STATEMENT, scale).select(
         "revision_id", *STATEMENT, "ref_hash", "timestamp", "action", "ref_property_id", json_text(F.col("new_value")).alias("v"))
     whole = (
         attributes.groupBy("revision_id", *STATEMENT, "ref_hash", "timestamp", "action", "ref_property_id")

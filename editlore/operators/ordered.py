@@ -99,9 +99,12 @@ def by_heat(df: DataFrame, keys: Sequence[str], scale: Scale, plan: Callable[[Da
         plan(warm, lambda part, keys, measures, order=TIMELINE: scan_in_slices(part, keys, measures, order, every)))
 
 
-def colocated(part: DataFrame, keys: Sequence[str], scan: Scan) -> DataFrame:
-    """Shuffle rows without hot groups by ``keys`` once; all scans by finer keys that follow need no shuffle."""
-    return part.repartition(*keys) if scan is scan_in_windows else part
+def placed(df: DataFrame, keys: Sequence[str], scale: Scale) -> DataFrame:
+    """Shuffle by ``keys`` once, so that scans and aggregates by these or finer keys need no shuffle of their own.
+
+    Left as it is if a group of ``keys`` is too large for one task.
+    """
+    return df.repartition(*keys) if scale.hot(tuple(keys)) is None else df
 
 
 def scan_in_windows(df: DataFrame, keys: Sequence[str], measures: dict[str, Measure], order: Sequence[str] = TIMELINE) -> DataFrame:
@@ -230,7 +233,7 @@ def overlay(
     change sees every event up to and including its own time. This replaces as-of and interval joins: one
     shuffle, linear in both inputs, no pairing of a key's changes with a key's events.
     """
-    lanes = changes.withColumn("_lane", F.lit(1)).unionByName(
+    lanes = placed(changes, keys[:3], scale).withColumn("_lane", F.lit(1)).unionByName(
         events.withColumn("_lane", F.lit(0)), allowMissingColumns=True)
     scanned = ordered_scan(lanes, keys, measures, scale, ("timestamp", "_lane", "revision_id"))
     return scanned.filter(F.col("_lane") == 1).select(*changes.columns, *measures)

@@ -10,7 +10,7 @@ from editlore.functions.columns import (
     time_of_day, time_of_week, whole_days,
 )
 from editlore.operators.ordered import (
-    STATEMENT, After, Before, First, Latest, Running, Scan, by_heat, colocated, ordered_scan, overlay, row_number,
+    STATEMENT, After, Before, First, Latest, Running, Scan, by_heat, ordered_scan, overlay, placed, row_number,
 )
 from editlore.session import Scale
 from editlore.vocabulary import (
@@ -97,11 +97,8 @@ def with_replaced_values(changes: DataFrame, scale: Scale) -> DataFrame:
 
     Rows stay placed by statement for the scans that usually follow.
     """
-    def plan(part: DataFrame, scan: Scan) -> DataFrame:
-        return scan(colocated(part, STATEMENT, scan), [*STATEMENT, "change_target"],
-                    {"_old": Before(F.struct("new_value", "new_datatype", "new_value_label"))})
-
-    told = by_heat(changes, STATEMENT, scale, plan)
+    told = ordered_scan(placed(changes, STATEMENT, scale), [*STATEMENT, "change_target"],
+                        {"_old": Before(F.struct("new_value", "new_datatype", "new_value_label"))}, scale)
     return told.select(
         *changes.columns,
         F.coalesce(F.col("_old.new_value"), F.lit("{}")).alias("old_value"),

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from editlore.functions.columns import digits, empty_object_to_null, flag
 from editlore.operators import intervals, neighbours, sampling
+from editlore.operators.ordered import placed
 from editlore.plans import (
     catalogue, classify, frequency, graph, history, predictor, profile, prompts, quality, samples, users,
 )
+from editlore.session import shared, small_side
 from editlore.sources.changelog import Tables
 from editlore.sources.files import active_entities, sparql_bindings
 
@@ -28,6 +30,14 @@ class Analyses(Tables):
     def properties(self) -> DataFrame:
         return catalogue.properties(self.log.property_labels, self.log.property_metadata)
 
+    def dimension(self, name: str) -> DataFrame:
+        """A view that is joined to changes by property."""
+        return small_side(self.view(name))
+
+    @cached_property
+    def property_dimension(self) -> DataFrame:
+        return small_side(self.properties)
+
     @cached_property
     def to_classify(self) -> DataFrame:
         return catalogue.properties_to_classify(self.properties)
@@ -38,10 +48,11 @@ class Analyses(Tables):
 
     @cached_property
     def stats(self) -> DataFrame:
+        small = placed(shared(self.small, self.scale), profile.PAIR, self.scale)
         return profile.entity_property_stats(
-            self.properties, profile.distinct_value_profile(self.log.value_change, self.log.revision),
-            profile.average_value_activity(profile.value_activity(self.small, self.scale)),
-            profile.overall_activity(self.small, self.scale))
+            self.property_dimension, profile.distinct_value_profile(self.log.value_change, self.log.revision),
+            profile.average_value_activity(profile.value_activity(small, self.scale)),
+            profile.overall_activity(small, self.scale))
 
     @cached_property
     def property_features(self) -> DataFrame:
@@ -75,7 +86,7 @@ class Analyses(Tables):
     @cached_property
     def full_model(self) -> DataFrame:
         return users.full_user_model(
-            self.model, users.expertise(self.user_property, self.properties), users.top_entities(self.log.revision))
+            self.model, users.expertise(self.user_property, self.property_dimension), users.top_entities(self.log.revision))
 
     @cached_property
     def edited_values(self) -> DataFrame:
@@ -88,11 +99,11 @@ class Analyses(Tables):
     @cached_property
     def feature_table(self) -> DataFrame:
         return history.feature_table(
-            self.edited_values, self.log.reference_change, self.full_model, self.log.prop_ref_rate, self.scale)
+            self.edited_values, self.log.reference_change, self.full_model, self.dimension("prop_ref_rate"), self.scale)
 
     @cached_property
     def predictor_features(self) -> DataFrame:
-        sample = predictor.change_sample(self.log.value_change, self.log.revision, self.log.entity_stats, self.properties,
+        sample = predictor.change_sample(self.log.value_change, self.log.revision, self.log.entity_stats, self.property_dimension,
                                          self.model, self.scale)
         return predictor.predictor_features(sample, self.scale)
 
@@ -102,7 +113,7 @@ class Analyses(Tables):
 
     def typed_pairs(self, kind: str) -> DataFrame:
         """(entity, property) pairs of the properties of one type."""
-        of_kind = self.properties.filter(F.col("property_type") == kind).select("property_id")
+        of_kind = self.property_dimension.filter(F.col("property_type") == kind).select("property_id")
         return self.log.value_change.select("entity_id", "property_id").distinct().join(of_kind, "property_id", "left_semi")
 
     @cached_property
@@ -177,7 +188,7 @@ ANALYSES: dict[str, Callable[[Analyses], DataFrame]] = {
     "entity_prop_overall_activity": lambda a: profile.overall_activity(a.small, a.scale),
     "entity_prop_distinct_val_change": lambda a: profile.distinct_value_profile(a.log.value_change, a.log.revision),
     "value_activity": lambda a: profile.value_activity(a.small, a.scale),
-    "entity_prop_avg_activity_of_values": lambda a: profile.average_value_activity(profile.value_activity(a.small, a.scale)),
+    "entity_prop_avg_activity_of_values": lambda a: profile.average_value_activity(profile.value_activity(placed(a.small, profile.PAIR, a.scale), a.scale)),
     "entity_property_stats": lambda a: a.stats,
     "property_features": lambda a: a.property_features,
     "updates_as_creates": lambda a: profile.updates_as_creates(a.small, a.log.qualifier_change),
@@ -185,7 +196,7 @@ ANALYSES: dict[str, Callable[[Analyses], DataFrame]] = {
     "rank_intervals": lambda a: a.ranks,
     "qualifier_intervals": lambda a: a.qualifiers,
     "reference_intervals": lambda a: a.references,
-    "current_rank": lambda a: intervals.current_rank(a.log.value_change, a.ranks, a.to_classify, a.scale).select(
+    "current_rank": lambda a: intervals.current_rank(a.log.value_change, a.ranks, small_side(a.to_classify), a.scale).select(
         "revision_id", *STATEMENT, "change_target", "current_rank"),
     "has_reference": lambda a: intervals.in_interval(a.log.value_change, a.references, "has_reference", a.scale).select(
         "revision_id", *STATEMENT, "change_target", "has_reference"),
@@ -194,13 +205,13 @@ ANALYSES: dict[str, Callable[[Analyses], DataFrame]] = {
         "reason_for_deprecated_rank_source_known_to_be_unreliable", a.scale).select(
         "revision_id", *STATEMENT, "change_target", "reason_for_deprecated_rank_source_known_to_be_unreliable"),
     "annotated_changes": lambda a: quality.annotated_changes(
-        a.log.value_change, a.ranks, a.references, a.qualifiers, a.to_classify, a.log.range_constraint,
-        a.log.integer_constraint, a.scale).select(
+        a.log.value_change, a.ranks, a.references, a.qualifiers, small_side(a.to_classify), a.dimension("range_constraint"),
+        a.dimension("integer_constraint"), a.scale).select(
         "revision_id", *STATEMENT, "change_target", "current_rank", "has_reference",
         "reason_for_deprecated_rank_source_known_to_be_unreliable", "violates_range_constraint", "violates_integer_constraint"),
-    "violates_range": lambda a: quality.with_range_violations(a.log.value_change, a.log.range_constraint).select(
+    "violates_range": lambda a: quality.with_range_violations(a.log.value_change, a.dimension("range_constraint")).select(
         "revision_id", "property_id", "new_value", "new_datatype", "violates_range_constraint"),
-    "violates_integer": lambda a: quality.with_integer_violations(a.log.value_change, a.log.integer_constraint).select(
+    "violates_integer": lambda a: quality.with_integer_violations(a.log.value_change, a.dimension("integer_constraint")).select(
         "revision_id", "property_id", "new_value", "new_datatype", "violates_integer_constraint"),
     "update_comments": lambda a: quality.update_comments(a.log.value_change, a.log.revision),
     "comment_keywords": lambda a: quality.repair_comments(quality.update_comments(a.log.value_change, a.log.revision)),
@@ -210,13 +221,13 @@ ANALYSES: dict[str, Callable[[Analyses], DataFrame]] = {
     "non_id_static_properties": lambda a: catalogue.non_id_static_properties(a.properties),
     "user_model": lambda a: a.model,
     "user_property": lambda a: a.user_property,
-    "user_expertise": lambda a: users.expertise(a.user_property, a.properties),
+    "user_expertise": lambda a: users.expertise(a.user_property, a.property_dimension),
     "user_top_entities": lambda a: users.top_entities(a.log.revision),
     "full_user_model": lambda a: a.full_model.select("user_id", "num_value_changes", "property_id_expertise_list", "top_3_entity_id"),
     "change_types_multihot": lambda a: history.with_change_types(a.log.value_change).select(
         "revision_id", "labels_list", *history.CHANGE_TYPES),
     "single_change_features": lambda a: history.single_change_features(
-        a.edited_values, a.full_model, a.log.prop_ref_rate, a.scale).select(
+        a.edited_values, a.full_model, a.dimension("prop_ref_rate"), a.scale).select(
         "revision_id", "user_type", "time_of_day", "time_of_week", "is_reverted", "type_of_next_edit", "reversion",
         "comment_has_keyword", "user_is_expert", "citation_needed", "property_reference_rate", "user_age_days_user",
         "num_value_changes_user", "avg_entities_per_day_user"),

@@ -11,6 +11,8 @@ from pyspark.storagelevel import StorageLevel
 GROUP_ROWS_CONF = "editlore.group.rows"
 GROUP_ROWS = 4_000_000  # rows of one group that one task may hold
 
+BROADCAST_ROWS = 100_000  # rows of a dimension; with labels and descriptions well under 100 MB
+
 # The limit grows with the log, so that it has at most this many groups above it: their keys can be broadcast.
 MAX_HOT_GROUPS = 20_000
 
@@ -85,17 +87,29 @@ def spread_shuffles(spark: SparkSession, rows: int) -> None:
         spark.conf.set(key, str(wanted))
 
 
+def _checkpoint_folder(spark: SparkSession) -> bool:
+    """Whether there is a shared folder for checkpoints; the one of ``spark.checkpoint.dir`` is put to use."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if folder and context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir() is not None
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once for several readers.
+    """Compute ``df`` once for several readers and cut its lineage.
 
-    On a cluster this is a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``, which
-    survives lost executors; without that setting (tests) it is a persisted, recomputable frame.
+    On a cluster this is a reliable checkpoint in the shared folder, which survives lost executors; without one
+    (tests) it is a persisted, recomputable frame.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    context = spark.sparkContext
-    if folder:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(folder)
-        return df.checkpoint()
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df.checkpoint() if _checkpoint_folder(df.sparkSession) else df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def shared(df: DataFrame, scale: Scale) -> DataFrame:
+    """A step with several readers: computed once for a large log, where a small one is as quickly computed again."""
+    return df if scale.fits else materialise(df)
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A dimension for joins: broadcast if it has at most ``rows`` rows, else left to shuffled joins."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
