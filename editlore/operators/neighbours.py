@@ -76,17 +76,19 @@ def _block_search(queries: DataFrame, targets: DataFrame, k: int, block: int = B
 
     def blocks(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
         """Give each vector its own block by hash and one copy per block of the other side."""
-        return df.withColumn(own, F.pmod(F.xxhash64("property_id"), F.lit(n)).cast("int")).withColumn(
+        return df.withColumn(own, F.pmod(F.xxhash64(df.columns[0]), F.lit(n)).cast("int")).withColumn(
             other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
 
     left = blocks(queries, "_q", columns, "_t", rows)
-    right = blocks(targets, "_t", rows, "_q", columns)
+    # Both sides may come from one table; own names keep their columns apart in the co-group.
+    renamed = targets.select(F.col("property_id").alias("nn_property_id"), F.col("embedding").alias("nn_embedding"))
+    right = blocks(renamed, "_t", rows, "_q", columns)
 
     def meet(query: pd.DataFrame, target: pd.DataFrame) -> pd.DataFrame:
         if query.empty or target.empty:
             return pd.DataFrame({f.name: [] for f in PAIRS.fields})
         return _top(query["property_id"].to_numpy(), _unit(query["embedding"]),
-                    target["property_id"].to_numpy(), _unit(target["embedding"]), k)
+                    target["nn_property_id"].to_numpy(), _unit(target["nn_embedding"]), k)
 
     return left.groupBy("_q", "_t").cogroup(right.groupBy("_q", "_t")).applyInPandas(meet, PAIRS)
 

@@ -61,7 +61,7 @@ class PowerTransform(Estimator, _PowerParams, DefaultParamsReadable, DefaultPara
         return PowerTransformModel()._set(
             inputCols=names, outputCols=self.getOutputCols(), lambdas=powers,
             means=[moments[f"m{i}"] or 0.0 for i in range(len(names))],
-            deviations=[moments[f"d{i}"] or 1.0 for i in range(len(names))])
+            deviations=[_deviation(moments[f"m{i}"], moments[f"d{i}"]) for i in range(len(names))])
 
     @staticmethod
     def _most_likely(rows: DataFrame, candidates: dict[int, list[float]]) -> dict[int, float]:
@@ -69,14 +69,19 @@ class PowerTransform(Estimator, _PowerParams, DefaultParamsReadable, DefaultPara
                               for part in (F.lit(i), F.array(*(F.lit(float(p)) for p in powers)))))
         tried = rows.select("i", "x", F.explode(grid[F.col("i")]).alias("p"))
         folded = tried.groupBy("i", "p").agg(
-            F.count("x").alias("n"), F.var_pop(yeo_johnson(F.col("x"), F.col("p"))).alias("v"),
+            F.count("x").alias("n"), (F.min("x") < F.max("x")).alias("varies"), F.var_pop(yeo_johnson(F.col("x"), F.col("p"))).alias("v"),
             F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("logs"))
         likelihood = -F.col("n") / 2 * F.log(F.col("v")) + (F.col("p") - 1) * F.col("logs")
         # One row per column and candidate: a few hundred numbers. Constant columns have no variance and keep 1.
-        found = folded.filter(F.col("v") > 0).groupBy("i").agg(F.max_by("p", likelihood).alias("p")).collect()
+        found = folded.filter(F.col("varies") & (F.col("v") > 0)).groupBy("i").agg(F.max_by("p", likelihood).alias("p")).collect()
         return {row["i"]: row["p"] for row in found}
 
 
+def _deviation(mean: float | None, deviation: float | None) -> float:
+    """1 for columns without spread: there is nothing to scale, only rounding noise."""
+    return deviation if deviation and deviation > 1e-12 * abs(mean) else 1.0
+
+
 class PowerTransformModel(Model, _PowerParams, DefaultParamsReadable, DefaultParamsWritable):
     def __init__(self):
         super().__init__()

@@ -98,7 +98,7 @@ VIEWS = {
           case when p_type = 'ECONOMY' and p_size > 25 then 'ExternalId' when p_size > 30 then 'Quantity'
             when p_size > 15 then 'WikibaseItem' else 'String' end as property_data_type,
           case when p_size > 38 then concat(p_brand, ' code') when p_size < 8 then concat(p_brand, ' IDs') end as aliases,
-          case when p_size > 40 then concat('identifier of a ', p_name) when p_size > 30 then concat('catalogue соде of a ', p_name)
+          case when p_size > 40 then concat('identifier of a ', p_name) when p_size > 30 then concat('catalogue соdе of a ', p_name)
             else concat(p_name, ', ', p_type) end as property_description,
           case when p_size <= 12 then 'Q23611288' when p_size <= 24 then 'Q24025284' when p_size <= 30 then 'Q23611587' end as frequency_update,
           case when p_size <= 12 then 'never changes' when p_size <= 24 then 'sometimes changes'
