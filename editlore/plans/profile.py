@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from editlore.functions.columns import count_where, micros_between, share, whole_days
-from editlore.operators.ordered import STATEMENT, Before, First, ordered_scan
+from editlore.operators.ordered import STATEMENT, Before, First, Measure, Running, Scan, by_heat, row_number
 from editlore.operators.quantiles import quantile_columns
 from editlore.session import Scale
 from editlore.vocabulary import CLOSE_IN_TIME_SECONDS, PSEUDO_PROPERTIES, TEMPORAL_QUALIFIERS
@@ -62,29 +62,43 @@ def _gap_columns(gap: Column, span: str) -> list[Column]:
     ]
 
 
-def _with_gaps(small: DataFrame, keys: tuple[str, ...], scale: Scale) -> DataFrame:
-    """Activity rows with the gap to the row before and the age since the first one, in microseconds."""
-    scanned = ordered_scan(
-        small.filter("is_overall_activity").select("revision_id", *STATEMENT, "timestamp", "action"), keys,
-        {"_previous": Before(F.col("timestamp")), "_first": First(F.col("timestamp"))}, scale)
+def _with_gaps(
+    small: DataFrame, keys: tuple[str, ...], scale: Scale, per_value: dict[str, Measure] | None = None
+) -> DataFrame:
+    """Activity rows with the gap to the row before and the age since the first one, in microseconds.
+
+    ``per_value`` adds scans along each value, in the same placement of the rows.
+    """
+    rows = small.filter("is_overall_activity").select("revision_id", *STATEMENT, "timestamp", "action")
+    along = {"_previous": Before(F.col("timestamp")), "_first": First(F.col("timestamp"))}
+
+    def plan(part: DataFrame, scan: Scan) -> DataFrame:
+        scanned = scan(part, keys, along)
+        return scan(scanned, STATEMENT, per_value) if per_value else scanned
+
     gap = micros_between(F.col("timestamp"), F.col("_previous"))
     age = F.when(F.col("_previous").isNotNull(), micros_between(F.col("timestamp"), F.col("_first")))
-    return scanned.select(*STATEMENT, "action", gap.alias("gap"), age.alias("age"))
+    return by_heat(rows, keys, scale, plan).select(
+        *STATEMENT, "action", *(per_value or {}), gap.alias("gap"), age.alias("age"))
 
 
 def overall_activity(small: DataFrame, scale: Scale) -> DataFrame:
-    """Update rhythm of a property within an entity, whichever of its values changed."""
-    gaps = _with_gaps(small, PAIR, scale)
-    value, created, updated = F.col("value_id"), F.col("action") == "CREATE", F.col("action") == "UPDATE"
+    """Update rhythm of a property within an entity, whichever of its values changed.
+
+    Distinct values are counted at the first row, creation and update of each value, so one plain aggregate does.
+    """
+    created, updated = F.col("action") == "CREATE", F.col("action") == "UPDATE"
+    gaps = _with_gaps(small, PAIR, scale, {
+        "_nth": row_number(), "_nth_create": Running(created.cast("int")), "_nth_update": Running(updated.cast("int"))})
     found = quantile_columns(
         gaps, PAIR, {"_median": F.col("gap")}, [0.5], scale,
         extra=[
             F.count(F.lit(1)).alias("num_changes"),
-            F.count_distinct(value).alias("num_distinct_values"),
+            count_where(F.col("_nth") == 1).alias("num_distinct_values"),
             *_gap_columns(F.col("gap"), "changes"),
-            F.count_distinct(F.when(created, value)).alias("num_value_creates"),
+            count_where(created & (F.col("_nth_create") == 1)).alias("num_value_creates"),
             count_where(updated).alias("num_real_updates"),
-            F.count_distinct(F.when(updated, value)).alias("num_value_id_real_updated"),
+            count_where(updated & (F.col("_nth_update") == 1)).alias("num_value_id_real_updated"),
             (F.avg("age") / SECOND).alias("avg_age_of_value_to_first_insert_sec"),
         ])
     return found.withColumn("median_time_between_updates_sec", F.col("_median")[0] / SECOND).drop("_median")
@@ -98,7 +112,7 @@ def value_activity(small: DataFrame, scale: Scale) -> DataFrame:
         extra=[
             F.count(F.lit(1)).alias("num_changes"),
             F.count("gap").alias("num_changes_after_birth"),
-            *[c for c in _gap_columns(F.col("gap"), "updates")],
+            *_gap_columns(F.col("gap"), "updates"),
             (F.avg("age") / SECOND).alias("avg_age_of_value_at_update_sec"),
         ])
     return found.withColumn("median_time_between_updates_sec", F.col("_median")[0] / SECOND).drop("_median")
@@ -190,25 +204,25 @@ def property_features(stats: DataFrame, entity_stats: DataFrame, scale: Scale) -
         F.greatest(whole_days(F.col("last_revision_timestamp"), F.col("first_revision_timestamp")).cast("double"), F.lit(1.0))
         .alias("_age"))
     values = {
-        feature_name(m, kind): F.col(STORED_AS.get(m, m)).cast("double") / (F.col("_age") if kind == "count" else F.lit(1.0))
+        feature_name(m, kind): f"cast({STORED_AS.get(m, m)} as double)" + (" / _age" if kind == "count" else "")
         for m, kind in MEASURES.items()
     }
-    values["pct_gaps_are_close_in_time"] = share(F.col("epoa_num_close_in_time_changes"), F.col("epoa_num_changes") - 1)
+    values["pct_gaps_are_close_in_time"] = "try_divide(cast(epoa_num_close_in_time_changes as double), epoa_num_changes - 1)"
     keys = ["property_id", "property_label", "property_type"]
-    wide = stats.join(ages, "entity_id").select(*keys, *(v.alias(name) for name, v in values.items()))
+    wide = stats.join(ages, "entity_id").selectExpr(*keys, *(f"{v} as {name}" for name, v in values.items()))
 
     missing = [feature_name(m) for m, kind in MEASURES.items() if kind == "time"]
     found = quantile_columns(
         wide, keys, {f"_q_{name}": F.col(name) for name in values}, [0.25, 0.5, 0.75], scale,
         extra=[
             F.count(F.lit(1)).alias("num_entity_property_pairs"),
-            *(F.avg(name).alias(f"avg_{name}") for name in values),
-            *(share(count_where(F.col(name).isNull()), F.count(F.lit(1))).alias(f"null_rate_{name}") for name in missing),
+            *(F.expr(f"avg({name}) as avg_{name}") for name in values),
+            *(F.expr(f"count_if({name} is null) / count(1) as null_rate_{name}") for name in missing),
         ])
-    return found.select(
+    return found.selectExpr(
         *[c for c in found.columns if not c.startswith("_q_")],
-        *(F.col(f"_q_{name}")[1].alias(f"median_{name}") for name in values),
-        *((F.col(f"_q_{name}")[2] - F.col(f"_q_{name}")[0]).alias(f"iqr_{name}") for name in values))
+        *(f"_q_{name}[1] as median_{name}" for name in values),
+        *(f"_q_{name}[2] - _q_{name}[0] as iqr_{name}" for name in values))
 
 
 def updates_as_creates(small: DataFrame, qualifier_change: DataFrame) -> DataFrame:

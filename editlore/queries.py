@@ -101,11 +101,14 @@ class Analyses(Tables):
         return history.feature_table(
             self.edited_values, self.log.reference_change, self.full_model, self.dimension("prop_ref_rate"), self.scale)
 
+    @cached_property
+    def change_sample(self) -> DataFrame:
+        return predictor.change_sample(self.log.value_change, self.log.revision, self.log.entity_stats, self.property_dimension,
+                                       self.model, self.scale)
+
     @cached_property
     def predictor_features(self) -> DataFrame:
-        sample = predictor.change_sample(self.log.value_change, self.log.revision, self.log.entity_stats, self.property_dimension,
-                                         self.model, self.scale)
-        return predictor.predictor_features(sample, self.scale)
+        return predictor.predictor_features(self.change_sample, self.scale)
 
     @cached_property
     def labelled(self) -> DataFrame:
@@ -247,6 +250,10 @@ ANALYSES: dict[str, Callable[[Analyses], DataFrame]] = {
         "revision_id", *STATEMENT, "change_target", "user_age_days", "time_to_first_edit_of_entity_in_days_at_t",
         *predictor.NUMERICAL, *predictor.CATEGORICAL, *predictor.BINARY),
     "target_label": lambda a: a.labelled.select(*TARGET_COLUMNS),
+    "target_label_all_rows": lambda a: predictor.with_target(
+        predictor.with_groups(a.predictor_features), a.scale, keep_all=True).select(*TARGET_COLUMNS),
+    "clean_edits_before_t": lambda a: predictor.predictor_features(a.change_sample, a.scale, before_t=True).select(
+        "revision_id", *STATEMENT, "change_target", "num_non_reverted_edits_before_t"),
     "target_distribution": lambda a: predictor.target_distribution(a.labelled),
     "baseline_anonymous": lambda a: predictor.baseline_anonymous(predictor.model_rows(a.labelled)),
     "prediction_validation": lambda a: _validated(a).select(*TARGET_COLUMNS, "prediction"),
@@ -306,23 +313,21 @@ ANALYSES: dict[str, Callable[[Analyses], DataFrame]] = {
 
 def _comparable(df: DataFrame) -> DataFrame:
     """Plain columns for comparing engines: local timestamps, doubles rounded, lists and maps as text."""
-    shown = []
-    for field in df.schema.fields:
-        column, kind = F.col(f"`{field.name}`"), field.dataType.simpleString()
-        if kind == "timestamp":
-            column = column.cast("timestamp_ntz")
-        elif kind == "double":
-            column = F.round(column, digits(field.name))
-        elif kind == "array<double>":
-            column = F.array_join(F.transform(column, lambda x: F.format_string("%.4f", x)), ",")
-        elif kind.startswith("array"):
-            column = F.array_join(column.cast("array<string>"), ",")
-        elif kind.startswith("map"):
-            entries = F.transform(F.array_sort(F.map_entries(column)),
-                                  lambda e: F.concat(e["key"].cast("string"), F.lit("="), F.coalesce(e["value"], F.lit(""))))
-            column = F.array_join(entries, ",")
-        shown.append(column.alias(field.name))
-    return df.select(*shown)
+    def shown(name: str, kind: str) -> str:
+        match kind:
+            case "timestamp":
+                return f"cast({name} as timestamp_ntz)"
+            case "double":
+                return f"round({name}, {digits(name)})"
+            case "array<double>":
+                return f"array_join(transform({name}, x -> format_string('%.4f', x)), ',')"
+            case _ if kind.startswith("array"):
+                return f"array_join(cast({name} as array<string>), ',')"
+            case _ if kind.startswith("map"):
+                return f"array_join(transform(array_sort(map_entries({name})), e -> concat(e.key, '=', coalesce(e.value, ''))), ',')"
+        return name
+
+    return df.selectExpr(*(f"{shown(f'`{n}`', kind)} as `{n}`" for n, kind in df.dtypes))
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

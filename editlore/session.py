@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +27,8 @@ class Scale:
 
     LEVELS = (("entity_id", "property_id", "value_id"), ("entity_id", "property_id"), ("entity_id",))
 
-    def __init__(self, rows: int, group_rows: int = GROUP_ROWS, logs: DataFrame | None = None):
-        """``logs``: key columns and ``weight`` of all rows that may meet in one scan; needed above the limit only."""
+    def __init__(self, rows: int, group_rows: int = GROUP_ROWS, logs: Callable[[], DataFrame] | None = None):
+        """``logs`` gives key columns and ``weight`` of all rows that may meet in one scan; used above the limit only."""
         self.rows = rows
         self.limit = max(group_rows, rows // MAX_HOT_GROUPS)
         self._logs = logs
@@ -47,11 +47,11 @@ class Scale:
         if self.fits:
             return None
         if level not in self._hot:
-            self._hot[level] = hot_groups(self._logs, level, self.limit, F.sum("weight"))
+            self._hot[level] = hot_groups(self._logs(), level, self.limit, F.sum("weight"))
         return self._hot[level]
 
     @classmethod
-    def configured(cls, spark: SparkSession, rows: int, logs: DataFrame | None = None) -> Scale:
+    def configured(cls, spark: SparkSession, rows: int, logs: Callable[[], DataFrame] | None = None) -> Scale:
         return cls(rows, int(spark.conf.get(GROUP_ROWS_CONF, str(GROUP_ROWS))), logs)
 
 

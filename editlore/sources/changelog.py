@@ -35,7 +35,7 @@ class Tables:
         # reference rows and one qualifier row, weighted as below.
         rows = (1 + 2 * 2 + 2) * self.table("events").count()
         spread_shuffles(self.spark, rows)
-        return Scale.configured(self.spark, rows, self._weighted_keys())
+        return Scale.configured(self.spark, rows, self._weighted_keys)
 
     def _weighted_keys(self) -> DataFrame:
         """Statements of all logs. Intervals put two rows on the time axis, so their logs count twice."""

@@ -19,7 +19,7 @@ def references(spark, *rows):
 
 
 def scale_of(log, limit):
-    return Scale(10 * log.count() + 100, limit, log.select(*STATEMENT, F.lit(1).alias("weight")))
+    return Scale(10 * log.count() + 100, limit, lambda: log.select(*STATEMENT, F.lit(1).alias("weight")))
 
 
 LIMITS = [1_000_000, 2]

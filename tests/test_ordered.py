@@ -28,7 +28,7 @@ def skewed(spark, n=600, seed=1):
 
 def small_limit(log, limit=25):
     keys = log.select(*STATEMENT, F.lit(1).alias("weight"))
-    return Scale(log.count(), limit, keys)
+    return Scale(log.count(), limit, lambda: keys)
 
 
 def measures():
@@ -81,7 +81,7 @@ def test_only_hot_groups_are_sliced(spark):
 
 def test_no_hot_group_needs_no_split(spark):
     log = skewed(spark, 100)
-    scale = Scale(10**9, 1_000_000, log.select(*STATEMENT, F.lit(1).alias("weight")))
+    scale = Scale(10**9, 1_000_000, lambda: log.select(*STATEMENT, F.lit(1).alias("weight")))
     assert scale.hot(STATEMENT) is None and not scale.fits
 
 

@@ -529,6 +529,12 @@ BODIES = {
         {r('value_age_in_days_up_to_t time_to_previous_edit_days entity_pct_updates_to_total_edits entity_pct_creates_to_total_edits '
            'entity_pct_deletes_to_total_edits entity_pct_bot_edits entity_pct_anonymous_edits entity_pct_human_edits')} from predicted""",
     "target_label": f"select {TARGETS} from labelled",
+    "target_label_all_rows": f"""select g.revision_id, g.entity_id, g.property_id, g.value_id, g.change_target, g.model_group, g.split,
+        case when g.change_target = '' then coalesce(f.is_deleted, 0) else 0 end as is_deleted,
+        case when (g.is_reverted = 1 and coalesce({days('g.reversion_timestamp', 'g.timestamp')}, 0) <= 182.64) or f.is_deleted = 1 then 1 else 0 end as target_to_predict
+      from grouped g left join followed f on f.revision_id = g.revision_id and f.value_id = g.value_id""",
+    "clean_edits_before_t": f"""select revision_id, {KEY}, change_target, count(*) filter (is_reverted = 0 and reversion = 0) over (
+        partition by {KEY} order by timestamp, revision_id rows between unbounded preceding and 1 preceding) as num_non_reverted_edits_before_t from sample""",
     "target_distribution": """select model_group, split, count(*) as num_rows, cast(sum(target_to_predict) as bigint) as num_positive,
         round(avg(target_to_predict), 6) as ratio_positive, round(1 - avg(target_to_predict), 6) as ratio_negative from labelled group by model_group, split""",
     "baseline_anonymous": f"""select split, count(*) filter (user_type = 'anonymous') as num_anonymous,
