@@ -115,7 +115,12 @@ def id_number(uri: Column) -> Column:
     return F.regexp_extract(uri, r"[QP](\d+)>?$", 1).try_cast("bigint")
 
 
-def digits(name: str) -> int:
-    """Decimals shown of a double. Averages of microsecond gaps often end exactly between two sixth decimals of
-    a second, so times in seconds get fewer."""
-    return 3 if any(part in name for part in ("_sec", "time_between", "_time_bc_")) else 6
+def rounded(name: str, column: str) -> str:
+    """SQL for showing the double ``column``, called ``name``, with a fixed number of decimals.
+
+    Averages and quantiles of microsecond gaps often end exactly half-way between two decimals of a second, where
+    the last bit decides. Times are moved off those points by a fraction of a microsecond and get three decimals.
+    """
+    if any(part in name for part in ("_sec", "time_between", "_time_bc_")):
+        return f"round({column} + 0.000000137, 3)"
+    return f"round({column}, 6)"

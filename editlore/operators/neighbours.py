@@ -16,6 +16,7 @@ from editlore.functions.columns import share
 
 BROADCAST_VECTORS = 50_000  # 150 MB of 768 floats
 BLOCK_VECTORS = 8_192
+CELLS = 4_000_000  # similarities held at once
 
 PAIRS = T.StructType([
     T.StructField("property_id", T.LongType()), T.StructField("nn_property_id", T.LongType()),
@@ -30,14 +31,20 @@ def _unit(vectors: pd.Series) -> np.ndarray:
 
 
 def _top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
-    """The ``k`` most similar vectors per query, smaller ids first on ties."""
-    k = min(k, len(ids))
-    order = np.argsort(ids)
-    ids, similarities = ids[order], queries @ vectors[order].T
-    best = np.argsort(-similarities, axis=1, kind="stable")[:, :k]
-    return pd.DataFrame({
-        "property_id": np.repeat(query_ids, k), "nn_property_id": ids[best].ravel(),
-        "similarity": np.take_along_axis(similarities, best, axis=1).ravel()})
+    """The ``k`` most similar vectors per query, smaller ids first on ties; a few queries at a time."""
+    k, step = min(k, len(ids)), max(CELLS // len(ids), 1)
+    parts = []
+    for start in range(0, len(query_ids), step):
+        similarities = queries[start:start + step] @ vectors.T
+        kth = np.partition(similarities, -k, axis=1)[:, -k]
+        rows, columns = np.nonzero(similarities >= kth[:, None])  # k per row, more on ties
+        values, found = similarities[rows, columns], ids[columns]
+        order = np.lexsort((found, -values, rows))
+        rows, values, found = rows[order], values[order], found[order]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        parts.append(pd.DataFrame({
+            "property_id": query_ids[start:start + step][rows[keep]], "nn_property_id": found[keep], "similarity": values[keep]}))
+    return pd.concat(parts, ignore_index=True)
 
 
 def nearest_labelled(vectors: DataFrame, labelled: DataFrame, k: int = 4, broadcast_vectors: int = BROADCAST_VECTORS) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editlore.functions.columns import digits, empty_object_to_null, flag
+from editlore.functions.columns import empty_object_to_null, flag, rounded
 from editlore.operators import intervals, neighbours, sampling
 from editlore.operators.ordered import placed
 from editlore.plans import (
@@ -318,7 +318,7 @@ def _comparable(df: DataFrame) -> DataFrame:
             case "timestamp":
                 return f"cast({name} as timestamp_ntz)"
             case "double":
-                return f"round({name}, {digits(name)})"
+                return rounded(name, name)
             case "array<double>":
                 return f"array_join(transform({name}, x -> format_string('%.4f', x)), ',')"
             case _ if kind.startswith("array"):

@@ -14,7 +14,7 @@ GROUP_ROWS = 4_000_000  # rows of one group that one task may hold
 BROADCAST_ROWS = 100_000  # rows of a dimension; with labels and descriptions well under 100 MB
 
 # The limit grows with the log, so that it has at most this many groups above it: their keys can be broadcast.
-MAX_HOT_GROUPS = 20_000
+MAX_HOT_GROUPS = 200_000
 
 
 class Scale:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from editlore.functions.columns import digits
+from editlore.functions.columns import rounded as rounded_double
 from editlore.plans.profile import COMMON_FEATURES, MEASURES, ROUTES, STORED_AS, feature_name
 from editlore.sources.views import VIEWS, in_dialect
 
@@ -409,7 +409,7 @@ def complete(body: str) -> str:
 
 
 def r(columns: str) -> str:
-    return ", ".join(f"round({c}, {digits(c)}) as {c}" for c in columns.split())
+    return ", ".join(f"{rounded_double(c, c)} as {c}" for c in columns.split())
 
 
 GAP_COLUMNS = "avg_time_between_{0}_sec min_time_between_{0}_sec max_time_between_{0}_sec median_time_between_updates_sec " \
