@@ -180,7 +180,7 @@ def running_references(reference_change: DataFrame, scale: Scale) -> DataFrame:
     """Active references of both kinds after each reference change; updates leave the counts as they are."""
     delta = F.when(F.col("action") == "CREATE", 1).when(F.col("action") == "DELETE", -1).otherwise(0)
     imported = F.col("ref_property_id") == IMPORTED_FROM_WIKIPEDIA
-    deltas = first_reference_actions(reference_change).select(
+    deltas = first_reference_actions(placed(reference_change, STATEMENT, scale)).select(
         "revision_id", *STATEMENT, "change_target", "timestamp", imported.alias("_imported"), delta.alias("_delta"))
     scanned = ordered_scan(deltas, STATEMENT, {
         "_wiki": Running(F.when(F.col("_imported"), F.col("_delta"))),

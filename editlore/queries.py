@@ -77,7 +77,7 @@ class Analyses(Tables):
 
     @cached_property
     def model(self) -> DataFrame:
-        return users.user_model(self.log.value_change, self.log.revision)
+        return shared(users.user_model(self.log.value_change, self.log.revision), self.scale)
 
     @cached_property
     def user_property(self) -> DataFrame:
