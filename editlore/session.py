@@ -21,8 +21,8 @@ class Scale:
     """How large a change log is, and which of its groups are too large for one task.
 
     A log that fits into the limit as a whole cannot contain a larger group; nothing is counted then. For a larger
-    log the rows of each group are counted once per key (a narrow scan with map-side combine), and the few groups
-    above the limit are kept as a table with at most ``MAX_HOT_GROUPS`` rows.
+    log the rows of each statement are counted once (a narrow scan with map-side combine), coarser keys are summed
+    from that, and the few groups above the limit are kept as a table with at most ``MAX_HOT_GROUPS`` rows.
     """
 
     LEVELS = (("entity_id", "property_id", "value_id"), ("entity_id", "property_id"), ("entity_id",))
@@ -32,6 +32,7 @@ class Scale:
         self.rows = rows
         self.limit = max(group_rows, rows // MAX_HOT_GROUPS)
         self._logs = logs
+        self._counts: DataFrame | None = None
         self._hot: dict[tuple[str, ...], DataFrame | None] = {}
 
     @property
@@ -47,7 +48,10 @@ class Scale:
         if self.fits:
             return None
         if level not in self._hot:
-            self._hot[level] = hot_groups(self._logs(), level, self.limit, F.sum("weight"))
+            if self._counts is None:
+                finest = self._logs().groupBy(*self.LEVELS[0]).agg(F.sum("weight").alias("weight"))
+                self._counts = materialise(finest)
+            self._hot[level] = hot_groups(self._counts, level, self.limit, F.sum("weight"))
         return self._hot[level]
 
     @classmethod
