@@ -9,10 +9,10 @@ from editlore.functions.columns import MICROS_PER_DAY, comma_list, micros_betwee
 from editlore.operators.quantiles import quantile_columns
 from editlore.session import Scale
 
-NUMBER_OF_EMPLOYEES_LIKE = 1113  # the property studied by default
+STUDIED_PROPERTY = 1113
 
 
-def real_updates(value_change: DataFrame, property_id: int | None = NUMBER_OF_EMPLOYEES_LIKE) -> DataFrame:
+def real_updates(value_change: DataFrame, property_id: int | None = STUDIED_PROPERTY) -> DataFrame:
     """Lasting updates that replaced a value by a different one; ``property_id`` None takes every property."""
     kept = value_change.filter(
         (F.col("action") == "UPDATE") & (F.col("change_target") == "") & (F.col("is_reverted") == 0) & (F.col("reversion") == 0)
