@@ -82,3 +82,86 @@ def offset_by_part(table: DataFrame, size: str) -> DataFrame:
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).cast("long").alias("_offset"))
     return table.join(F.broadcast(offsets), "_part")
+
+
+def add_column(docs: DataFrame, name: str, kind: str, of_texts, text: str = "text") -> DataFrame:
+    """``docs`` plus a column that ``of_texts(list of texts) -> list or array`` computes in Arrow batches; all other columns pass through,
+    and one of the same name is replaced. Null texts are given as empty ones."""
+    from pyspark.sql import types as T
+
+    kept = [f for f in docs.schema.fields if f.name != name]
+    field = T._parse_datatype_string(f"x {kind}").fields[0].dataType
+    arrow = {"double": pa.float64(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}.get(kind)
+    schema = T.StructType([*kept, T.StructField(name, field)])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, batch.schema.get_field_index(text)):
+                values = ["" if v is None else v for v in part.column(part.schema.get_field_index(text)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(of_texts(values), arrow)], names=[*part.schema.names, name])
+
+    return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(run, schema)
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 2_000_000):
+    """Slices of a batch with about ``most`` bytes of text at most, or one row."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.float64)))
+    start = 0
+    while start < len(batch):
+        before = ends[start - 1] if start else 0.0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def fold(key: str, parts: int):
+    """crc32 of the id as text, modulo ``parts``."""
+    return F.crc32(F.col(key).cast("string")) % parts
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, parts: int, held_out: int, max_bytes: int = 65_536) -> list[tuple[str, int]]:
+    """A bounded sample of (text, label) to fit on: of each label at most ``per_class`` documents in the order of a hash of the id,
+    none from fold ``held_out`` of ``parts``, none with a null or longer text than ``max_bytes``."""
+    rows = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).filter(
+        F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & (fold("_id", parts) != held_out))
+    chosen = None
+    for value in (0, 1):
+        some = rows.filter(F.col("_label") == value).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
+        chosen = some if chosen is None else chosen.unionByName(some)
+    chosen = F.broadcast(chosen.dropDuplicates(["_id"]))  # at most 2 * per_class rows
+    texts_ = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).filter(F.octet_length("_text") <= max_bytes)
+    return [(r._text, r._label) for r in texts_.join(chosen, "_id").orderBy(F.xxhash64("_id"), "_id").limit(4 * per_class).select("_text", "_label").collect()]
+
+
+def stretched(values: np.ndarray, cut: float, at: float = 0.3) -> np.ndarray:
+    """Values from 0 to 1 stretched so that ``cut`` becomes ``at``; order is kept."""
+    cut = min(max(cut, 1e-6), 1 - 1e-6)
+    return np.where(values < cut, values / cut * at, at + (values - cut) / (1 - cut) * (1 - at))
+
+
+def best_cut(values: np.ndarray, truth: np.ndarray) -> float:
+    """The cut with the highest mean of both classes' accuracies, in the middle of its gap."""
+    order = np.argsort(values, kind="stable")
+    v, t = values[order], truth[order]
+    below = np.concatenate([[0], np.cumsum(1 - t)]) / max(1, (1 - t).sum())
+    above = 1 - np.concatenate([[0], np.cumsum(t)]) / max(1, t.sum())
+    edges = np.concatenate([[True], v[1:] > v[:-1], [True]])
+    gain = np.where(edges, below + above, -1)
+    k = int(np.flatnonzero(gain == gain.max()).mean()) if (gain == gain.max()).sum() == 1 else int(np.flatnonzero(gain == gain.max())[0])
+    low, high = v[k - 1] if k else 0.0, v[k] if k < len(v) else 1.0
+    return float((low + high) / 2)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-2) -> np.ndarray:
+    """Weights of a logistic regression (last one constant), classes weighted evenly, by Newton steps."""
+    x = np.column_stack([x, np.ones(len(x))])
+    share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (share * (p - y)) + ridge * w
+        hess = (x * (share * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        w = w - np.linalg.solve(hess, grad)
+    return w
