@@ -1,7 +1,7 @@
 """Toxicity by compression distance: windows are compressed with a dictionary of ordinary text and with one that adds toxic text.
 
 Two zstandard dictionaries are trained on labelled texts. The ordinary one is trained on ordinary texts. For the toxic one,
-toxic texts are first cut down to what makes them toxic: runs of five bytes inside words that occur in many times more toxic than ordinary
+toxic texts are first cut down to what makes them toxic: runs of five bytes inside words that are many times more frequent in toxic than in ordinary
 texts; the runs, joined where they overlap, are its samples. It is laid before the ordinary dictionary, so that a window without
 toxic strings compresses to the same length with both, and the difference in bytes measures toxic content alone. Windows are short,
 so that literals are stored as they are and every saved byte comes from a match.
@@ -24,7 +24,7 @@ from editlore.llm import common
 PER_CLASS = 5_000  # labelled texts of each class to fit on
 WINDOW, STEP = 60, 48  # bytes; the overlap is longer than a toxic stem
 GRAM = 5
-MIN_SHARE, MIN_RATIO = 0.006, 40.0  # of toxic texts with a run; of that share to the share of ordinary texts
+MIN_DOCS, MIN_SHARE, MIN_RATIO = 4, 0.01, 12.0  # toxic texts with a run, their share; how much more frequent it is in toxic texts
 ORDINARY_BYTES, TOXIC_BYTES = 6_000, 8_000
 FOLDS, HELD_OUT = 4, 2
 CUT = 0.3
@@ -66,24 +66,25 @@ def grams(data: bytes) -> np.ndarray:
     return np.where(ok, found, np.uint64(0))
 
 
-def _document_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def _counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All runs of the texts, the number of texts with each, and its number in all."""
+    values, docs, times = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
     for k in range(0, len(texts), 500):
-        v = np.concatenate([values, *(np.unique(grams(t)) for t in texts[k:k + 500])])
-        c = np.concatenate([counts, np.ones(len(v) - len(values), np.int64)])
-        values, at = np.unique(v, return_inverse=True)
-        counts = np.bincount(at, c, len(values)).astype(np.int64)
-    return values, counts
+        found = [np.unique(grams(t), return_counts=True) for t in texts[k:k + 500]]
+        more = [values, *(v for v, _ in found)], [docs, *(np.ones(len(v)) for v, _ in found)], [times, *(n for _, n in found)]
+        values, at = np.unique(np.concatenate(more[0]), return_inverse=True)
+        docs, times = (np.bincount(at, np.concatenate(c), len(values)) for c in more[1:])
+    return values, docs, times
 
 
 def toxic_runs(toxic: list[bytes], ordinary: list[bytes]) -> dict[bytes, int]:
     """Strings of distinctive runs in toxic texts and how often each occurs."""
-    values, counts = _document_counts(toxic)
-    others, other_counts = _document_counts(ordinary)
+    values, docs, times = _counts(toxic)
+    others, _, other_times = _counts(ordinary)
     at = np.minimum(np.searchsorted(others, values), max(0, len(others) - 1))
-    known = np.where(others[at] == values, other_counts[at], 0) if len(others) else np.zeros(len(values))
-    ratio = counts / max(1, len(toxic)) / ((known + 0.5) / max(1, len(ordinary)))
-    distinct = values[(values > 0) & (counts >= max(3, MIN_SHARE * len(toxic))) & (ratio >= min(MIN_RATIO, len(ordinary) / 4))]
+    known = np.where(others[at] == values, other_times[at], 0) if len(others) else np.zeros(len(values))
+    ratio = times / max(1, sum(map(len, toxic))) / ((known + 1) / max(1, sum(map(len, ordinary))))
+    distinct = values[(values > 0) & (docs >= max(MIN_DOCS, MIN_SHARE * len(toxic))) & (ratio >= MIN_RATIO)]
     runs: dict[bytes, int] = {}
     for text in toxic:
         edges = np.diff(np.concatenate([[0], np.isin(grams(text), distinct).astype(np.int8), [0]]))
@@ -131,17 +132,17 @@ def _scaled(x: np.ndarray) -> np.ndarray:
 
 
 def fit(sample: list[tuple[str, int]]) -> Model | None:
-    """A model from (text, label) rows; every second text of each class trains the dictionaries, the others the calibration."""
+    """A model from (text, label) rows; three quarters of each class train the dictionaries, the others the calibration."""
     byes = [[normal(t) for t, label in sample if label == value] for value in (0, 1)]
     if min(map(len, byes)) < 4:
         return None
-    half = [b[::2] for b in byes]
-    runs = toxic_runs(half[1], half[0])
+    most = [[t for k, t in enumerate(b) if k % 4 < 3] for b in byes]
+    runs = toxic_runs(most[1], most[0])
     ordered = sorted(runs, key=lambda run: (runs[run], run))
     toxic = b"\0".join(ordered)[-TOXIC_BYTES:]
-    ordinary = _trained(half[0][:800], 2 * ORDINARY_BYTES)[-ORDINARY_BYTES:]
+    ordinary = _trained(most[0][:800], 2 * ORDINARY_BYTES)[-ORDINARY_BYTES:]
     pair = _compressors(ordinary, toxic)
-    rest = [b[1::2][:1500] for b in byes]
+    rest = [b[3::4] for b in byes]
     x = _scaled(np.array([gains(t, *pair) for b in rest for t in b]))
     y = np.repeat([0, 1], list(map(len, rest)))
     weights = common.logistic(x, y)
