@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from editlore.llm.decontamination import op6_winnowing
 from editlore.llm.packing import op3_best_fit_packing
 from editlore.llm.quality import op9_crf_quality
 from editlore.llm.token_codes import op4_token_codes
@@ -14,7 +15,7 @@ from editlore.llm.toxicity import op7_compression_toxicity
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op3_best_fit_packing, op4_token_codes, op7_compression_toxicity, op9_crf_quality)}
+        op3_best_fit_packing, op4_token_codes, op6_winnowing, op7_compression_toxicity, op9_crf_quality)}
 
 
 def statements() -> dict[str, str]:
