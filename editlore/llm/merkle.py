@@ -67,13 +67,13 @@ def audit(one: DataFrame, other: DataFrame, fan: int = FAN, range_bytes: int = R
 
 
 def op1_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages as records of an archive, audited against a replica with damage at urls whose hash begins with 00 (a changed body) or 01 (lost)."""
+    """All pages as records of an archive, audited against a replica with damage at urls whose hash begins with 0 (a changed body) or 1 (lost)."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    mark = F.substring(F.sha2(F.coalesce("url", F.lit("")), 256), 1, 2)
-    damaged = F.when(mark == "00", F.translate(F.coalesce("html", F.lit("")), "e", "a")).otherwise(F.coalesce("html", F.lit("")))
+    mark = F.substring(F.sha2(F.coalesce("url", F.lit("")), 256), 1, 1)
+    damaged = F.when(mark == "0", F.translate(F.coalesce("html", F.lit("")), "e", "a")).otherwise(F.coalesce("html", F.lit("")))
     rows = pages.select(
         "page_id", F.octet_length(warc_record("url", "html")).cast("long").alias("length"), F.sha2(warc_record("url", "html"), 256).alias("digest"),
-        F.when(mark != "01", F.sha2(warc_record("url", damaged), 256)).alias("replica"))
+        F.when(mark != "1", F.sha2(warc_record("url", damaged), 256)).alias("replica"))
     records = common.stored(common.running(rows, ["page_id", "digest"], "length", "offset"))
     found, _ = audit(records.select("offset", "digest"), records.filter("replica is not null").select("offset", F.col("replica").alias("digest")))
     return records.join(found, "offset", "left").select("page_id", "offset", "length", "digest", F.coalesce("state", F.lit("intact")).alias("state"))
@@ -81,13 +81,13 @@ def op1_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH p AS (
-  SELECT page_id, substr(sha256(coalesce(url, '')), 1, 2) AS mark, coalesce(html, '') AS body,
+  SELECT page_id, substr(sha256(coalesce(url, '')), 1, 1) AS mark, coalesce(html, '') AS body,
          'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
          || chr(13) || chr(10) || 'Content-Length: ' AS head, chr(13) || chr(10) || chr(13) || chr(10) AS gap
   FROM pages),
 r AS (SELECT page_id, mark, body, head || CAST(strlen(body) AS VARCHAR) || gap || body || gap AS record FROM p),
 d AS (SELECT page_id, mark, body, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS digest FROM r)
 SELECT page_id, CAST(coalesce(sum(length) OVER (ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
-       length, digest, CASE WHEN mark = '01' THEN 'missing' WHEN mark = '00' AND contains(body, 'e') THEN 'altered' ELSE 'intact' END AS state
+       length, digest, CASE WHEN mark = '1' THEN 'missing' WHEN mark = '0' AND contains(body, 'e') THEN 'altered' ELSE 'intact' END AS state
 FROM d
 """

@@ -197,7 +197,11 @@ def _resolved(spark: SparkSession, swept: DataFrame, left: dict[tuple[int, int],
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_stage(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces with their places in sequences."""
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return best_fit(token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
