@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from editlore.llm import common
 
-PER_CLASS = 2_500  # labelled texts of each class to fit on
+PER_CLASS = 2_000  # labelled texts of each class to fit on
 FOLDS, HELD_OUT = 5, 0
 CUT = 0.3
 ROUNDS = 3  # fits, each but the first after lines were labelled anew
@@ -146,12 +146,34 @@ class Model:
         return common.stretched(self.raw(texts), self.cut, CUT) if texts else np.zeros(0)
 
 
+def _chunks(texts: list[str], most: int = 1_000_000) -> list[list[str]]:
+    """The texts in lists of about ``most`` characters, which bounds the memory for their features."""
+    out, size = [[]], 0
+    for text in texts:
+        if out[-1] and size + len(text) > most:
+            out.append([])
+            size = 0
+        out[-1].append(text)
+        size += len(text)
+    return out
+
+
+def _gathered(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    found, docs, before = [], [], 0
+    for some in _chunks(texts):
+        x, doc, _ = lines_of(some)
+        found.append(x)
+        docs.append(doc + before)
+        before += len(some)
+    return np.vstack(found), np.concatenate(docs)
+
+
 def fit(sample: list[tuple[str, int]]) -> Model | None:
     """A field fitted to (text, label) rows by gradient steps on the likelihood of the lines' labels."""
     texts, labels = [t for t, _ in sample], np.array([label for _, label in sample])
     if len(set(labels.tolist())) < 2:
         return None
-    x, doc, _ = lines_of(texts)
+    x, doc = _gathered(texts)
     model = Model(np.zeros(3 * x.shape[1] + 1), np.zeros((2, 2)), x.mean(axis=0), x.std(axis=0) + 1e-3)
     wide = with_neighbours(np.clip((x - model.mean) / model.spread, -5, 5), doc)
     truth = labels[doc].astype(np.float64)
@@ -162,7 +184,7 @@ def fit(sample: list[tuple[str, int]]) -> Model | None:
         if k < ROUNDS - 1:
             p = marginals(wide @ model.weights, doc, model.pair)
             truth = np.where(labels[doc] == 1, 1.0, (p > 0.5).astype(np.float64))
-    model.cut = common.best_cut(model.raw(texts), labels)
+    model.cut = common.best_cut(np.concatenate([model.raw(some) for some in _chunks(texts)]), labels)
     return model
 
 
