@@ -29,16 +29,27 @@ def top_by_hash(df: DataFrame, group: str, identity: list[str], n: int, seed: in
     return df.withColumn("_rank", F.row_number().over(line)).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def sample_entities(pairs: DataFrame, n: int = 50, seed: int = 42) -> DataFrame:
+def sample_entities(pairs: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``n`` entities of every property, none of them a sandbox."""
     return top_by_hash(no_sandboxes(pairs).select("entity_id", "property_id").distinct(), "property_id",
                        ["entity_id", "property_id"], n, seed)
 
 
-def limited_pairs(pairs: DataFrame, n: int = 100_000, seed: int = 42) -> DataFrame:
-    """At most ``n`` (entity, property) rows, the same ones every time."""
+def limited_pairs(pairs: DataFrame, n: int | None, seed: int = 42) -> DataFrame:
+    """At most ``n`` (entity, property) rows, the same ones every time; None keeps all.
+
+    A hash threshold from one count leaves a little more than ``n`` rows, and only those are sorted.
+    """
+    found = no_sandboxes(pairs).select("entity_id", "property_id")
+    if n is None:
+        return found
+    total = found.count()
+    if total <= n:
+        return found
     order = hash_order("entity_id", "property_id", seed=seed)
-    return no_sandboxes(pairs).select("entity_id", "property_id").orderBy(order, "entity_id", "property_id").limit(n)
+    # Twenty deviations above the expected number, so that no more than chance can leave too few.
+    share = min(1.0, (n + 20 * n**0.5 + 100) / total)
+    return found.filter(order < int(share * 2**HASH_BITS)).orderBy(order, "entity_id", "property_id").limit(n)
 
 
 def _within_share(df: DataFrame, group: list[str], identity: list[str], share: float, scale: Scale, seed: int) -> DataFrame:

@@ -65,9 +65,10 @@ def label_counts(catalogue: DataFrame) -> DataFrame:
         (100.0 * F.try_divide(F.col("num_irregular_ids"), F.col("num_irregular"))).alias("pct_irregular_ids"))
 
 
-def non_id_static_properties(catalogue: DataFrame, n: int = 30) -> DataFrame:
-    """The first ``n`` static properties that are no identifiers, for reading through."""
-    return (
+def non_id_static_properties(catalogue: DataFrame, n: int | None) -> DataFrame:
+    """Static properties that are no identifiers, the first ``n`` for reading through or, with None, all."""
+    found = (
         catalogue.filter((F.col("property_type") == "static") & ~F.col("property_label").contains(" ID"))
-        .select("property_id", "property_label", "property_type").orderBy("property_id").limit(n)
+        .select("property_id", "property_label", "property_type")
     )
+    return found if n is None else found.orderBy("property_id").limit(n)

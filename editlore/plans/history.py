@@ -49,11 +49,12 @@ FEATURES = {
 
 
 def spread_left_join(df: DataFrame, dimension: DataFrame, key: str, spread_on: str) -> DataFrame:
-    """Left join on a key that is often NULL. Rows without a key match nothing; they get scattered stand-in keys
-    (below every real one), so they do not all meet in one task."""
-    stand_in = F.when(F.col(key).isNull(), -1 - F.pmod(F.xxhash64(spread_on), F.lit(65_536))).otherwise(F.col(key))
-    renamed = dimension.filter(F.col(key) >= 0).withColumnRenamed(key, "_key")
-    return df.withColumn("_key", stand_in).join(renamed, "_key", "left").drop("_key")
+    """Left join on a key that is often NULL. Rows without a key match nothing; a second join column, 0 for real keys, scatters
+    them, so that they do not all meet in one task."""
+    salt = F.when(F.col(key).isNull(), 1 + F.pmod(F.xxhash64(spread_on), F.lit(65_536))).otherwise(0)
+    salted = df.withColumns({"_key": F.coalesce(F.col(key), F.lit(0)), "_salt": salt})
+    renamed = dimension.filter(F.col(key).isNotNull()).withColumnRenamed(key, "_key").withColumn("_salt", F.lit(0).cast("long"))
+    return salted.join(renamed, ["_key", "_salt"], "left").drop("_key", "_salt")
 
 
 def with_change_types(changes: DataFrame) -> DataFrame:
@@ -107,10 +108,12 @@ def with_replaced_values(changes: DataFrame, scale: Scale) -> DataFrame:
 
 
 def expected_datatypes(changes: DataFrame) -> DataFrame:
-    """The most frequent datatype of each property, the smallest on ties. Counting first keeps groups small."""
-    counted = changes.groupBy("property_id", F.coalesce("new_datatype", F.lit("")).alias("_type")).agg(
-        F.count(F.lit(1)).alias("_n"))
-    best = F.min(F.struct((-F.col("_n")).alias("n"), F.col("_type").alias("t")))
+    """The most frequent datatype of each property, the smallest on ties. Counting first keeps groups small.
+
+    Missing datatypes take no part; a property that has no other keeps its row with NULL.
+    """
+    counted = changes.groupBy("property_id", F.col("new_datatype").alias("_type")).agg(F.count(F.lit(1)).alias("_n"))
+    best = F.min(F.struct(F.col("_type").isNull().alias("missing"), (-F.col("_n")).alias("n"), F.col("_type").alias("t")))
     return counted.groupBy("property_id").agg(best["t"].alias("expected_datatype"))
 
 

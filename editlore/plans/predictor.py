@@ -155,8 +155,8 @@ def target_distribution(df: DataFrame) -> DataFrame:
         share(n - positive, n).alias("ratio_negative"))
 
 
-def binary_metrics(df: DataFrame, target: str, prediction: str, by: list[str]) -> DataFrame:
-    """Counts, precision, recall and F1 of class 1 from one pass; nothing to divide by gives 0."""
+def binary_metrics(df: DataFrame, target: str, prediction: str, by: list[str], more: list[Column] = ()) -> DataFrame:
+    """Counts, precision, recall and F1 of class 1, and ``more`` aggregates, from one pass; nothing to divide by gives 0."""
     hit, said, true = (
         count_where((F.col(target) == 1) & (F.col(prediction) == 1)),
         count_where(F.col(prediction) == 1), count_where(F.col(target) == 1))
@@ -164,18 +164,17 @@ def binary_metrics(df: DataFrame, target: str, prediction: str, by: list[str]) -
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("num_rows"), true.alias("num_positive"), said.alias("num_predicted"), hit.alias("num_hits"),
         F.coalesce(share(hit, said), zero).alias("precision"), F.coalesce(share(hit, true), zero).alias("recall"),
-        F.coalesce(share(2 * hit, said + true), zero).alias("f1"))
+        F.coalesce(share(2 * hit, said + true), zero).alias("f1"), *more)
 
 
 def baseline_anonymous(df: DataFrame) -> DataFrame:
     """What calling exactly the rejected anonymous edits unreliable would score; its precision is 1 by construction."""
     anonymous = F.col("user_type") == "anonymous"
     predicted = df.withColumn("prediction_anonymous", flag(anonymous & (F.col("target_to_predict") == 1)))
-    counts = predicted.groupBy("split").agg(
+    return binary_metrics(predicted, "target_to_predict", "prediction_anonymous", ["split"], [
         count_where(anonymous).alias("num_anonymous"),
         count_where(anonymous & (F.col("target_to_predict") == 1)).alias("num_anonymous_rejected"),
-        count_where(~anonymous & (F.col("target_to_predict") == 1)).alias("num_other_rejected"))
-    return counts.join(binary_metrics(predicted, "target_to_predict", "prediction_anonymous", ["split"]), "split")
+        count_where(~anonymous & (F.col("target_to_predict") == 1)).alias("num_other_rejected")])
 
 
 def prediction_validation(original: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -185,10 +184,12 @@ def prediction_validation(original: DataFrame, predictions: DataFrame) -> DataFr
         "prediction", F.coalesce(F.col("prediction").cast("int"), F.lit(0)))
 
 
-def rejected_values(validated: DataFrame, n: int = 50) -> DataFrame:
-    """Value changes predicted to be rejected, the first ``n`` for reading through."""
+def rejected_values(validated: DataFrame, n: int | None) -> DataFrame:
+    """Value changes predicted to be rejected, the first ``n`` for reading through or, with None, all."""
     rejected = validated.filter((F.col("prediction") == 1) & (F.col("action") != "DELETE") & (F.col("change_target") == ""))
     shown = ["entity_id", "entity_label", "property_id", "property_label", "value_id", "old_value", "new_value"]
+    if n is None:
+        return rejected.select(*shown)
     return rejected.orderBy(*STATEMENT, "timestamp", "revision_id").select(*shown).limit(n)
 
 

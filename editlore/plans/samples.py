@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from editlore.operators.ordered import Before, ordered_scan
+from editlore.operators.ordered import Before, Latest, ordered_scan, overlay
 from editlore.plans.frequency import exploded_types
 from editlore.session import Scale
 
@@ -32,15 +32,26 @@ def sampled_changes_for_features(
         pairs, value_change.filter(F.col("action") != "DELETE"), entity_stats, previous_edit_on_entity(revision, scale))
 
 
-def sampled_references(changes: DataFrame, reference_change: DataFrame) -> DataFrame:
-    """Every reference change on an (entity, property) beside every sampled change on it.
+#: What a reference change shows of the sampled change it belongs to.
+CONTEXT = ["revision_id", "entity_label", "property_label", "timestamp", "year", "label", "action", "old_value", "new_value", "old_datatype", "new_datatype",
+           "user_type", "username", "user_id", "comment"]
 
-    The pairing is the asked-for result; both inputs are narrowed to what is shown before they meet.
+
+def sampled_references(changes: DataFrame, reference_change: DataFrame, scale: Scale) -> DataFrame:
+    """Every reference change beside the latest sampled change of its statement at or before it.
+
+    Both logs are scanned on one time axis, so the result has at most one row per reference change, however many changes a statement has.
     """
-    shown = ["ref_property_id", "ref_hash", "new_value", "change_target", "action", "value_id"]
-    context = changes.select("revision_id", "entity_id", "entity_label", "property_id", "timestamp", "year", "user_type",
-                             "username", "user_id", "comment")
-    return context.join(reference_change.select("entity_id", "property_id", *shown), ["entity_id", "property_id"])
+    statement = ["entity_id", "property_id", "value_id"]
+    events = changes.select(*statement, "timestamp", "revision_id", F.struct(*(F.col(c).alias(f"change_{c}") for c in CONTEXT)).alias("_change"))
+    found = overlay(reference_change, events, statement, {"_latest": Latest(F.col("_change"))}, scale)
+    return found.filter(F.col("_latest").isNotNull()).select(*reference_change.columns, "_latest.*")
+
+
+def shown_sample(changes: DataFrame, prop_ref_rate: DataFrame) -> DataFrame:
+    """Sampled changes with their month and whether their property needs a source."""
+    needs = prop_ref_rate.select("property_id", "citation_needed")
+    return changes.join(needs, "property_id", "left").withColumn("year_month", F.date_format("timestamp", "yyyy-MM"))
 
 
 def with_entity_type(changes: DataFrame, entity_stats: DataFrame) -> DataFrame:

@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from editlore.functions.columns import MICROS_PER_DAY, count_where, is_weekend, micros_between, share, time_of_day, whole_days
+from editlore.operators.ordered import Before, ordered_scan
+from editlore.session import Scale
 
 
-def user_model(value_change: DataFrame, revision: DataFrame) -> DataFrame:
+USER = ["user_id", "username", "user_type"]
+
+
+def user_model(value_change: DataFrame, revision: DataFrame, scale: Scale) -> DataFrame:
     """One row per bot or human editor.
 
-    The average gap between consecutive changes is the whole span over the number of gaps, so no editor's
-    history has to be ordered; everything is a plain aggregate with map-side combine.
+    Gaps between consecutive changes run along the username, whatever its type at the time, and count for the later change. One
+    scan by username finds them and the first change of each revision; sums by user, entity and property come next, and entities
+    and properties are only counted in those.
     """
     changes = (
         value_change.filter(F.col("change_target") == "")
@@ -20,31 +26,38 @@ def user_model(value_change: DataFrame, revision: DataFrame) -> DataFrame:
         .join(revision.filter(F.col("user_type").isin("bot", "human"))
               .select("revision_id", "user_id", "username", "user_type", "timestamp"), "revision_id")
     )
+    changes = ordered_scan(changes, ["username"], {"_before": Before(F.struct("timestamp", "revision_id"))}, scale)
     at, n = F.col("timestamp"), F.count(F.lit(1))
     part, weekend = time_of_day(at), is_weekend(at)
-    span = micros_between(F.max(at), F.min(at))
-    days = F.nullif(whole_days(F.max(at), F.min(at)), F.lit(0))
-    return changes.groupBy("user_id", "username", "user_type").agg(
-        F.min(at).alias("first_edit"),
-        F.max(at).alias("last_edit"),
-        F.count_distinct("entity_id").alias("num_entities"),
-        F.count_distinct("revision_id").alias("num_revisions"),
-        F.count_distinct("property_id").alias("num_properties"),
-        count_where(F.col("action") == "CREATE").alias("num_creates"),
-        count_where(F.col("action") == "DELETE").alias("num_deletes"),
-        count_where(F.col("action") == "UPDATE").alias("num_updates"),
-        n.alias("num_value_changes"),
-        count_where(F.col("is_reverted") == 1).alias("num_reverted_edits"),
-        count_where((F.col("is_reverted") == 0) & (F.col("reversion") == 0)).alias("num_non_reverted_edits"),
-        F.when(n > 1, span / (n - 1) / float(MICROS_PER_DAY)).alias("avg_days_between_revisions"),
-        count_where(part == "morning").alias("num_edits_morning"),
-        count_where(part == "afternoon").alias("num_edits_afternoon"),
-        count_where(part == "night").alias("num_edits_night"),
-        count_where(~weekend).alias("num_edits_weekday"),
-        count_where(weekend).alias("num_edits_weekend"),
-        share(F.count_distinct("entity_id"), days).alias("avg_entities_per_day"),
-        share(F.count_distinct("property_id"), days).alias("avg_properties_per_day"),
-    )
+    sums = {
+        "num_revisions": count_where(~F.col("_before.revision_id").eqNullSafe(F.col("revision_id"))),
+        "num_creates": count_where(F.col("action") == "CREATE"),
+        "num_deletes": count_where(F.col("action") == "DELETE"),
+        "num_updates": count_where(F.col("action") == "UPDATE"),
+        "num_value_changes": n,
+        "num_reverted_edits": count_where(F.col("is_reverted") == 1),
+        "num_non_reverted_edits": count_where((F.col("is_reverted") == 0) & (F.col("reversion") == 0)),
+        "num_edits_morning": count_where(part == "morning"),
+        "num_edits_afternoon": count_where(part == "afternoon"),
+        "num_edits_night": count_where(part == "night"),
+        "num_edits_weekday": count_where(~weekend),
+        "num_edits_weekend": count_where(weekend),
+        "_gap": F.sum(micros_between(at, F.col("_before.timestamp"))),
+        "_gaps": F.count("_before"),
+    }
+    by_pair = changes.groupBy(*USER, "entity_id", "property_id").agg(
+        F.min(at).alias("first_edit"), F.max(at).alias("last_edit"), *(c.alias(name) for name, c in sums.items()))
+    by_entity = by_pair.groupBy(*USER, "entity_id").agg(F.min("first_edit").alias("first_edit"), F.max("last_edit").alias("last_edit"), *(F.sum(c).alias(c) for c in sums))
+    model = by_entity.groupBy(*USER).agg(
+        F.min("first_edit").alias("first_edit"), F.max("last_edit").alias("last_edit"), n.alias("num_entities"), *(F.sum(c).alias(c) for c in sums))
+    properties = by_pair.select(*USER, "property_id").distinct().groupBy(*USER).agg(n.alias("num_properties"))
+    days = F.nullif(whole_days(F.col("last_edit"), F.col("first_edit")), F.lit(0))
+    return model.join(properties, USER).select(
+        *USER, "first_edit", "last_edit", "num_entities", "num_revisions", "num_properties", "num_creates", "num_deletes", "num_updates", "num_value_changes",
+        "num_reverted_edits", "num_non_reverted_edits",
+        F.when(F.col("_gaps") > 0, F.col("_gap") / F.col("_gaps") / float(MICROS_PER_DAY)).alias("avg_days_between_revisions"),
+        "num_edits_morning", "num_edits_afternoon", "num_edits_night", "num_edits_weekday", "num_edits_weekend",
+        share(F.col("num_entities"), days).alias("avg_entities_per_day"), share(F.col("num_properties"), days).alias("avg_properties_per_day"))
 
 
 def user_property(value_change: DataFrame, revision: DataFrame, model: DataFrame) -> DataFrame:

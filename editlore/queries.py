@@ -77,7 +77,7 @@ class Analyses(Tables):
 
     @cached_property
     def model(self) -> DataFrame:
-        return shared(users.user_model(self.log.value_change, self.log.revision), self.scale)
+        return shared(users.user_model(self.log.value_change, self.log.revision, self.scale), self.scale)
 
     @cached_property
     def user_property(self) -> DataFrame:
@@ -121,8 +121,8 @@ class Analyses(Tables):
 
     @cached_property
     def static_changes(self) -> DataFrame:
-        pairs = sampling.limited_pairs(self.typed_pairs("static"))
-        return samples.sampled_changes(pairs, self.log.value_change, self.log.entity_stats, self.log.revision)
+        pairs = sampling.limited_pairs(self.typed_pairs("static"), None)
+        return samples.sampled_changes(pairs, history.with_replaced_values(self.log.value_change, self.scale), self.log.entity_stats, self.log.revision)
 
     @cached_property
     def triples(self) -> DataFrame:
@@ -142,9 +142,10 @@ TARGET_COLUMNS = ["revision_id", *STATEMENT, "change_target", "model_group", "sp
 
 
 def _validated(a: Analyses) -> DataFrame:
-    tested = a.labelled.filter("split = 'test'")
-    predicted = predictor.model_rows(tested).withColumn(
-        "prediction", flag((F.col("user_type") == "anonymous") & (F.col("target_to_predict") == 1)))
+    """The test set with the verdict of a rule that does not know the target: an anonymous edit, or one that came within a day of the one before."""
+    tested = shared(a.labelled.filter("split = 'test'"), a.scale)
+    soon = F.col("time_to_previous_edit_days") < 1
+    predicted = predictor.model_rows(tested).withColumn("prediction", flag((F.col("user_type") == "anonymous") | soon))
     return predictor.prediction_validation(tested, predicted)
 
 
@@ -172,17 +173,38 @@ def _property_prompts(a: Analyses) -> DataFrame:
     return prompts.property_prompts(a.routed, nearest, a.properties)
 
 
-def _majority_scorer():
-    return lambda texts: ['{"property_type": "static"}' for _ in texts]
+def _update_scorer():
+    """Properties whose values were never updated are static, those whose values hold for a time regular."""
+    def kind(text: str) -> str:
+        shown = text.rsplit("Reply with JSON", 1)[1]
+        return "static" if "on average: never updated" in shown else "regular" if "hold" in shown else "irregular"
+
+    return lambda texts: ['{"property_type": "%s"}' % kind(text) for text in texts]
 
 
 def _property_accuracy(a: Analyses) -> DataFrame:
-    replied = prompts.classify_properties(_property_prompts(a), _majority_scorer)
+    replied = prompts.classify_properties(_property_prompts(a), _update_scorer)
     return prompts.classification_accuracy(replied, "property_type", "property_type_predicted")
 
 
-def _length_scorer():
-    return lambda texts: ['{"score": %d, "explanation": "%d characters"}' % (1 + len(t) % 5, len(t)) for t in texts]
+def _section_scorer():
+    """Insertions score high, edits without a comment low; the explanation counts the lines that were read. Comments of one tool cannot be read."""
+    def answer(text: str) -> str:
+        shown = text[text.index("\nEDIT\n"):]
+        if '"comment":"/* wbsetclaim' in shown:
+            raise ValueError("unreadable comment")
+        score = 5 if '"action":"CREATE"' in shown else 2 if '"comment":""' in shown else 4
+        return '{"score": %d, "explanation": "%d lines"}' % (score, shown.count("\n"))
+
+    return lambda texts: [answer(text) for text in texts]
+
+
+def _change_scores(a: Analyses) -> DataFrame:
+    """Both dimensions and all settings for every change that can be judged."""
+    judged = prompts.judged_changes(a.feature_table, None)
+    for dimension in ("accuracy", "needs_reference"):
+        judged = prompts.score_changes(judged, _section_scorer, dimension)
+    return judged.select("revision_id", *(f"{d}_{part}_{s}" for d in ("accuracy", "needs_reference") for s in prompts.SETTINGS for part in ("score", "explanation", "error")))
 
 
 ANALYSES: dict[str, Callable[[Analyses], DataFrame]] = {
@@ -221,7 +243,8 @@ ANALYSES: dict[str, Callable[[Analyses], DataFrame]] = {
     "property_catalogue": lambda a: a.properties,
     "properties_to_classify": lambda a: a.to_classify,
     "label_counts": lambda a: catalogue.label_counts(a.properties),
-    "non_id_static_properties": lambda a: catalogue.non_id_static_properties(a.properties),
+    "non_id_static_properties": lambda a: catalogue.non_id_static_properties(a.properties, None),
+    "first_non_id_static_properties": lambda a: catalogue.non_id_static_properties(a.properties, 30),
     "user_model": lambda a: a.model,
     "user_property": lambda a: a.user_property,
     "user_expertise": lambda a: users.expertise(a.user_property, a.property_dimension),
@@ -257,22 +280,25 @@ ANALYSES: dict[str, Callable[[Analyses], DataFrame]] = {
     "target_distribution": lambda a: predictor.target_distribution(a.labelled),
     "baseline_anonymous": lambda a: predictor.baseline_anonymous(predictor.model_rows(a.labelled)),
     "prediction_validation": lambda a: _validated(a).select(*TARGET_COLUMNS, "prediction"),
-    "rejected_values": lambda a: predictor.rejected_values(_validated(a)),
+    "rejected_values": lambda a: predictor.rejected_values(_validated(a), None),
+    "first_rejected_values": lambda a: predictor.rejected_values(_validated(a), 50),
     "profile_counts": lambda a: predictor.profile_counts(a.predictor_features),
     "values_per_property": lambda a: predictor.average_values_per_property(a.log.value_change),
     "update_frequency_by_type": lambda a: frequency.update_frequency_by_type(
         frequency.real_updates(a.log.value_change, None), a.log.entity_stats, a.scale),
     "representative_values": lambda a: frequency.representative_values(frequency.real_updates(a.log.value_change, None)),
     "active_entities": lambda a: active_entities(a.log.entity_stats),
-    "sample_entities_static": lambda a: sampling.sample_entities(a.typed_pairs("static")),
-    "sample_entities_irregular": lambda a: sampling.sample_entities(a.typed_pairs("irregular")),
-    "sampled_changes": lambda a: samples.with_entity_type(a.static_changes, a.log.entity_stats).select(
-        "revision_id", "entity_id", "property_id", "value_id", "timestamp", "action", "label", "change_type", "user_type",
-        "username", "user_id", "comment", "entity_first_revision_timestamp", "entity_type"),
+    "sample_entities_static": lambda a: sampling.sample_entities(a.typed_pairs("static"), 50),
+    "sample_entities_irregular": lambda a: sampling.sample_entities(a.typed_pairs("irregular"), 50),
+    "sampled_changes": lambda a: samples.with_entity_type(samples.shown_sample(a.static_changes, a.dimension("prop_ref_rate")), a.log.entity_stats).select(
+        "revision_id", "entity_id", "entity_label", "property_id", "property_label", "value_id", "timestamp", "year", "year_month", "action", "label", "change_type",
+        "old_value", "new_value", "old_datatype", "new_datatype", "is_reverted", "reversion", "user_type", "username", "user_id", "comment", "citation_needed",
+        "entity_first_revision_timestamp", "entity_type"),
+    "limited_static_pairs": lambda a: sampling.limited_pairs(a.typed_pairs("static"), 100),
     "sampled_changes_for_features": lambda a: samples.sampled_changes_for_features(
-        sampling.sample_entities(a.typed_pairs("static")), a.log.value_change, a.log.entity_stats, a.log.revision, a.scale).select(
+        sampling.sample_entities(a.typed_pairs("static"), 50), a.log.value_change, a.log.entity_stats, a.log.revision, a.scale).select(
         "revision_id", "entity_id", "property_id", "value_id", "timestamp", "action", "user_type", "prev_edit_on_entity"),
-    "sampled_references": lambda a: samples.sampled_references(a.static_changes, a.log.reference_change),
+    "sampled_references": lambda a: samples.sampled_references(a.static_changes, a.log.reference_change, a.scale),
     "prev_edit_on_entity": lambda a: samples.previous_edit_on_entity(a.log.revision, a.scale),
     "knn4": lambda a: a.neighbours.select("property_id", "rank", "similarity"),
     "knn4_lists": lambda a: neighbours.neighbour_lists(a.neighbours),
@@ -300,12 +326,11 @@ ANALYSES: dict[str, Callable[[Analyses], DataFrame]] = {
     "property_stability": lambda a: graph.stable_properties(a.triples),
     "sameas_links": lambda a: graph.same_as_links(a.triples, a.view("linked_entities")),
     "sparql_bindings": _link_results,
-    "change_prompts": lambda a: prompts.change_prompts(a.feature_table, settings={
-        "no_context": (False, False, False), "with_change_type": (False, False, True)}).select(
-        "revision_id", "prompt_no_context", "prompt_with_change_type"),
-    "judged_changes": lambda a: prompts.judged_changes(a.feature_table).select("revision_id", "label", "change_type"),
-    "change_scores": lambda a: prompts.score_changes(prompts.judged_changes(a.feature_table), _length_scorer).select(
-        "revision_id", *(f"accuracy_score_{s}" for s in prompts.SETTINGS)),
+    "change_prompts": lambda a: prompts.change_prompts(a.feature_table).select("revision_id", *(f"prompt_{s}" for s in prompts.SETTINGS)),
+    "reference_prompts": lambda a: prompts.change_prompts(a.feature_table, "needs_reference").select("revision_id", *(f"prompt_{s}" for s in prompts.SETTINGS)),
+    "judged_changes": lambda a: prompts.judged_changes(a.feature_table, None).select("revision_id", "label", "change_type"),
+    "first_judged_changes": lambda a: prompts.judged_changes(a.feature_table, 100).select("revision_id", "label", "change_type"),
+    "change_scores": _change_scores,
     "property_prompts": lambda a: _property_prompts(a).select("property_id", "prompt"),
     "property_type_accuracy": _property_accuracy,
 }

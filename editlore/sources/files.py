@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,10 +22,13 @@ REFERENCE_SCHEMA = (
     "change_target string, ref_hash string, ref_property_id bigint, new_value string")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None) -> DataFrame:
-    """A CSV with header; only ``columns`` are parsed. Missing change targets mean value changes."""
+def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None, multiline: bool = False) -> DataFrame:
+    """A CSV with header; only ``columns`` are parsed. Missing change targets mean value changes.
+
+    ``multiline`` allows line breaks inside quoted values; such a file cannot be split and is read by one task.
+    """
     # RFC quoting: JSON values double their quotes, nothing is escaped by backslash.
-    df = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    df = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", multiline).csv(path)
     if "change_target" in df.columns:
         df = df.fillna("", ["change_target"])
     return df.select(*columns) if columns else df
@@ -68,12 +72,17 @@ def sparql_bindings(results: DataFrame, column: str, variables: list[str]) -> Da
 def append_missing(df: DataFrame, path: str, key: str) -> int:
     """Append the rows whose key is not in ``path`` yet, so an interrupted job continues where it stopped.
 
-    Returns the number of rows written. What is there already is known from the data itself, not from a bookmark.
+    Returns the number of rows written, counted while they are. What is there already is known from the data itself, not from a
+    bookmark; of rows that share a key in ``df`` one is written.
     """
     spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    missing = df.join(spark.read.parquet(path).select(key), key, "left_anti") if exists else df
-    before = spark.read.parquet(path).count() if exists else 0
-    missing.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    once = df.dropDuplicates([key])
+    try:
+        missing = once.join(spark.read.parquet(path).select(key), key, "left_anti")
+    except AnalysisException as error:  # nothing was written yet
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        missing = once
+    written = Observation()
+    missing.observe(written, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(path)
+    return written.get["rows"]

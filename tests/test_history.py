@@ -62,13 +62,16 @@ def test_replaced_values_stay_within_value_or_rank(spark):
 
 def test_users_without_model_keep_their_rows(spark):
     log = changes(spark, dict(user_id=None, user_type="anonymous"), dict(user_id=1), dict(user_id=9))
-    dim = spark.createDataFrame([(1, "x"), (2, "y")], "user_id bigint, name string")
+    dim = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z"), (-5, "negative"), (0, "zero")], "user_id bigint, name string")
     assert values(history.spread_left_join(log, dim, "user_id", "revision_id"), "name") == [None, "x", None]
+    odd = changes(spark, dict(user_id=-5), dict(user_id=0), dict(user_id=None))
+    assert values(history.spread_left_join(odd, dim, "user_id", "revision_id"), "name") == ["negative", "zero", None]
 
 
 def test_modal_datatype_takes_the_smallest_on_ties(spark):
-    log = changes(spark, dict(new_datatype="string"), dict(new_datatype="quantity"), dict(property_id=2, new_datatype="time"))
-    assert {r.property_id: r.expected_datatype for r in history.expected_datatypes(log).collect()} == {1: "quantity", 2: "time"}
+    log = changes(spark, dict(new_datatype="string"), dict(new_datatype="quantity"), dict(property_id=2, new_datatype="time"),
+                  *[dict(property_id=2, new_datatype=None)] * 3, dict(property_id=3, new_datatype=None))
+    assert {r.property_id: r.expected_datatype for r in history.expected_datatypes(log).collect()} == {1: "quantity", 2: "time", 3: None}
 
 
 @pytest.mark.parametrize("value, text", [('"+12.5"', "+12.5"), ("7", "7"), ('["a", "b"]', "a"), ("{}", None), ('{"a": 1}', None), (None, None)])
@@ -110,8 +113,19 @@ def test_update_gaps_are_the_mean_of_consecutive_gaps(spark):
 def test_user_model_of_a_single_edit(spark):
     log = changes(spark, {}, dict(user_id=2, username="user2", at=0.5), dict(user_id=2, username="user2", at=3))
     revision = log.select("revision_id", "entity_id", "timestamp", "user_type", "user_id", "username", "comment")
-    found = {r.user_id: r for r in users.user_model(log, revision).collect()}
+    found = {r.user_id: r for r in users.user_model(log, revision, Scale(3)).collect()}
     assert found[1].avg_days_between_revisions is None and found[1].avg_entities_per_day is None
     assert found[2].avg_days_between_revisions == 2.5 and found[2].avg_entities_per_day == 0.5
     assert found[2].num_edits_afternoon == 1 and found[2].num_edits_night == 1
     assert found[2].first_edit is not None and day(0).tzinfo is not None
+
+
+def test_gaps_run_along_the_username(spark):
+    kinds = [("human", 0), ("bot", 1), ("human", 4), ("human", 10), ("bot", 11)]
+    log = changes(spark, *(dict(user_type=t, at=a) for t, a in kinds), dict(user_type="anonymous", at=2, user_id=None))
+    revision = log.select("revision_id", "entity_id", "timestamp", "user_type", "user_id", "username", "comment")
+    for limit in (100, 2):
+        scale = Scale(6, limit, lambda: log.select("entity_id", "property_id", "value_id", F.lit(1).alias("weight")))
+        found = {r.user_type: r for r in users.user_model(log, revision, scale).collect()}
+        assert found["human"].avg_days_between_revisions == 4.5 and found["bot"].avg_days_between_revisions == 1.0
+        assert found["human"].num_revisions == 3 and found["human"].num_entities == found["human"].num_properties == 1 and "anonymous" not in found

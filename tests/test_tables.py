@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from editlore.plans import catalogue, graph, profile, prompts, samples
+from editlore.operators import sampling
 from editlore.session import Scale, small_side
 from editlore.sources import files
+from editlore.vocabulary import SANDBOX_ENTITIES
 
 from .conftest import changes, day
 
@@ -22,6 +24,13 @@ def test_csv_keeps_json_values(spark, tmp_path):
     assert back.agg(F.min("timestamp") == F.lit(day(0))).first()[0]
 
 
+def test_csv_with_line_breaks(spark, tmp_path):
+    (tmp_path / "c.csv").write_text('entity_id,comment\n1,"two\nlines"\n')
+    schema = "entity_id long, comment string"
+    assert [r.comment for r in files.read_csv(spark, str(tmp_path / "c.csv"), schema, multiline=True).collect()] == ["two\nlines"]
+    assert files.read_csv(spark, str(tmp_path / "c.csv"), schema).count() == 2
+
+
 def test_export_and_dimension_load(spark, tmp_path):
     entities = spark.createDataFrame([(i, i) for i in range(30)], "entity_id long, num_value_changes long")
     files.export_active_entities(entities, str(tmp_path / "e"))
@@ -37,7 +46,7 @@ def test_append_continues_where_it_stopped(spark, tmp_path):
     path = str(tmp_path / "links")
     df = spark.range(10).withColumnRenamed("id", "entity_id")
     assert files.append_missing(df.filter("entity_id < 4"), path, "entity_id") == 4
-    assert files.append_missing(df, path, "entity_id") == 6
+    assert files.append_missing(df.unionByName(df), path, "entity_id") == 6
     assert files.append_missing(df, path, "entity_id") == 0
     assert sorted(r.entity_id for r in spark.read.parquet(path).collect()) == list(range(10))
 
@@ -115,14 +124,17 @@ def test_constraint_patterns(spark):
     assert [(r.entity_id, r.dbpedia_id) for r in graph.same_as_links(triples, entities).orderBy("entity_id").collect()] == [(5, "A"), (6, None)]
 
 
-def test_sampled_references_pair_changes_with_references(spark):
-    log = changes(spark, {}, {}).withColumn("year", F.lit(2022))
-    refs = spark.createDataFrame([(1, 1, 143, "h", "x", "", "CREATE", "v"), (2, 1, 143, "h", "x", "", "CREATE", "v")],
-                                 "entity_id long, property_id long, ref_property_id long, ref_hash string, new_value string, change_target string, action string, value_id string")
-    assert samples.sampled_references(log, refs).count() == 2
+@pytest.mark.parametrize("limit", [100, 1])
+def test_sampled_references_take_the_latest_change(spark, limit):
+    log = changes(spark, dict(at=1), dict(at=3), dict(at=9, value_id="w")).withColumn("year", F.lit(2022))
+    refs = spark.createDataFrame([(10, 1, 1, v, day(at), 143, "h") for v, at in (("v", 0), ("v", 2), ("v", 3), ("v", 8), ("w", 1))],
+                                 "revision_id long, entity_id long, property_id long, value_id string, timestamp timestamp, ref_property_id long, ref_hash string")
+    scale = Scale(8, limit, lambda: log.select("entity_id", "property_id", "value_id", F.lit(1).alias("weight")))
+    found = samples.sampled_references(log, refs, scale).orderBy("timestamp").collect()
+    assert [(r.timestamp.day, r.change_revision_id) for r in found] == [(3, 1), (4, 2), (9, 2)]
 
 
-FEATURES = {c: 0 for c in [*prompts.USER_INFO.values(), *prompts.HISTORY_INFO.values(), *prompts.REFERENCE_INFO, *prompts.CHANGE_WORDS]
+FEATURES = {c: 0.0 if c in prompts.FRACTIONS else 0 for c in [*prompts.USER_INFO, *prompts.HISTORY_INFO, *prompts.REFERENCE_INFO, *prompts.CHANGE_MEANINGS]
             if c != "user_type"}
 
 
@@ -137,35 +149,54 @@ def test_change_prompts_show_the_chosen_sections(spark):
                      dict(user_type="anonymous"))
     first, second = prompts.change_prompts(df).orderBy("revision_id").collect()
     details = json.loads(first.prompt_no_context.split("\n")[1])
-    assert details["new_value"] == '"Q5" (No label known)' and details["old_value"] == "" and details["comment"] == "No comment"
-    assert "User information" not in first.prompt_with_historic_features
-    assert "First edit for this value" in first.prompt_all_features and "No next edit" in first.prompt_all_features
+    assert details["new_value"] == '"Q5" (unlabelled)' and details["old_value"] == "" and details["comment"] == ""
+    assert "EDITOR" not in first.prompt_with_historic_features
+    assert "no edit before" in first.prompt_all_features and "no edit after" in first.prompt_all_features
     assert '{"user_type":"anonymous"}' in second.prompt_with_user_model and "num_revisions_user" in first.prompt_with_user_model
     reference = df.select(prompts.change_prompt(history=True, dimension="needs_reference")).first()[0]
     assert "ratio_wikipedia_refs_up_to_t" not in reference
-    assert "needs" not in prompts.instructions("accuracy") and "user information" in prompts.instructions("accuracy", user=True)
+    told = prompts.instructions("accuracy", user=True)
+    assert "source" not in told and "editor" in told and "refinement means" not in told
+    assert all(f"{kind} means" in prompts.instructions("needs_reference", change_type=True) for kind in prompts.CHANGE_MEANINGS)
 
 
 def test_failed_requests_give_empty_scores(spark):
-    df = prompt_rows(spark, {}, {})
+    df = prompt_rows(spark, dict(entity_label="fine"), dict(entity_label="bad"), dict(entity_label="fine")).coalesce(1)
 
     def make():
         def score(texts):
-            if "User information" in texts[0]:
+            assert all(text.startswith("You review edits") for text in texts)
+            if any("EDITOR" in text or "bad" in text for text in texts):
                 raise ValueError("no answer")
             return ['{"score": 3, "explanation": "ok"}' for _ in texts]
         return score
 
-    row = prompts.score_changes(df, make).first()
-    assert row.accuracy_score_no_context == 3.0 and row.accuracy_explanation_no_context == "ok"
-    assert row.accuracy_score_with_user_model is None
+    rows = prompts.score_changes(df, make).orderBy("revision_id").collect()
+    assert [r.accuracy_score_no_context for r in rows] == [3.0, None, 3.0] and rows[0].accuracy_explanation_no_context == "ok"
+    assert [r.accuracy_error_no_context for r in rows] == [None, "ValueError: no answer", None]
+    assert {r.accuracy_score_with_user_model for r in rows} == {None} and {r.accuracy_error_all_features for r in rows} == {"ValueError: no answer"}
+
+
+@pytest.mark.parametrize("n, found", [(None, 6), (1, 2), (2, 4), (100, 6)])
+def test_judged_changes_are_limited_per_kind(spark, n, found):
+    rows = [dict(label="statement_insertion"), dict(label="value_update", change_type="refinement")] * 3 + [dict(label="statement_deletion"), dict(label="x")]
+    judged = prompts.judged_changes(prompt_rows(spark, *rows), n).collect()
+    assert len(judged) == found and {r.revision_id for r in judged} == set(range(1, found + 1))
+
+
+def test_limited_pairs_bind(spark):
+    pairs = spark.range(5000).selectExpr("id as entity_id", "id % 7 as property_id").unionByName(spark.createDataFrame([(SANDBOX_ENTITIES[0], 1)], "entity_id long, property_id long"))
+    everything = sampling.limited_pairs(pairs, None)
+    assert everything.count() == 5000 and sampling.limited_pairs(pairs, 6000).count() == 5000
+    order = [(r.entity_id, r.property_id) for r in everything.orderBy(sampling.hash_order("entity_id", "property_id"), "entity_id").limit(50).collect()]
+    assert {(r.entity_id, r.property_id) for r in sampling.limited_pairs(pairs, 50).collect()} == set(order)
 
 
 def test_property_examples(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "property_id long, prompt string")
     examples = prompts.example_prompts(df, {"static": [2, 9], "regular": [1]})
     assert examples == {"static": ["b"], "regular": ["a"]}
-    assert "Property type: regular" in prompts.property_instructions(examples)
+    assert "a\nKind: regular" in prompts.property_instructions(examples)
 
 
 @pytest.mark.parametrize("rows, hinted", [(10, True), (3, False)])
