@@ -12,7 +12,7 @@ counted once. Tasks return one row per text and bucket (links and a union-find r
 components over these rows.
 
 Null and empty texts have no shingles: each is a class of its own with no links. Texts of fewer than five words have one shingle, all their words.
-Words lie between ASCII white space, A-Z in lower case. Repeated rows are copies of one text. Only the named columns are read.
+Documents without id go by a negative number derived from their text. Words lie between ASCII white space, A-Z in lower case. Repeated rows are copies of one text. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -71,6 +71,11 @@ def _node(parent: np.ndarray, position: np.ndarray, value: np.ndarray) -> np.nda
     return mix(mix(parent + position.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ value.astype(np.uint64)).view(np.int64)
 
 
+def identity(key: str, text: str = "text"):
+    """The document's id, or a negative number derived from its text."""
+    return F.coalesce(F.col(key).cast("long"), -1 - F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(2**62)))
+
+
 def _sketched(rows: DataFrame, runs: int) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,10 +83,10 @@ def _sketched(rows: DataFrame, runs: int) -> DataFrame:
                 keys, values = sketches(part.column(1).to_pylist())
                 roots = _node(np.arange(runs, dtype=np.uint64)[None, :] + np.zeros((len(keys), 1), np.uint64), np.arange(runs)[None, :] + np.zeros((len(keys), 1), np.int64), values[:, :runs])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(keys, pa.binary()), pa.array([v.tobytes() for v in values], pa.binary()),
-                     pa.FixedSizeListArray.from_arrays(pa.array(roots.ravel()), runs).cast(pa.list_(pa.int64()))], names=["doc_id", "key", "sketch", "roots"])
+                    [part.column(0), part.column(2), pa.array(keys, pa.binary()), pa.array([v.tobytes() for v in values], pa.binary()),
+                     pa.FixedSizeListArray.from_arrays(pa.array(roots.ravel()), runs).cast(pa.list_(pa.int64()))], names=["doc_id", "given", "key", "sketch", "roots"])
 
-    return rows.mapInArrow(sketch, "doc_id long, key binary, sketch binary, roots array<long>")
+    return rows.mapInArrow(sketch, "doc_id long, given boolean, key binary, sketch binary, roots array<long>")
 
 
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,8 +284,8 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: fl
                        key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (least id of its component), copy_of (least id with the same words), n_copies, n_links (other
     documents at the threshold or above, copies included)."""
-    rows = common.texts(docs, key, text)
-    sketched = common.stored(_sketched(rows.select(F.col(key).cast("long").alias("doc_id"), "text"), run_count(threshold, recall)))
+    rows = docs.select(identity(key, text).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(key).isNotNull().alias("given"))
+    sketched = common.stored(_sketched(rows, run_count(threshold, recall)))
     texts = common.stored(sketched.filter("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "sketch", "roots")).alias("s"), F.count("*").alias("copies"))
                           .select("key", F.col("s.doc_id").alias("doc_id"), "s.sketch", "s.roots", "copies"))
     leaves = common.stored(_leaves(texts, limit, depth))
@@ -289,7 +294,7 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: fl
     wide = lists.join(texts.select("key", "sketch"), "key").select(F.explode("leaves").alias("leaf"), "key", "leaves", "sketch")
     near = common.stored(wide.repartition(n, "leaf").sortWithinPartitions("leaf").mapInArrow(_near, "leaf long, key binary"))
     wanted = near.select("key").distinct().join(texts.select("key", "doc_id", "copies"), "key")
-    source = rows.select(F.col(key).cast("long").alias("doc_id"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    source = rows.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
     sets = source.mapInArrow(_shingles, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
     full = near.join(wanted.join(sets, "key").select("key", "copies", "shingles"), "key").join(lists, "key").select("leaf", "key", "leaves", "copies", "shingles")
     linked = common.stored(full.repartition(n, "leaf").sortWithinPartitions("leaf").mapInArrow(_linker(threshold), "key binary, links long, root binary"))
@@ -298,8 +303,8 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: fl
     of_text = of_text.withColumn("label", F.coalesce("label", "key"))
     least = of_text.groupBy("label").agg(F.min("copy_of").alias("class_id"))
     of_text = of_text.join(least, "label").select("key", "class_id", "copy_of", F.col("copies").alias("n_copies"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return sketched.select("doc_id", "key").join(of_text, "key", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"),
+    return sketched.select("doc_id", "given", "key").join(of_text, "key", "left").select(
+        F.when(F.col("given"), F.col("doc_id")).alias("doc_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
@@ -309,6 +314,9 @@ def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each class, with its columns; of rows that repeat an id one stays."""
-    kept = similarity_classes(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").withColumn("_copy", F.row_number().over(one)).filter("_copy = 1").drop("_copy").select(*docs.columns)
+    name = common.fresh(docs, "identity")
+    kept = similarity_classes(docs).select(F.col("class_id").alias(name)).distinct()
+    one = Window.partitionBy(name).orderBy(name)
+    place = common.fresh(docs, "place")
+    named = docs.withColumn(name, identity("doc_id")).join(kept, name, "left_semi")
+    return named.withColumn(place, F.row_number().over(one)).filter(F.col(place) == 1).select(*docs.columns)

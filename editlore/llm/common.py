@@ -103,6 +103,14 @@ def add_column(docs: DataFrame, name: str, kind: str, of_texts, text: str = "tex
     return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(run, schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = 2_000_000):
     """Slices of a batch with about ``most`` bytes of text at most, or one row."""
     import pyarrow.compute as pc
@@ -117,8 +125,8 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 2_000_000):
 
 
 def fold(key: str, parts: int):
-    """crc32 of the id as text, modulo ``parts``."""
-    return F.crc32(F.col(key).cast("string")) % parts
+    """crc32 of the id as text, modulo ``parts``; a null id is in fold -1."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % parts, F.lit(-1))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, parts: int, held_out: int, max_bytes: int = 65_536) -> list[tuple[str, int]]:

@@ -9,7 +9,7 @@ The benchmark is split into blocks of items of bounded size. A block's fingerpri
 tasks, so documents are not shuffled; with several blocks the rows that had hits are merged per document. Items with the same words are one item
 with several ids.
 
-Null and empty texts have no words: such a document has no hits, such an item no windows. Equal ids keep all their rows. Only the named columns
+Null and empty texts have no words: such a document has no hits, such an item no windows. An item without id counts under an empty one. Equal ids keep all their rows. Only the named columns
 are read.
 """
 
@@ -42,7 +42,7 @@ class Block:
         for k, (item, _) in enumerate(items):
             some = words.hash[words.first[k]:words.first[k + 1]]
             if len(some):
-                ids[some.tobytes()].append(str(item))
+                ids[some.tobytes()].append("" if item is None else str(item))
                 spans[some.tobytes()] = some
         self.ids = list(ids.values())
         self.words = list(spans.values())
@@ -236,4 +236,5 @@ def _clean(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
             out[k] = covered(spans)
         return out
 
-    return common.add_column(docs, "_hit", "long", hits).filter("_hit = 0").drop("_hit")
+    name = common.fresh(docs, "n_hit")
+    return common.add_column(docs, name, "long", hits).filter(F.col(name) == 0).drop(name)

@@ -224,4 +224,5 @@ def op9_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents predicted good, with their columns."""
     model = trained(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model, "_quality").filter(F.col("_quality") >= CUT).drop("_quality")
+    name = common.fresh(docs, "quality")
+    return score(docs, model, name).filter(F.col(name) >= CUT).drop(name)

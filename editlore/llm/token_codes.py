@@ -10,7 +10,7 @@ after ``SEGMENT_TOKENS`` ids. Segment layout, little-endian: ``b"DAC1"``, number
 (u8 each), document ids (i64 each), their ends in tokens (u64 each), then per level the chunk count (u64), the chunks, and, but for the last
 level, bitmap bytes and directory (u32 each).
 
-Null texts are empty; an empty document is its end id. Repeated ids keep all their rows. Only the two named columns are read.
+Null texts are empty; an empty document is its end id. Repeated ids keep all their rows; documents without id come first. Only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -29,13 +29,14 @@ from editlore.llm import common, tokens
 
 WIDTHS = (1, 1, 2)
 SEGMENT_TOKENS = 1_000_000
+NO_ID = -2**63  # stands for a null document id
 RANK_BITS = 512
 MAGIC = b"DAC1"
 
 
 def pack_segment(doc_ids: list[int], lengths: list[int], ids: np.ndarray, widths: tuple[int, ...] = WIDTHS) -> bytes:
     """The segment of the documents ``doc_ids`` with ``lengths`` ids each, ``ids`` in a row."""
-    out = [MAGIC, struct.pack("<3Q", len(widths), len(doc_ids), len(ids)), bytes(widths), np.array(doc_ids, "<i8").tobytes(),
+    out = [MAGIC, struct.pack("<3Q", len(widths), len(doc_ids), len(ids)), bytes(widths), np.array([NO_ID if i is None else i for i in doc_ids], "<i8").tobytes(),
            np.cumsum(np.array(lengths, np.uint64)).astype("<u8").tobytes()]
     rest = ids.astype(np.uint64)
     for level, width in enumerate(widths):
@@ -130,7 +131,7 @@ def write_codes(docs: DataFrame, vocabulary: str, end_id: int, key: str = "doc_i
 
         def flush():
             data = pack_segment(doc_ids, [len(x) for x in found], np.concatenate(found))
-            return pa.RecordBatch.from_pydict({"_part": pa.array([part], pa.int32()), "_before": [before], "n_tokens": [size], "first_doc": [doc_ids[0]], "data": [data]})
+            return pa.RecordBatch.from_pydict({"_part": pa.array([part], pa.int32()), "_before": [before], "n_tokens": [size], "first_doc": pa.array([doc_ids[0]], pa.int64()), "data": [data]})
 
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist())):
@@ -157,7 +158,7 @@ def read_documents(segments: DataFrame) -> DataFrame:
                 segment = Segment(data.as_py())
                 ids, starts = segment.tokens(), np.insert(segment.ends[:-1], 0, 0)
                 crcs = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), segment.ends.tolist())]
-                yield pa.RecordBatch.from_pydict({"doc_id": segment.doc_ids, "start": starts + start, "n_tokens": segment.ends - starts, "ids_crc32": pa.array(crcs, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(segment.doc_ids, mask=segment.doc_ids == NO_ID), "start": starts + start, "n_tokens": segment.ends - starts, "ids_crc32": pa.array(crcs, pa.int64())})
 
     return segments.select("start", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -169,4 +169,5 @@ def op7_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents not predicted toxic, with their columns."""
     model = trained(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model, "_toxicity").filter(F.col("_toxicity") < CUT).drop("_toxicity")
+    name = common.fresh(docs, "toxicity")
+    return score(docs, model, name).filter(F.col(name) < CUT).drop(name)

@@ -121,6 +121,9 @@ def test_chosen_path_repeated_rows_and_nothing(spark):
     docs = documents(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")])
     assert sorted(tuple(r) for r in chosen_path.similarity_classes(docs).collect()) == [(1, 1, 1, 3, 2), (1, 1, 1, 3, 2), (2, 1, 1, 3, 2)]
     assert chosen_path.similarity_classes(docs.limit(0)).collect() == []
+    nameless = documents(spark, [(None, "a b c d e f"), (None, "g"), (None, None), (5, "a b c d e f")])
+    assert sorted((r.doc_id or 0, r.n_copies, r.n_links) for r in chosen_path.similarity_classes(nameless).collect()) == [(0, 1, 0), (0, 1, 0), (0, 2, 1), (5, 2, 1)]
+    assert sorted(r.text or "" for r in chosen_path.near_duplicates_stage(spark, nameless, "").collect()) == ["", "a b c d e f", "g"]
     kept = chosen_path.near_duplicates_stage(spark, docs, "")
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1]
 
@@ -154,7 +157,7 @@ def test_top_k_equals_brute_force(spark, block, dimension):
 
 
 def test_top_k_of_large_numbers_and_nothing(spark):
-    rows = [(0, [1e12, 3.0]), (1, [1e3, 1.0]), (2, [-1e12, 7.0])]
+    rows = [(0, [1e9, 3.0]), (1, [1e3, 1.0]), (2, [-1e12, 7.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert [(r.vec_id, r.score) for r in exact_topk.top_k(frame).orderBy("rank").collect()] == [(1, 1024 * 10**12 * 1024 * 1000 + 3 * 1024 * 1024), (2, -2**63)]
+    assert [(r.vec_id, r.score) for r in exact_topk.top_k(frame).orderBy("rank").collect()] == [(1, 1024 * 10**9 * 1024 * 1000 + 3 * 1024 * 1024), (2, -2**63)]
     assert exact_topk.top_k(frame.limit(0)).collect() == []

@@ -59,9 +59,9 @@ def test_scores_of_odd_texts(spark, module, bad):
     odd = ["", "\n\n\n", " ", "x", "word " * 50_000, rows[0][1], rows[0][1], "é\n\tß  \r\n", "\0\x01"]
     alone = [float(module.Model.scores(model, [t])[0]) for t in odd]
     assert np.allclose(model.scores(odd), alone) and all(0 <= s <= 1 for s in alone)
-    docs = documents(spark, [(i, t) for i, t in enumerate(odd)] + [(99, None), (99, None)])
+    docs = documents(spark, [(i, t) for i, t in enumerate(odd)] + [(99, None), (99, None), (None, "x")])
     out = module.score(docs, model, "score")
-    assert sorted(out.columns) == sorted(docs.columns) and out.count() == len(odd) + 2
+    assert sorted(out.columns) == sorted(docs.columns) and out.count() == len(odd) + 3
     empty = {r.score for r in out.filter("text is null or text = ''").collect()}
     assert len(empty) == 1
     assert module.score(docs.limit(0), model).collect() == []

@@ -64,6 +64,12 @@ def test_codes_in_document_order(spark):
     assert {r.position: r.token for r in read.collect()} == {p: flat[p] for p in places if 0 <= p < len(flat)}
 
 
+def test_codes_without_ids(spark):
+    segments = token_codes.write_codes(documents(spark, [(None, "a"), (1, "b c"), (None, None)]), WORDS, 2)
+    assert [(r.doc_id, r.n_tokens) for r in token_codes.read_documents(segments).orderBy("start").collect()][2] == (1, 3)
+    assert {r.doc_id for r in token_codes.read_documents(segments).collect()} == {None, 1}
+
+
 def test_codes_of_nothing(spark):
     assert token_codes.read_documents(token_codes.write_codes(documents(spark, []), WORDS, 2)).collect() == []
 
