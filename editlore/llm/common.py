@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -111,7 +113,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 2_000_000):
+def release() -> None:
+    """Give memory that was freed back to the system: workers live on, and the next operator's memory comes on top."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do this by themselves
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 500_000):
     """Slices of a batch with about ``most`` bytes of text at most, or one row."""
     import pyarrow.compute as pc
 
@@ -122,6 +131,7 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 2_000_000):
         stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
         yield batch.slice(start, stop - start)
         start = stop
+    release()
 
 
 def fold(key: str, parts: int):

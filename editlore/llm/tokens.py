@@ -14,8 +14,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS = 1_000_000  # words kept by one Python worker, about 200 MB
-BATCH_CHARS = 6_000_000  # characters looked up together; distinct words are found once in them
+from editlore.llm.common import release
+
+CACHE_WORDS = 700_000  # words kept by one Python worker, about 140 MB
+BATCH_CHARS = 4_000_000  # characters looked up together; distinct words are found once in them
 
 #: Strings before which a text is encoded as it is: white space that splits in another way, special tokens, our own marks.
 _RUNS = [a + b + c for a in " \n" for b in " \n" for c in " \n"]
@@ -51,7 +53,9 @@ class Encoder:
                 out += self._encode(batch[start:i])
                 start, size = i, 0
             size += len(text)
-        return out + self._encode(batch[start:]) if start < len(batch) else out
+        out += self._encode(batch[start:]) if start < len(batch) else []
+        release()
+        return out
 
     def _encode(self, batch: list[str]) -> list[np.ndarray]:
         marked = [self.marked(text) for text in batch]
