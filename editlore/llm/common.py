@@ -33,7 +33,7 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: computed once, short lineage, safe from lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
