@@ -39,6 +39,15 @@ def preprocessing(numerical: list[str], categorical: list[str], binary: list[str
     return Pipeline(stages=stages)
 
 
+def encoded_categories(features: DataFrame, group: str) -> DataFrame:
+    """Place of each category among the training rows' categories, in alphabetical order; unknown ones come last."""
+    numerical, categorical, binary = features_for(group)
+    rows = model_input(model_rows(features.filter(F.col("model_group") == group)), numerical, categorical, binary)
+    indexer = preprocessing(numerical, categorical, binary).getStages()[0]
+    indexed = indexer.fit(rows.filter("split = 'train'")).transform(rows)
+    return indexed.withColumns({f"{c}_index": F.col(f"{c}_index").cast("int") for c in categorical})
+
+
 def model_input(df: DataFrame, numerical: list[str], categorical: list[str], binary: list[str]) -> DataFrame:
     """Missing numbers become 0, missing categories a category of their own."""
     return df.fillna(0, numerical + binary).fillna("0", categorical)
@@ -139,7 +148,7 @@ def static_classifier(routed: DataFrame, scale: Scale, grid: dict[str, list] = P
     Four fifths of the static properties are identifiers, so only 60 % of those are kept for training.
     """
     kind = F.nullif(F.col("property_type"), F.lit(""))
-    labelled = _imputed(routed.filter(kind.isNotNull()).withColumn("is_static", (kind == "static").cast("int")))
+    labelled = imputed(routed.filter(kind.isNotNull()).withColumn("is_static", (kind == "static").cast("int")))
     static_id = (F.col("is_static") == 1) & F.col("property_label").contains(" ID")
     kept = materialise(keep_share(labelled, static_id, 0.6, ["property_id"], scale))
     train, test = stratified_split(kept, "is_static", ["property_id"], scale)
@@ -147,7 +156,7 @@ def static_classifier(routed: DataFrame, scale: Scale, grid: dict[str, list] = P
     return model, _with_probability(model.transform(test)), best
 
 
-def _imputed(df: DataFrame) -> DataFrame:
+def imputed(df: DataFrame) -> DataFrame:
     """A property without updates never changes: its missing times are very long ones."""
     return df.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(NEVER_CHANGES))
                            for c in ROUTED_FEATURES})
@@ -160,7 +169,7 @@ def _with_probability(df: DataFrame) -> DataFrame:
 def infer_static(routed: DataFrame, model: PipelineModel) -> DataFrame:
     """Final type of every property: known, an identifier, or predicted static; others stay open."""
     typed = with_final_type(routed)
-    predicted = _with_probability(model.transform(_imputed(typed.filter(F.col("final_property_type").isNull())))).select(
+    predicted = _with_probability(model.transform(imputed(typed.filter(F.col("final_property_type").isNull())))).select(
         "property_id", F.col("prediction").alias("prediction_static"), "pred_proba")
     joined = typed.join(predicted, "property_id", "left")
     return joined.withColumn("final_property_type", F.coalesce(

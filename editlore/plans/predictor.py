@@ -200,6 +200,14 @@ def statement_history(changes: DataFrame, entity_id: int, property_id: int, valu
         & (F.col("change_target") == "")).orderBy("timestamp", "revision_id")
 
 
+def longest_history(changes: DataFrame) -> DataFrame:
+    """The history of the statement with most value changes, the one with the smallest key among equals."""
+    values = changes.filter(F.col("change_target") == "")
+    counted = values.groupBy(*STATEMENT).agg(F.count(F.lit(1)).alias("_n"))
+    most = F.broadcast(counted.orderBy(F.desc("_n"), *STATEMENT).limit(1).drop("_n"))  # one row
+    return values.join(most, list(STATEMENT), "left_semi").orderBy("timestamp", "revision_id")
+
+
 def profile_counts(sample: DataFrame) -> DataFrame:
     """Changes, entities and properties overall and per property type, as one table (NULL type = overall)."""
     counted = sample.rollup("property_type").agg(

@@ -227,16 +227,17 @@ def property_features(stats: DataFrame, entity_stats: DataFrame, scale: Scale) -
 
 def updates_as_creates(small: DataFrame, qualifier_change: DataFrame) -> DataFrame:
     """Share of a property's values that ever got a point in time or start time: those properties are updated by
-    adding values. The two thresholds become flags."""
+    adding values. The two thresholds become flags.
+
+    Both logs are stacked and grouped by statement once; no join.
+    """
     statement = list(STATEMENT)
-    temporal = (
-        qualifier_change.filter(F.col("qual_property_id").isin(TEMPORAL_QUALIFIERS) & (F.col("action") == "CREATE"))
-        .select(*statement).distinct().withColumn("_temporal", F.lit(1))
-    )
-    counted = (
-        small.select(*statement).distinct().join(temporal, statement, "left").groupBy("property_id")
-        .agg(F.count(F.lit(1)).alias("num_values"), F.count("_temporal").alias("num_values_temporal"))
-    )
+    temporal = qualifier_change.filter(F.col("qual_property_id").isin(TEMPORAL_QUALIFIERS) & (F.col("action") == "CREATE"))
+    stacked = small.select(*statement, F.lit(1).alias("_changed"), F.lit(0).alias("_temporal")).unionByName(
+        temporal.select(*statement, F.lit(0).alias("_changed"), F.lit(1).alias("_temporal")))
+    flags = stacked.groupBy(*statement).agg(F.max("_changed").alias("_changed"), F.max("_temporal").alias("_temporal"))
+    counted = flags.filter("_changed = 1").groupBy("property_id").agg(
+        F.count(F.lit(1)).alias("num_values"), F.sum("_temporal").alias("num_values_temporal"))
     pct = share(F.col("num_values_temporal"), F.col("num_values"))
     return counted.withColumn("pct_values_temporal_qualifier", pct).select(
         "*", *(F.when(F.col("pct_values_temporal_qualifier") >= at / 100, 1).otherwise(0).alias(f"updates_as_creates_{at}")

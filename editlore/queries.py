@@ -304,6 +304,13 @@ ANALYSES: dict[str, Callable[[Analyses], DataFrame]] = {
     "knn4_lists": lambda a: neighbours.neighbour_lists(a.neighbours),
     "nearest_non_self": lambda a: neighbours.nearest_non_self(a.neighbours),
     "nn_accuracy": lambda a: neighbours.neighbour_accuracy(a.embeddings, neighbours.nearest_non_self(a.neighbours)),
+    "statement_history": lambda a: predictor.longest_history(a.log.value_change).select(
+        *STATEMENT, "revision_id", "timestamp", "action", "new_value", "is_reverted", "reversion"),
+    "imputed_properties": lambda a: classify.imputed(a.routed).select("property_id", *profile.ROUTED_FEATURES),
+    "encoded_categories": lambda a: classify.encoded_categories(a.labelled, predictor.GROUPS[0]).select(
+        "revision_id", *STATEMENT, "split", *(f"{c}_index" for c in predictor.features_for(predictor.GROUPS[0])[1])),
+    "encoded_categories_registered": lambda a: classify.encoded_categories(a.labelled, predictor.GROUPS[1]).select(
+        "revision_id", *STATEMENT, "split", *(f"{c}_index" for c in predictor.features_for(predictor.GROUPS[1])[1])),
     "rf_metrics": lambda a: classify.rejection_metrics(a.labelled, predictor.GROUPS, SHORT_GRID, SHORT_FOLDS),
     "feature_importance": _importance,
     "static_inference": _inference,

@@ -10,7 +10,8 @@ import re
 
 from editlore.functions.columns import rounded as rounded_double
 from editlore.plans.prompts import CHANGE_MEANINGS, FRACTIONS, HISTORY_INFO, REFERENCE_INFO, SETTINGS, USER_INFO
-from editlore.plans.profile import COMMON_FEATURES, MEASURES, ROUTES, STORED_AS, feature_name
+from editlore.plans.predictor import GROUPS, features_for
+from editlore.plans.profile import COMMON_FEATURES, MEASURES, ROUTED_FEATURES, ROUTES, STORED_AS, feature_name
 from editlore.plans.samples import CONTEXT
 from editlore.sources.views import VIEWS, in_dialect
 
@@ -474,6 +475,16 @@ def _without_shares(name: str) -> str:
     return f"regexp_replace(prompt_{name}, ',\\\"ratio_wikipedia.*$', '}}')" if SETTINGS[name][1] else f"prompt_{name}"
 
 
+def _encoded(group: str) -> str:
+    """Number of distinct training categories before each row's own, or of all if it is not among them."""
+    names = features_for(group)[1]
+    here = f"""(select *, {', '.join(f"coalesce({c}, '0') as {c}_" for c in names)} from (select *, case when timestamp < timestamp '2022-05-01 00:00:00' then 'train' else 'test' end as split
+        from predicted where (user_type = 'anonymous') = {str(group == 'changes_anonymous').lower()} and change_target = '' and action <> 'DELETE'))"""
+    lists = ", ".join(f"list_sort(list(distinct {c}_)) as {c}_all" for c in names)
+    index = lambda c: f"cast(case when list_contains({c}_all, {c}_) then list_position({c}_all, {c}_) - 1 else len({c}_all) end as integer) as {c}_index"
+    return f"""select revision_id, {KEY}, split, {', '.join(map(index, names))} from {here} h, (select {lists} from {here} t where split = 'train') k"""
+
+
 BODIES = {
     "change_log": "select * from value_change",
     "small_table": "select * from small_table",
@@ -606,6 +617,10 @@ BODIES = {
       join previous_edits r on r.revision_id = v.revision_id where v.change_target = '' and v.action <> 'DELETE'""",
     "limited_static_pairs": """select entity_id, property_id from usable_static_pairs
         order by cast('0x' || substr(md5(concat_ws('|', entity_id, property_id, '42')), 1, 13) as bigint), entity_id, property_id limit 100""",
+    "statement_history": f"""select {KEY}, revision_id, timestamp, action, new_value, is_reverted, reversion from value_change
+      join (select {KEY} from value_change where change_target = '' group by all order by count(*) desc, {KEY} limit 1) using ({KEY}) where change_target = ''""",
+    "imputed_properties": f"select property_id, {', '.join(f'{rounded_double(c, c)} as {c}' for c in ROUTED_FEATURES)} from (select * replace ({', '.join(f'coalesce({c}, 1e15) as {c}' for c in ROUTED_FEATURES)}) from routed)",
+    **{name: _encoded(group) for name, group in zip(("encoded_categories", "encoded_categories_registered"), GROUPS)},
     "sampled_references": f"""select c.*, {', '.join(f's.{x} as change_{x}' for x in CONTEXT)}
       from reference_change c asof join static_changes s
         on c.entity_id = s.entity_id and c.property_id = s.property_id and c.value_id = s.value_id and c.timestamp >= s.timestamp""",
