@@ -169,10 +169,10 @@ def read_tokens(segments: DataFrame, positions: DataFrame, segment_tokens: int =
     The axis of positions is cut into buckets as long as a segment; positions meet the few segments that touch their bucket.
     """
     bucket = F.lit(segment_tokens)
-    touched = segments.select("start", "n_tokens", F.explode(F.sequence(
+    touched = segments.select(F.col("start").alias("segment"), (F.col("start") + F.col("n_tokens")).alias("end"), F.explode(F.sequence(
         F.floor(F.col("start") / bucket), F.floor((F.col("start") + F.col("n_tokens") - 1) / bucket))).alias("bucket"))
     wanted = positions.select(F.col("position").cast("long").alias("position")).distinct().withColumn("bucket", F.floor(F.col("position") / bucket))
-    wanted = wanted.join(touched, "bucket").filter("position >= start and position < start + n_tokens").select("position", "start")
+    wanted = wanted.join(touched, "bucket").filter("position >= segment and position < end").select("position", "segment")
 
     def read(key, table: pa.Table, data: pa.Table) -> pa.Table:
         if not len(data) or not len(table):
@@ -181,7 +181,7 @@ def read_tokens(segments: DataFrame, positions: DataFrame, segment_tokens: int =
         at = table.column("position").to_pylist()
         return pa.table({"position": pa.array(at, pa.int64()), "token": pa.array([segment.token(p - key[0].as_py()) for p in at], pa.int64())})
 
-    return wanted.groupBy("start").cogroup(segments.select("start", "data").groupBy("start")).applyInArrow(read, "position long, token long")
+    return wanted.groupBy("segment").cogroup(segments.select(F.col("start").alias("segment"), "data").groupBy("segment")).applyInArrow(read, "position long, token long")
 
 
 def op4_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
