@@ -4,8 +4,8 @@ All open sequences (gaps) and all waiting pieces are sorted by size together, ac
 matches them like brackets: a gap takes the largest waiting piece that fits and that no smaller gap has taken. A task sweeps its own
 partition; what stays open is a count of gaps, then of pieces, per partition, and a pass over those counts (two numbers per partition) says
 which ranks of one partition's pieces go to which ranks of another's gaps. Filled gaps shrink, and the next round follows. A gap that
-finds nothing in a full sweep is closed for good, since waiting pieces only become fewer. New sequences are opened when no gap is left:
-as many as the waiting tokens need. Small pieces are first tied into bundles where there are very many to a sequence, which
+finds nothing in a full sweep is closed for good, since waiting pieces only become fewer. Sequences are opened first for the pieces that fill
+more than half of one, then, whenever no gap is left, as many as the waiting tokens need. Small pieces are first tied into bundles where there are very many to a sequence, which
 bounds the rounds by the number of bundles that a sequence can hold.
 
 Pieces of full length are sequences of their own. Null texts are empty, and an empty document is one piece with its end id. Equal
@@ -126,15 +126,17 @@ def _rounds(spark: SparkSession, items: DataFrame, capacity: int) -> DataFrame:
     """Place ``items`` (id, size): id, size, bin, offset."""
     waiting = items.select(F.lit(_ITEM).alias("kind"), "id", "size")
     gaps, bins, done = None, 0, []
-    n, total = items.agg(F.count("*"), F.sum("size")).first()
+    n, total, large = items.agg(F.count("*"), F.sum("size"), F.count_if(F.col("size") * 2 > capacity)).first()
     open_gaps = 0
     while n:
         if not open_gaps:
-            new = max(1, -(-total // capacity))
+            # Pieces of more than half a sequence need one each; after them, as many as the waiting tokens need.
+            new = large or max(1, -(-total // capacity))
+            large = 0
             gaps = spark.range(bins, bins + new, 1, common.few(spark, new)).select(F.lit(_GAP).alias("kind"), "id", F.lit(capacity).alias("size"))
             bins, open_gaps = bins + new, new
         both = waiting.unionByName(gaps)
-        swept = common.stored(both.repartitionByRange(common.few(spark, n + open_gaps), "size", "kind").sortWithinPartitions("size", "kind").mapInArrow(_sweep, SWEPT))
+        swept = common.stored(both.repartitionByRange(common.few(spark, n + open_gaps), "size", "kind", "id").sortWithinPartitions("size", "kind", "id").mapInArrow(_sweep, SWEPT))
         left = {(r.part, r.kind): r.n for r in swept.filter(F.col("kind") != _MATCHED).groupBy("part", "kind").agg(F.count("*").alias("n")).collect()}
         table = common.stored(_resolved(spark, swept, left))
         placed = table.filter("bin is not null")
