@@ -4,8 +4,7 @@ A page becomes lines: the text of its blocks in order. Pages are sorted by host
 neighbour of the same host whose path shares the longer beginning (the one before, if both share as much). The longest common subsequence of both
 pages' lines is what the site repeats, and is deleted. Markup bounds the method at both ends: lines in menus, headers, footers, sidebars, notices,
 adverts, forms, comments and hidden elements go whether or not a neighbour repeats them, and lines of an element that is marked as the article
-stay although a neighbour may carry the same passage. So differencing decides on all other lines; where a page has a marked article, such
-other lines go too.
+stay although a neighbour may carry the same passage. Differencing decides on all other lines, also on those beside a marked article.
 
 Rows at the borders of sorted partitions get their neighbour from the next partition, so that results do not depend on the partitioning. Null html is
 empty; a page without lines has an empty text. A null url has an empty host and path and is paired like others. Equal pages are paired, too: repeated rows
@@ -140,8 +139,6 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         stack.append((tag, gone, inside or begins and not gone))
     words.append(html_library.unescape(page[at:]))
     flush()
-    if any(kind == KEEP for _, kind in lines):
-        lines = [(line, DROP if kind == OPEN else kind) for line, kind in lines]
     return lines
 
 

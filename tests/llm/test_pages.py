@@ -64,6 +64,12 @@ def test_repeated_lines_go(spark, shuffles):
     assert got[102].text == got[103].text == "Head & line First bold text next Second <i>"
 
 
+def test_differencing_decides_beside_a_marked_article(spark):
+    rows = [(k, f"http://news.org/{k}", f"<div>site name</div><div><p>body {k} begins</p><p>body {k} ends</p></div><article>teaser</article><div class='ad'>advert {k}</div>") for k in range(4)]
+    got = {r.page_id: r.text for r in page_text.main_text(pages(spark, rows)).collect()}
+    assert got == {k: f"body {k} begins body {k} ends teaser" for k in range(4)}
+
+
 def test_no_pages(spark):
     assert page_text.main_text(pages(spark, [])).collect() == []
     assert link_trust.judged(pages(spark, []), link_trust.RULES).collect() == []
