@@ -1,14 +1,16 @@
 """Main text of web pages by differencing pages with near URLs.
 
 A page becomes lines: the text of its blocks in order. Pages are sorted by host and URL path across the cluster, and each is paired with that
-neighbour of the same host whose path shares the longer beginning (the one before, if both share as much). The longest common subsequence of both
+neighbour of the same host whose path shares the longer beginning (the one before, if both share as much). Pages with equal lines that follow one
+another are copies: they are one run, its first page is paired with the nearest pages around the run, and all get its text. The longest common subsequence of both
 pages' lines is what the site repeats, and is deleted. Markup bounds the method at both ends: lines in menus, headers, footers, sidebars, notices,
 adverts, forms, comments and hidden elements go whether or not a neighbour repeats them, and lines of an element that is marked as the article
 stay although a neighbour may carry the same passage. Differencing decides on all other lines, also on those beside a marked article.
 
-Rows at the borders of sorted partitions get their neighbour from the next partition, so that results do not depend on the partitioning. Null html is
-empty; a page without lines has an empty text. A null url has an empty host and path and is paired like others. Equal pages are paired, too: repeated rows
-are neighbours and lose all unmarked lines but stay as rows.
+Runs at the borders of sorted partitions are joined and get their neighbours from other partitions, so that results do not depend on the
+partitioning. Null html is empty; a page without lines has an empty text. A null url has an empty host and path and is paired like others. Pages with the
+same path and different lines are neighbours like others. A page whose host has nothing but its copies has no neighbour and keeps all unmarked lines.
+Copies with other pages between them are different runs.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from editlore.llm import common
@@ -191,21 +193,18 @@ def _alike(a: str, b: str) -> int:
     return n
 
 
-class _Page:
-    """A page in sorted order: its row, host, path, lines and their hashes."""
+def _text(lines: bytes, hashes: bytes, near: bytes | None) -> str:
+    """A page's text, given the hashes of the page it is paired with."""
+    found = _unpacked(lines)
+    if near is None or not any(kind == OPEN for _, kind in found):
+        return " ".join(line for line, kind in found if kind != DROP)
+    shared = common_lines(np.frombuffer(hashes, np.uint64), np.frombuffer(near, np.uint64)).tolist()
+    return " ".join(line for (line, kind), twice in zip(found, shared) if kind == KEEP or kind == OPEN and not twice)
 
-    def __init__(self, row: dict):
-        self.row, self.host, self.path = row, row["host"], row["path"]
-        self.hashes = np.frombuffer(row["hashes"], np.uint64)
 
-    def text(self, before: tuple[str, bytes] | None, after: tuple[str, bytes] | None) -> str:
-        """The page's text, given path and hashes of its neighbours on the same host."""
-        lines = _unpacked(self.row["lines"])
-        if not any(kind == OPEN for _, kind in lines):
-            return " ".join(line for line, kind in lines if kind == KEEP)
-        pair = before if after is None or before is not None and _alike(before[0], self.path) >= _alike(after[0], self.path) else after
-        shared = common_lines(self.hashes, np.frombuffer(pair[1], np.uint64)) if pair else np.zeros(len(lines), bool)
-        return " ".join(line for (line, kind), twice in zip(lines, shared.tolist()) if kind == KEEP or kind == OPEN and not twice)
+def _nearer(path: str, before: str | None, after: str | None) -> bool:
+    """Whether the page before is the nearer one, given the paths of both that are there."""
+    return after is None or before is not None and _alike(before, path) >= _alike(after, path)
 
 
 def _packed(lines: list[tuple[str, int]]) -> bytes:
@@ -222,7 +221,11 @@ def _unpacked(data: bytes) -> list[tuple[str, int]]:
 
 
 PARSED = "page_id long, url string, host string, path string, hashes binary, lines binary"
-DECIDED = "page_id long, url string, text string, part int, place int, host string, path string, hashes binary, lines binary, near_path string, near_hashes binary"
+DECIDED = ("page_id long, url string, text string, part int, place int, host string, path string, last_path string, hashes binary, lines binary, near_path string, near_hashes binary, "
+           "members array<struct<page_id:long,url:string>>")
+FIRST, LAST, WHOLE = 0, 1, 2  # places of a run in its partition; a whole partition may be one run
+MEMBERS = 500  # pages of a run in a row
+TEXT_BYTES = 4_000_000  # of texts in a batch
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,50 +236,117 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["page_id", "url", "host", "path", "hashes", "lines"])
 
 
+_MEMBER = pa.struct([("page_id", pa.int64()), ("url", pa.string())])
+_KINDS = {"page_id": pa.int64(), "part": pa.int32(), "place": pa.int32(), "hashes": pa.binary(), "lines": pa.binary(), "near_hashes": pa.binary(), "members": pa.list_(_MEMBER)}
+_NAMES = ["page_id", "url", "text", "part", "place", "host", "path", "last_path", "hashes", "lines", "near_path", "near_hashes", "members"]
+
+
 def _rows(rows: list[dict]) -> pa.RecordBatch:
-    kinds = {"page_id": pa.int64(), "part": pa.int32(), "place": pa.int32(), "hashes": pa.binary(), "lines": pa.binary(), "near_hashes": pa.binary()}
-    names = [f.split()[0] for f in DECIDED.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds.get(n, pa.string())) for n in names], names=names)
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], _KINDS.get(n, pa.string())) for n in _NAMES], names=_NAMES)
+
+
+class _Run:
+    """Pages with equal lines that follow one another on a host."""
+
+    def __init__(self, row: dict):
+        self.host, self.path, self.hashes, self.lines = row["host"], row["path"], row["hashes"], row["lines"]
+        self.members: list[dict] = []
+        self.add(row)
+
+    def add(self, row: dict) -> None:
+        self.last_path = row["path"]
+        self.members.append({"page_id": row["page_id"], "url": row["url"]})
+
+    def edge(self, part: int, place: int, near: tuple[str, bytes] | None) -> Iterator[dict]:
+        """The rows of a run that waits for a neighbour in another partition and carries the one it has."""
+        for k in range(0, len(self.members), MEMBERS):
+            yield {"part": part, "place": place, "host": self.host, "path": self.path, "last_path": self.last_path, "hashes": self.hashes, "lines": self.lines,
+                   "near_path": near and near[0], "near_hashes": near and near[1], "members": self.members[k:k + MEMBERS]}
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of a sorted partition's pages; its first and last page wait for their neighbour in another partition and carry the one they have."""
+    """Texts of a sorted partition's pages; its first and last run wait for other partitions."""
     part = TaskContext.get().partitionId()
-    before: _Page | None = None
-    page: _Page | None = None
+    before: tuple[str, str, bytes] | None = None  # host, last path and hashes of the run before
+    run: _Run | None = None
     out: list[dict] = []
-
-    def near(one: _Page | None, other: _Page) -> tuple[str, bytes] | None:
-        return (one.path, one.row["hashes"]) if one is not None and one.host == other.host else None
-
-    def edge(one: _Page, place: int, known: tuple[str, bytes] | None) -> dict:
-        return one.row | {"part": part, "place": place, "near_path": known and known[0], "near_hashes": known and known[1]}
+    size = 0
+
+    def known(host: str, other: tuple[str, str, bytes]) -> tuple[str, bytes] | None:
+        return other[1:] if other[0] == host else None
+
+    def finished(after: _Run) -> Iterator[dict]:
+        next_one = known(run.host, (after.host, after.path, after.hashes))
+        if before is None:
+            yield from run.edge(part, FIRST, next_one)
+            return
+        prior = known(run.host, before)
+        pair = prior if _nearer(run.path, prior and prior[0], next_one and next_one[0]) else next_one
+        text = _text(run.lines, run.hashes, pair and pair[1])
+        for member in run.members:
+            yield member | {"text": text}
 
     for batch in batches:
         for row in batch.to_pylist():
-            after = _Page(row)
-            if page is not None:
-                out.append(edge(page, 0, near(after, page)) if before is None else
-                           {"page_id": page.row["page_id"], "url": page.row["url"], "text": page.text(near(before, page), near(after, page))})
-            before, page = page, after
+            if run is not None and (run.host, run.hashes) == (row["host"], row["hashes"]):
+                run.add(row)
+                continue
+            after = _Run(row)
+            if run is not None:
+                for one in finished(after):
+                    out.append(one)
+                    size += len(one.get("text") or one.get("lines") or "")
+                    if len(out) >= 500 or size > TEXT_BYTES:
+                        yield _rows(out)
+                        out, size = [], 0
+                before = (run.host, run.last_path, run.hashes)
+            run = after
+    if run is not None:
+        for one in run.edge(part, WHOLE if before is None else LAST, before and known(run.host, before)):
+            out.append(one)
             if len(out) >= 500:
                 yield _rows(out)
                 out = []
-    if page is not None:
-        out.append(edge(page, 1, near(before, page)))
     yield _rows(out)
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _paired(edges: list[Row]) -> list[tuple[int, int, int, int, bool]]:
+    """The page with which each run at a border is paired: part and place of the run, part and place of an edge, and whether it is that edge's
+    own page or the neighbour that it carries. ``edges`` are in order; runs without a neighbour are left out."""
+    n = len(edges)
+    sides: list[list[tuple[int, bool, str] | None]] = []
+    paths = [e.path for e in edges]
+    for step, inner in ((1, LAST), (-1, FIRST)):
+        found: list[tuple[int, bool, str] | None] = [None] * n
+        for k in range(n)[::step]:
+            e, at = edges[k], k - step
+            if e.place == inner:
+                # The neighbour on this side lies in the run's own partition.
+                found[k] = (k, False, e.near_path) if e.near_path is not None else None
+            elif 0 <= at < n and edges[at].host == e.host:
+                if edges[at].digest != e.digest:
+                    found[k] = (at, True, edges[at].last_path if step == 1 else edges[at].path)
+                else:
+                    found[k] = found[at]
+                    if step == 1:
+                        paths[k] = paths[at]
+        sides.append(found)
+    out = []
+    for k, (before, after) in enumerate(zip(*sides)):
+        if pair := before if _nearer(paths[k], before and before[2], after and after[2]) else after:
+            out.append((edges[k].part, edges[k].place, edges[pair[0]].part, edges[pair[0]].place, pair[1]))
+    return out
+
+
+def _mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
         for row in batch.to_pylist():
-            known = (row["near_path"], row["near_hashes"]) if row["near_hashes"] is not None else None
-            sides = {side: (row[f"{side}_path"], row[f"{side}_hashes"]) if row[f"{side}_hashes"] is not None and row[f"{side}_host"] == row["host"] else None for side in ("prior", "next")}
-            # The first page of a partition knows the page after it, the last one the page before it; a page alone knows none.
-            first = row["place"] == 0
-            texts.append(_Page(row).text(sides["prior"] if first or known is None else known, known if first else sides["next"]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+            text = _text(row["lines"], row["hashes"], row["pair"])
+            ids, urls = zip(*((m["page_id"], m["url"]) for m in row["members"]))
+            most = max(1, TEXT_BYTES // max(1, len(text)))
+            for k in range(0, len(ids), most):
+                some = ids[k:k + most]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(urls[k:k + most], pa.string()), pa.array([text] * len(some), pa.string())], names=["page_id", "url", "text"])
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -285,10 +355,12 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     parsed = rows.mapInArrow(_parse, PARSED)
     order = ["host", "path", "page_id", "hashes"]
     decided = common.stored(parsed.repartitionByRange(common.partitions(pages.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(_difference, DECIDED))
-    edges = decided.filter("part is not null")  # two rows per partition
-    along = Window.orderBy("part", "place")
-    beside = [f(c).over(along).alias(f"{side}_{c}") for side, f in (("prior", F.lag), ("next", F.lead)) for c in ("host", "path", "hashes")]
-    mended = edges.select("page_id", "url", "host", "path", "hashes", "lines", "place", "near_path", "near_hashes", *beside).mapInArrow(_edges, "page_id long, url string, text string")
+    edges = decided.filter("part is not null")  # two runs per partition
+    ends = edges.select("part", "place", "host", "path", "last_path", F.md5("hashes").alias("digest"), "near_path").dropDuplicates(["part", "place"])
+    pairs = pages.sparkSession.createDataFrame(_paired(sorted(ends.collect(), key=lambda e: (e.part, e.place))), "part int, place int, at_part int, at_place int, own boolean")
+    carried = edges.select(F.col("part").alias("at_part"), F.col("place").alias("at_place"), F.col("hashes").alias("_own"), F.col("near_hashes").alias("_near")).dropDuplicates(["at_part", "at_place"])
+    near = carried.join(F.broadcast(pairs), ["at_part", "at_place"]).select("part", "place", F.when(F.col("own"), F.col("_own")).otherwise(F.col("_near")).alias("pair"))
+    mended = edges.join(near, ["part", "place"], "left").select("hashes", "lines", "members", "pair").mapInArrow(_mend, "page_id long, url string, text string")
     return decided.filter("part is null").select("page_id", "url", "text").unionByName(mended).withColumn("n_chars", F.char_length("text").cast("long"))
 
 

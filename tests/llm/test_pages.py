@@ -70,6 +70,24 @@ def test_differencing_decides_beside_a_marked_article(spark):
     assert got == {k: f"body {k} begins body {k} ends teaser" for k in range(4)}
 
 
+@pytest.mark.parametrize("shuffles", ["1", "3", "30"])
+def test_copies_are_paired_with_a_different_page(spark, shuffles):
+    story = lambda k: f"<p>site name</p><p>story {k} begins</p><p>story {k} ends</p>"
+    rows = [(k, f"http://a.org/{k:02d}", story(k)) for k in range(3)]
+    rows += [(k, "http://a.org/05?q=%d" % k, story("copied")) for k in range(10, 40)] + [(40, "http://a.org/05", story("copied"))] * 2  # queries, repeated rows
+    rows += [(k, f"http://a.org/06/{k}", story("copied")) for k in range(50, 80)] + [(90, "http://a.org/9", story("last"))]  # mirrors
+    rows += [(k, f"http://only.org/{k}", story("only")) for k in range(100, 120)] + [(k, f"http://pair.org/{k // 20}", story(k // 20)) for k in range(120, 160)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+    try:
+        got = page_text.main_text(pages(spark, rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    name = lambda i: i if i < 3 else "copied" if i < 90 else "last" if i == 90 else i // 20
+    want = [(i, "site name story only begins story only ends" if 100 <= i < 120 else f"story {name(i)} begins story {name(i)} ends") for i, _, _ in rows]
+    assert sorted((r.page_id, r.text) for r in got) == sorted(want)
+
+
 def test_no_pages(spark):
     assert page_text.main_text(pages(spark, [])).collect() == []
     assert link_trust.judged(pages(spark, []), link_trust.RULES).collect() == []
