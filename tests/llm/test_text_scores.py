@@ -101,6 +101,32 @@ def test_toxic_runs_stay_inside_words():
     assert set(toxicity.toxic_runs(toxic, ordinary)) == {b" zorkle"}
 
 
+def test_rare_and_short_toxic_words_are_learned():
+    rng = random.Random(2)
+    texts = [(prose(rng, 40), 0) for _ in range(2400)] + [(prose(rng, 40).replace(" ", f" {'skrelm' if k < 16 else 'zok' if k < 400 else 'vraxen'} ", 2), 1) for k in range(2400)]
+    model = toxicity.fit(texts)  # 16 of 2,400 toxic texts have the rare word
+    assert all(word in model.toxic for word in (b" skrelm", b" zok\x01zok", b" vraxen"))
+    low, *high = model.scores([prose(rng, 40)] + [prose(rng, 40).replace(" ", f" {word} ", 2) for word in ("skrelm", "zok", "vraxen")])
+    assert low < toxicity.CUT <= min(high)
+
+
+def test_all_toxic_runs_are_in_reach():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(10)) for _ in range(3000)]
+    ordinary = (b"tion thou, nder, ingly ereth " * 300)[:toxicity.ORDINARY_BYTES]
+    pair = toxicity._compressors(ordinary, b"\0".join(b" " + w.encode() for w in words))
+    missed = [w for w in words if toxicity.gains(toxicity.normal(f"tion nder ingly ereth thou {w} ingly thou, nder ingly"), *pair)[1] <= 0]
+    assert missed == []
+
+
+def test_every_distinctive_run_is_in_the_dictionary():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(10)) for _ in range(1000)]
+    texts = [(prose(rng, 80), 0) for _ in range(1000)] + [(" ".join(words[k * 20 % 1000:k * 20 % 1000 + 20]), 1) for k in range(1000)]
+    model = toxicity.fit(texts)
+    assert len(model.toxic) > 8_000 and set(toxicity.toxic_runs([toxicity.normal(t) for k, (t, y) in enumerate(texts) if y and k % 4 < 3], [toxicity.normal(t) for k, (t, y) in enumerate(texts) if not y and k % 4 < 3])) == set(model.toxic.split(b"\0"))
+
+
 def test_stages_filter(spark, tmp_path):
     rows = corpus(200, (0, shout))
     spark.createDataFrame([(i, t, "en") for i, t, _ in rows], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
