@@ -6,7 +6,8 @@ partition; what stays open is a count of gaps, then of pieces, per partition, an
 which ranks of one partition's pieces go to which ranks of another's gaps. Filled gaps shrink, and the next round follows. A gap that
 finds nothing in a full sweep is closed for good, since waiting pieces only become fewer. Sequences are opened first for the pieces that fill
 more than half of one, then, whenever no gap is left, as many as the waiting tokens need. Small pieces are first tied into bundles where there are very many to a sequence, which
-bounds the rounds by the number of bundles that a sequence can hold.
+bounds the rounds by the number of bundles that a sequence can hold. Before bundles open further sequences, they are untied into smaller bundles and
+in the end into pieces, and these are swept against the gaps that the larger bundles have missed.
 
 Pieces of full length are sequences of their own. Null texts are empty, and an empty document is one piece with its end id. Equal
 sizes are matched in any order. Repeated documents are packed once per row.
@@ -55,22 +56,14 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, bundle: int = BUNDLE)
     table = common.stored(pieces.withColumn("_piece", F.monotonically_increasing_id()))
     full = table.filter(F.col("length") >= capacity)
     items = table.filter(F.col("length") < capacity).select(F.col("_piece").alias("id"), F.col("length").cast("int").alias("size"))
-    n, total = items.agg(F.count("*"), F.sum("size")).first()
-    members = None
-    if n and n > bundle * -(-total // capacity):
-        members = common.stored(_bundles(items, capacity, bundle, common.few(spark, n)))
-        items = members.groupBy("id").agg(F.sum("size").cast("int").alias("size"))
-    placed = _rounds(spark, items, capacity)
-    if members is not None:
-        placed = members.join(placed.drop("size"), "id").select(F.col("member").alias("id"), "bin", (F.col("offset") + F.col("inside")).alias("offset"))
+    placed = _rounds(spark, items, capacity, bundle)
     loose = table.join(placed.select(F.col("id").alias("_piece"), F.col("bin").alias("sequence_id"), "offset"), "_piece")
     alone = full.select("*", (-1 - F.col("_piece")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return loose.unionByName(alone).drop("_piece")
 
 
-def _bundles(items: DataFrame, capacity: int, bundle: int, parts: int) -> DataFrame:
-    """Members (``member``, ``size``, ``inside`` the bundle) of bundles ``id``; large pieces are alone in theirs."""
-    limit = capacity // bundle
+def _bundles(items: DataFrame, limit: int, parts: int) -> DataFrame:
+    """Members (``member``, ``size``, ``inside`` the bundle) of bundles ``id`` of at most ``limit``; larger pieces are alone in theirs."""
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, used = None, 0
@@ -122,38 +115,66 @@ def _swept(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=[f.split()[0] for f in SWEPT.split(", ")])
 
 
-def _rounds(spark: SparkSession, items: DataFrame, capacity: int) -> DataFrame:
+def _rounds(spark: SparkSession, items: DataFrame, capacity: int, bundle: int) -> DataFrame:
     """Place ``items`` (id, size): id, size, bin, offset."""
-    waiting = items.select(F.lit(_ITEM).alias("kind"), "id", "size")
-    gaps, bins, done = None, 0, []
-    n, total, large = items.agg(F.count("*"), F.sum("size"), F.count_if(F.col("size") * 2 > capacity)).first()
-    open_gaps = 0
+    waiting, bins, done = items, 0, []
+    n, total, large, least = items.agg(F.count("*"), F.sum("size"), F.count_if(F.col("size") * 2 > capacity), F.min("size")).first()
     while n:
-        if not open_gaps:
-            # Pieces of more than half a sequence need one each; after them, as many as the waiting tokens need.
-            new = large or max(1, -(-total // capacity))
-            large = 0
-            gaps = spark.range(bins, bins + new, 1, common.few(spark, new)).select(F.lit(_GAP).alias("kind"), "id", F.lit(capacity).alias("size"))
-            bins, open_gaps = bins + new, new
+        # Pieces of more than half a sequence need one each; after them, as many as the waiting tokens need.
+        new = large or max(1, -(-total // capacity))
+        large = 0
+        limits, limit = [], capacity // bundle
+        while n > bundle * -(-total // capacity) and limit >= 2 * least:
+            limits.append(limit)
+            limit //= bundle
+        gaps, open_gaps = spark.range(bins, bins + new, 1, common.few(spark, new)).select(F.lit(_GAP).alias("kind"), "id", F.lit(capacity).alias("size")), new
+        bins += new
+        for limit in limits:
+            if n and open_gaps:
+                members = common.stored(_bundles(waiting, limit, common.few(spark, n)))
+                bundles = members.groupBy("id").agg(F.sum("size").cast("int").alias("size"))
+                placed, left, _, _, gaps, open_gaps = _filled(spark, bundles, members.filter("inside = 0").count(), gaps, open_gaps, capacity)
+                done += [members.join(p.drop("size"), "id").select(F.col("member").alias("id"), "size", "bin", (F.col("offset") + F.col("inside")).alias("offset")) for p in placed]
+                waiting = common.stored(members.join(left.select("id"), "id", "left_semi").select(F.col("member").alias("id"), "size"))
+                n, total = waiting.agg(F.count("*"), F.sum("size")).first()
+        if n and open_gaps:
+            # What misses a single piece is closed for good.
+            placed, waiting, n, total, _, _ = _filled(spark, waiting, n, gaps, open_gaps, capacity)
+            done += placed
+    if not done:
+        return spark.createDataFrame([], "id long, size int, bin long, offset long")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _filled(spark: SparkSession, items: DataFrame, n: int, gaps: DataFrame, open_gaps: int, capacity: int) -> tuple[list[DataFrame], DataFrame, int, int, DataFrame | None, int]:
+    """Rounds until no gap takes any of ``items``: what is placed (id, size, bin, offset), what waits on, its number and sum, the gaps that are left
+    and their number."""
+    waiting = items.select(F.lit(_ITEM).alias("kind"), "id", "size")
+    done, missed, n_missed, total = [], None, 0, 0
+    while n and open_gaps:
         both = waiting.unionByName(gaps)
         swept = common.stored(both.repartitionByRange(common.few(spark, n + open_gaps), "size", "kind", "id").sortWithinPartitions("size", "kind", "id").mapInArrow(_sweep, SWEPT))
         left = {(r.part, r.kind): r.n for r in swept.filter(F.col("kind") != _MATCHED).groupBy("part", "kind").agg(F.count("*").alias("n")).collect()}
-        table = common.stored(_resolved(spark, swept, left))
+        resolved, without = _resolved(spark, swept, left)
+        table = common.stored(resolved)
         placed = table.filter("bin is not null")
         done.append(placed.select("id", "size", "bin", (F.lit(capacity) - F.col("gap")).cast("long").alias("offset")))
         waiting = table.filter("bin is null").select(F.lit(_ITEM).alias("kind"), "id", "size")
         gaps = placed.filter("gap > size").select(F.lit(_GAP).alias("kind"), F.col("bin").alias("id"), (F.col("gap") - F.col("size")).alias("size"))
-        n, total, open_gaps = table.agg(F.count_if(F.expr("bin is null")), F.sum(F.when(F.col("bin").isNull(), F.col("size"))), F.count_if(F.expr("gap > size"))).first()
-    if not done:
-        return spark.createDataFrame([], "id long, size int, bin long, offset long")
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+        before = n
+        n, total, still_open = table.agg(F.count_if(F.expr("bin is null")), F.sum(F.when(F.col("bin").isNull(), F.col("size"))), F.count_if(F.expr("gap > size"))).first()
+        if lost := open_gaps - (before - n):
+            n_missed += lost
+            missed = without if missed is None else missed.unionByName(without)
+        open_gaps = still_open
+    return done, waiting.select("id", "size"), n, total, missed, n_missed
 
 
-def _resolved(spark: SparkSession, swept: DataFrame, left: dict[tuple[int, int], int]) -> DataFrame:
-    """Matches inside and across partitions, and the pieces that wait on: id, size, bin, gap."""
+def _resolved(spark: SparkSession, swept: DataFrame, left: dict[tuple[int, int], int]) -> tuple[DataFrame, DataFrame]:
+    """Matches inside and across partitions, and the pieces that wait on: id, size, bin, gap; and the gaps that no piece fits."""
     stack: list[list[int]] = []  # pieces left open: [partition, rank of the next from the top, number]
     runs: list[tuple[int, int, int, int, int]] = []  # (pieces' partition, their first rank, gaps' partition, their first rank, number)
     for part in sorted({p for p, _ in left}):
@@ -195,7 +216,8 @@ def _resolved(spark: SparkSession, swept: DataFrame, left: dict[tuple[int, int],
         tag, "kind int, id long, size int, bin long, gap int, run int, place long")
     pieces = rest.filter(F.col("kind") == _ITEM).select("id", "size", "run", "place")
     gaps = rest.filter((F.col("kind") == _GAP) & F.col("run").isNotNull()).select("run", "place", "bin", "gap")
-    return inside.unionByName(pieces.join(gaps, ["run", "place"], "left").select("id", "size", "bin", "gap"))
+    missed = rest.filter((F.col("kind") == _GAP) & F.col("run").isNull()).select("kind", F.col("bin").alias("id"), F.col("gap").alias("size"))
+    return inside.unionByName(pieces.join(gaps, ["run", "place"], "left").select("id", "size", "bin", "gap")), missed
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,6 +119,14 @@ def test_packing_is_tight(spark, seed, low, high, monkeypatch):
     assert check_packed(rows, 100) <= best_fit_decreasing(lengths, 100) * 1.03 + 1
 
 
+def test_packing_unties_bundles(spark):
+    lengths = [60] * 40 + [1] * 400  # bundles of 16 fit into no gap of 4
+    pieces = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], packing.PIECES)
+    rows = packing.best_fit(pieces, 64, 4).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(440)) and all(r.length == lengths[r.doc_id] for r in rows)
+    assert check_packed(rows, 64) == 44  # 2,800 / 64
+
+
 def test_packing_nothing_and_full_pieces(spark):
     assert packing.best_fit(spark.createDataFrame([], packing.PIECES)).collect() == []
     rows = packing.best_fit(spark.createDataFrame([(1, 0, 0, 8, 0), (1, 0, 0, 8, 0), (2, 0, 0, 8, 0)], packing.PIECES), 8).collect()
