@@ -127,6 +127,12 @@ def test_ranks_equal_power_iteration(spark):
             assert abs((got[h][name] if h in got else 0) - rank[h] / sum(rank.values())) < 1e-6
 
 
+def test_trust_reaches_far_hosts(spark):
+    edges = spark.createDataFrame([(f"h{k}", f"h{k + 1}", 1) for k in range(33)], "source string, target string, n long")
+    got = {r.host: r.trust for r in link_trust.spread(edges, spark.createDataFrame([("h0", 1, 0)], "host string, allowed long, blocked long")).collect()}
+    assert abs(got["h33"] / got["h0"] - 0.85 ** 33) < 1e-9
+
+
 def records(spark, rows):
     return spark.createDataFrame([(o, hashlib.sha256(t.encode()).hexdigest()) for o, t in rows], "offset long, digest string")
 
