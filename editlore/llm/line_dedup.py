@@ -323,13 +323,13 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (
-  SELECT r, at, lines[at] AS line,
-         translate(trim(lines[at], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM (SELECT r, lines, unnest(range(1, len(lines) + 1)) AS at FROM d)),
+  SELECT r, pos, lines[pos] AS line,
+         translate(trim(lines[pos], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT r, lines, unnest(range(1, len(lines) + 1)) AS pos FROM d)),
 c AS (SELECT key FROM l WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10),
 k AS (
   SELECT r, count(*) AS n_lines, count(c.key) AS n_dropped,
-         coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE c.key IS NULL), '') AS kept
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE c.key IS NULL), '') AS kept
   FROM l LEFT JOIN c ON c.key = l.key GROUP BY r)
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS n_dropped, sha256(kept) AS kept_sha256
 FROM k JOIN d USING (r)
