@@ -21,7 +21,7 @@ def tables(spark, tmp_path_factory):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(top / "labels.parquet"))
     spark.createDataFrame([(1, texts[7]), (2, None), (None, texts[8])], "item_id long, text string").write.parquet(str(top / "benchmark.parquet"))
     spark.createDataFrame([(k, f"http://a.net/{k}", f"<p>page {k}</p>") for k in range(5)] + [(9, None, None), (None, "http://b.org/", "<p>x</p>")], "page_id long, url string, html string").write.parquet(str(top / "pages.parquet"))
-    spark.createDataFrame([(k, [float(k), 1.0]) for k in range(5)] + [(100, None), (None, [1.0, 2.0])], "vec_id long, embedding array<float>").write.parquet(str(top / "embeddings.parquet"))
+    spark.createDataFrame([(k, [float(k), 1.0]) for k in range(5)] + [(100, None), (None, [1.0, 2.0])] + [(200 + k, [float(k)] * 64) for k in range(7)], "vec_id long, embedding array<float>").write.parquet(str(top / "embeddings.parquet"))
     return str(top)
 
 
