@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from editlore.functions.columns import MICROS_PER_DAY, count_where, is_weekend, micros_between, share, time_of_day, whole_days
-from editlore.operators.ordered import Before, ordered_scan
-from editlore.session import Scale
-
+from editlore.functions.columns import MICROS_PER_DAY, count_where, is_weekend, share, time_of_day, whole_days
+from editlore.operators.gaps import day_of, days_by_owner, gap_sums
+from editlore.session import materialise
 
 USER = ["user_id", "username", "user_type"]
 
 
-def user_model(value_change: DataFrame, revision: DataFrame, scale: Scale) -> DataFrame:
+def user_model(value_change: DataFrame, revision: DataFrame) -> DataFrame:
     """One row per bot or human editor.
 
-    Gaps between consecutive changes run along the username, whatever its type at the time, and count for the later change. One
-    scan by username finds them and the first change of each revision; sums by user, entity and property come next, and entities
-    and properties are only counted in those.
+    Changes are summed up once by user, day, entity and property; users, days of users, and counts of entities and properties come from those sums. Gaps between
+    consecutive changes run along the username, whatever its type at the time, and count for the later change; they are merged from days, so no task
+    sorts all changes of a user.
     """
     changes = (
         value_change.filter(F.col("change_target") == "")
@@ -26,11 +25,12 @@ def user_model(value_change: DataFrame, revision: DataFrame, scale: Scale) -> Da
         .join(revision.filter(F.col("user_type").isin("bot", "human"))
               .select("revision_id", "user_id", "username", "user_type", "timestamp"), "revision_id")
     )
-    changes = ordered_scan(changes, ["username"], {"_before": Before(F.struct("timestamp", "revision_id"))}, scale)
     at, n = F.col("timestamp"), F.count(F.lit(1))
     part, weekend = time_of_day(at), is_weekend(at)
+    in_revision = Window.partitionBy("revision_id").orderBy("entity_id", "property_id")
+    changes = changes.select("*", day_of(at).alias("_day"), (F.row_number().over(in_revision) == 1).alias("_opens"))
     sums = {
-        "num_revisions": count_where(~F.col("_before.revision_id").eqNullSafe(F.col("revision_id"))),
+        "num_revisions": count_where(F.col("_opens")),
         "num_creates": count_where(F.col("action") == "CREATE"),
         "num_deletes": count_where(F.col("action") == "DELETE"),
         "num_updates": count_where(F.col("action") == "UPDATE"),
@@ -42,22 +42,25 @@ def user_model(value_change: DataFrame, revision: DataFrame, scale: Scale) -> Da
         "num_edits_night": count_where(part == "night"),
         "num_edits_weekday": count_where(~weekend),
         "num_edits_weekend": count_where(weekend),
-        "_gap": F.sum(micros_between(at, F.col("_before.timestamp"))),
-        "_gaps": F.count("_before"),
     }
-    by_pair = changes.groupBy(*USER, "entity_id", "property_id").agg(
-        F.min(at).alias("first_edit"), F.max(at).alias("last_edit"), *(c.alias(name) for name, c in sums.items()))
-    by_entity = by_pair.groupBy(*USER, "entity_id").agg(F.min("first_edit").alias("first_edit"), F.max("last_edit").alias("last_edit"), *(F.sum(c).alias(c) for c in sums))
+    pairs = materialise(changes.groupBy(*USER, "_day", "entity_id", "property_id").agg(
+        F.min(F.struct("timestamp", "revision_id")).alias("_first"), F.max(at).alias("last_edit"), *(c.alias(name) for name, c in sums.items())))
+    days = days_by_owner(pairs, "username", USER, F.min("_first"), F.max("last_edit"), F.sum("num_value_changes"))
+    gaps = gap_sums(days, changes, "username", USER)
+    by_entity = pairs.groupBy(*USER, "entity_id").agg(F.min("_first.timestamp").alias("first_edit"), F.max("last_edit").alias("last_edit"), *(F.sum(c).alias(c) for c in sums))
     model = by_entity.groupBy(*USER).agg(
         F.min("first_edit").alias("first_edit"), F.max("last_edit").alias("last_edit"), n.alias("num_entities"), *(F.sum(c).alias(c) for c in sums))
-    properties = by_pair.select(*USER, "property_id").distinct().groupBy(*USER).agg(n.alias("num_properties"))
-    days = F.nullif(whole_days(F.col("last_edit"), F.col("first_edit")), F.lit(0))
-    return model.join(properties, USER).select(
+    properties = pairs.select(*USER, "property_id").distinct().groupBy(*USER).agg(n.alias("num_properties"))
+    # Names and ids may be NULL, so the three meet in a grouping.
+    found = model.unionByName(properties, allowMissingColumns=True).unionByName(gaps, allowMissingColumns=True)
+    whole = found.groupBy(*USER).agg(*(F.max(c).alias(c) for c in found.columns if c not in USER))
+    time = F.nullif(whole_days(F.col("last_edit"), F.col("first_edit")), F.lit(0))
+    return whole.select(
         *USER, "first_edit", "last_edit", "num_entities", "num_revisions", "num_properties", "num_creates", "num_deletes", "num_updates", "num_value_changes",
         "num_reverted_edits", "num_non_reverted_edits",
         F.when(F.col("_gaps") > 0, F.col("_gap") / F.col("_gaps") / float(MICROS_PER_DAY)).alias("avg_days_between_revisions"),
         "num_edits_morning", "num_edits_afternoon", "num_edits_night", "num_edits_weekday", "num_edits_weekend",
-        share(F.col("num_entities"), days).alias("avg_entities_per_day"), share(F.col("num_properties"), days).alias("avg_properties_per_day"))
+        share(F.col("num_entities"), time).alias("avg_entities_per_day"), share(F.col("num_properties"), time).alias("avg_properties_per_day"))
 
 
 def user_property(value_change: DataFrame, revision: DataFrame, model: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ class Analyses(Tables):
 
     @cached_property
     def model(self) -> DataFrame:
-        return shared(users.user_model(self.log.value_change, self.log.revision, self.scale), self.scale)
+        return shared(users.user_model(self.log.value_change, self.log.revision), self.scale)
 
     @cached_property
     def user_property(self) -> DataFrame:
@@ -249,7 +249,7 @@ ANALYSES: dict[str, Callable[[Analyses], DataFrame]] = {
     "user_property": lambda a: a.user_property,
     "user_expertise": lambda a: users.expertise(a.user_property, a.property_dimension),
     "user_top_entities": lambda a: users.top_entities(a.log.revision),
-    "full_user_model": lambda a: a.full_model.select("user_id", "num_value_changes", "property_id_expertise_list", "top_3_entity_id"),
+    "full_user_model": lambda a: a.full_model,
     "change_types_multihot": lambda a: history.with_change_types(a.log.value_change).select(
         "revision_id", "labels_list", *history.CHANGE_TYPES),
     "single_change_features": lambda a: history.single_change_features(
@@ -296,8 +296,10 @@ ANALYSES: dict[str, Callable[[Analyses], DataFrame]] = {
         "entity_first_revision_timestamp", "entity_type"),
     "limited_static_pairs": lambda a: sampling.limited_pairs(a.typed_pairs("static"), 100),
     "sampled_changes_for_features": lambda a: samples.sampled_changes_for_features(
-        sampling.sample_entities(a.typed_pairs("static"), 50), a.log.value_change, a.log.entity_stats, a.log.revision, a.scale).select(
-        "revision_id", "entity_id", "property_id", "value_id", "timestamp", "action", "user_type", "prev_edit_on_entity"),
+        sampling.sample_entities(a.typed_pairs("static"), 50), history.with_replaced_values(a.log.value_change, a.scale), a.log.entity_stats, a.log.revision, a.scale).select(
+        "revision_id", "entity_id", "entity_label", "property_id", "property_label", "value_id", "old_value", "new_value", "old_datatype", "new_datatype", "change_target",
+        "action", "timestamp", F.date_format("timestamp", "yyyy-MM").alias("year_month"), "year", "label", "change_type", "user_type", "username", "user_id", "comment",
+        "entity_first_revision_timestamp", "prev_edit_on_entity"),
     "sampled_references": lambda a: samples.sampled_references(a.static_changes, a.log.reference_change, a.scale),
     "prev_edit_on_entity": lambda a: samples.previous_edit_on_entity(a.log.revision, a.scale),
     "knn4": lambda a: a.neighbours.select("property_id", "rank", "similarity"),

@@ -1,7 +1,12 @@
+import random
+import re
+
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from editlore.functions import columns
+from editlore.operators import gaps
 from editlore.plans import frequency, history, quality, users
 from editlore.session import Scale
 
@@ -113,7 +118,7 @@ def test_update_gaps_are_the_mean_of_consecutive_gaps(spark):
 def test_user_model_of_a_single_edit(spark):
     log = changes(spark, {}, dict(user_id=2, username="user2", at=0.5), dict(user_id=2, username="user2", at=3))
     revision = log.select("revision_id", "entity_id", "timestamp", "user_type", "user_id", "username", "comment")
-    found = {r.user_id: r for r in users.user_model(log, revision, Scale(3)).collect()}
+    found = {r.user_id: r for r in users.user_model(log, revision).collect()}
     assert found[1].avg_days_between_revisions is None and found[1].avg_entities_per_day is None
     assert found[2].avg_days_between_revisions == 2.5 and found[2].avg_entities_per_day == 0.5
     assert found[2].num_edits_afternoon == 1 and found[2].num_edits_night == 1
@@ -124,8 +129,38 @@ def test_gaps_run_along_the_username(spark):
     kinds = [("human", 0), ("bot", 1), ("human", 4), ("human", 10), ("bot", 11)]
     log = changes(spark, *(dict(user_type=t, at=a) for t, a in kinds), dict(user_type="anonymous", at=2, user_id=None))
     revision = log.select("revision_id", "entity_id", "timestamp", "user_type", "user_id", "username", "comment")
-    for limit in (100, 2):
-        scale = Scale(6, limit, lambda: log.select("entity_id", "property_id", "value_id", F.lit(1).alias("weight")))
-        found = {r.user_type: r for r in users.user_model(log, revision, scale).collect()}
-        assert found["human"].avg_days_between_revisions == 4.5 and found["bot"].avg_days_between_revisions == 1.0
-        assert found["human"].num_revisions == 3 and found["human"].num_entities == found["human"].num_properties == 1 and "anonymous" not in found
+    found = {r.user_type: r for r in users.user_model(log, revision).collect()}
+    assert found["human"].avg_days_between_revisions == 4.5 and found["bot"].avg_days_between_revisions == 1.0
+    assert found["human"].num_revisions == 3 and found["human"].num_entities == found["human"].num_properties == 1 and "anonymous" not in found
+
+
+def test_gaps_equal_those_of_a_window(spark):
+    """Random lines with changing owners, repeated instants, several changes of a revision, and null names."""
+    rng = random.Random(4)
+    rows = []
+    for revision in range(600):
+        name = rng.choice(["a", "b", None, "quiet"])
+        kind = "human" if name == "quiet" else rng.choice(["bot", "human", "human"])
+        moment = rng.choice([0, rng.randint(0, 3), rng.randint(0, 40) * 600, rng.randint(0, 40) * 86_400, 86_399])
+        rows += [(name, kind, 1 if kind == "bot" else 2, day(moment / 86_400), revision)] * rng.choice([1, 1, 3])
+    events = spark.createDataFrame(rows, "username string, user_type string, user_id long, timestamp timestamp, revision_id long")
+    owner = ["user_id", "username", "user_type"]
+    events = events.withColumn("_day", gaps.day_of(F.col("timestamp")))
+    days = gaps.days_by_owner(events, "username", owner, F.min(F.struct("timestamp", "revision_id")), F.max("timestamp"), F.count(F.lit(1)))
+    found = {tuple(r) for r in gaps.gap_sums(days, events, "username", owner).collect()}
+    before = F.lag("timestamp").over(Window.partitionBy("username").orderBy("timestamp", "revision_id"))
+    line = events.withColumn("gap", F.unix_micros("timestamp") - F.unix_micros(before))
+    assert found == {tuple(r) for r in line.groupBy(*owner).agg(F.coalesce(F.sum("gap"), F.lit(0)), F.count("gap")).collect()}
+
+
+def test_no_task_sorts_all_changes_of_a_user(spark, monkeypatch):
+    for module in (gaps, users):
+        monkeypatch.setattr(module, "materialise", lambda df: df)
+    log = changes(spark, {}, dict(at=0.1, user_type="bot"), dict(at=3, user_type="bot"))  # a day with two owners: all steps are planned
+    revision = log.select("revision_id", "entity_id", "timestamp", "user_type", "user_id", "username", "comment")
+    lines = users.user_model(log, revision)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    along = [k for k, line in enumerate(lines) if "Window [" in line and "[revision_id" not in line]
+    assert len(along) >= 4
+    for k in along:  # ordered along a username are sums of days, hours or instants, never changes
+        below = [m[0] for line in lines[k + 1:] if (m := re.search(r"\w+", line))]
+        assert "Aggregate" in below[:below.index("Join")]

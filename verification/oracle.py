@@ -104,6 +104,10 @@ def _property_features() -> str:
 
 TIME_OF_DAY = "case when hour(timestamp) between 6 and 11 then 'morning' when hour(timestamp) between 12 and 19 then 'afternoon' else 'night' end"
 TIME_OF_WEEK = "case when isodow(timestamp) > 5 then 'weekend' else 'weekday' end"
+#: What the user model counts.
+COUNTED = (
+    {f"{action.lower()}s": f"action = '{action}'" for action in ("CREATE", "DELETE", "UPDATE")} | {"value_changes": "true", "reverted_edits": "is_reverted = 1", "non_reverted_edits": "is_reverted = 0 and reversion = 0"}
+    | {f"edits_{part}": f"{expression} = '{part}'" for expression, parts in ((TIME_OF_DAY, ("morning", "afternoon", "night")), (TIME_OF_WEEK, ("weekday", "weekend"))) for part in parts})
 HAS_KEYWORD = f"case when regexp_matches(comment, {KEYWORDS}, 'i') then 1 else 0 end"
 
 
@@ -243,10 +247,7 @@ DERIVED = {
         num_properties / nullif(active, 0) as avg_properties_per_day
       from (select user_id, username, user_type, min(timestamp) as first_edit, max(timestamp) as last_edit, {days('max(timestamp)', 'min(timestamp)')} as active,
           {', '.join(f'len(list_distinct(list({c}))) as {n}' for c, n in (('entity_id', 'num_entities'), ('revision_id', 'num_revisions'), ('property_id', 'num_properties')))},
-          {', '.join(f'count_if({c}) as num_{n}' for n, c in (
-            ('creates', "action = 'CREATE'"), ('deletes', "action = 'DELETE'"), ('updates', "action = 'UPDATE'"), ('value_changes', 'true'), ('reverted_edits', 'is_reverted = 1'),
-            ('non_reverted_edits', 'is_reverted + reversion = 0'), ('edits_morning', 'hour(timestamp) // 6 = 1'), ('edits_afternoon', 'hour(timestamp) between 12 and 19'),
-            ('edits_night', 'hour(timestamp) not between 6 and 19'), ('edits_weekday', 'isodow(timestamp) < 6'), ('edits_weekend', 'isodow(timestamp) >= 6')))}
+          {', '.join(f'count_if({c}) as num_{n}' for n, c in COUNTED.items())}
         from registered_changes group by user_id, username, user_type) u join user_gaps using (user_id, username, user_type)""",
     "user_property": """select user_id, property_id, kept as count_changes, coalesce(kept / nullif(total, 0), 0.0) as avg_changes_to_property
       from (select user_id, property_id, count_if(is_reverted = 0) as kept, sum(count(*)) over (partition by user_id) as total from registered_changes group by user_id, property_id)
@@ -535,9 +536,8 @@ BODIES = {
     "user_expertise": """select user_id, array_to_string(property_id_expertise_list, ',') as property_id_expertise_list,
         array_to_string(property_label_expertise_list, ',') as property_label_expertise_list from expertise""",
     "user_top_entities": "select user_id, array_to_string(top_3_entity_id, ',') as top_3_entity_id from favourites",
-    "full_user_model": """select m.user_id, m.num_value_changes, coalesce(array_to_string(x.property_id_expertise_list, ','), '') as property_id_expertise_list,
-        coalesce(array_to_string(f.top_3_entity_id, ','), '') as top_3_entity_id
-      from user_model m left join expertise x on x.user_id = m.user_id left join favourites f on f.user_id = m.user_id""",
+    "full_user_model": f"""select m.*, {', '.join(f"coalesce(array_to_string({c}, ','), '') as {c}" for c in ('property_id_expertise_list', 'property_label_expertise_list', 'top_3_entity_id'))}
+      from ({rounded("user_model", USER_DOUBLES)}) m left join expertise x on x.user_id = m.user_id left join favourites f on f.user_id = m.user_id""",
     "change_types_multihot": f"select revision_id, array_to_string(labels_list, ',') as labels_list, {_multihot('labels_list')} from typed_changes",
     "single_change_features": f"""select e.revision_id, e.user_type, {TIME_OF_DAY.replace('timestamp', 'e.timestamp')} as time_of_day,
         {TIME_OF_WEEK.replace('timestamp', 'e.timestamp')} as time_of_week, e.is_reverted,
@@ -610,10 +610,13 @@ BODIES = {
         p.citation_needed, s.entity_first_revision_timestamp, coalesce(t.entity_type, '') as entity_type
       from static_changes s left join (select entity_id, min(entity_type) as entity_type from types_of group by entity_id) t on t.entity_id = s.entity_id
       left join prop_ref_rate p on p.property_id = s.property_id""",
-    "sampled_changes_for_features": """select v.revision_id, v.entity_id, v.property_id, v.value_id, r.timestamp, v.action, r.user_type, r.prev_edit_on_entity
+    "sampled_changes_for_features": """select v.revision_id, v.entity_id, v.entity_label, v.property_id, v.property_label, v.value_id, v.old_value, v.new_value,
+        v.old_datatype, v.new_datatype, v.change_target, v.action, r.timestamp, strftime(r.timestamp, '%Y-%m') as year_month, r.year, v.label, v.change_type, r.user_type,
+        r.username, r.user_id, r.comment, e.first_revision_timestamp as entity_first_revision_timestamp, r.prev_edit_on_entity
       from (select entity_id, property_id from (select *, row_number() over (partition by property_id
           order by cast('0x' || substr(md5(concat_ws('|', entity_id, property_id, '42')), 1, 13) as bigint)) as k from static_pairs) where k <= 50) p
       join value_change v on v.entity_id = p.entity_id and v.property_id = p.property_id
+      join entity_stats e on e.entity_id = v.entity_id
       join previous_edits r on r.revision_id = v.revision_id where v.change_target = '' and v.action <> 'DELETE'""",
     "limited_static_pairs": """select entity_id, property_id from usable_static_pairs
         order by cast('0x' || substr(md5(concat_ws('|', entity_id, property_id, '42')), 1, 13) as bigint), entity_id, property_id limit 100""",
