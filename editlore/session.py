@@ -48,12 +48,21 @@ class Scale:
         if self.fits:
             return None
         if level not in self._hot:
-            if self._counts is None:
-                finest = self._logs().groupBy(*self.LEVELS[0]).agg(F.sum("weight").alias("weight"))
-                self._counts = materialise(finest)
-            self._hot[level] = hot_groups(self._counts, level, self.limit, F.sum("weight"))
+            self._hot[level] = hot_groups(self._counted(), level, self.limit, F.sum("weight"))
         return self._hot[level]
 
+    def shared_by(self, parts: int) -> Scale:
+        """The scale of steps that hold ``parts`` values per row of a group; rows per key are counted once for both."""
+        if parts <= 1:
+            return self
+        return Scale(self.rows, max(self.limit // parts, 1), self._counted)
+
+    def _counted(self) -> DataFrame:
+        """Rows of each statement as logs of their own."""
+        if self._counts is None:
+            self._counts = materialise(self._logs().groupBy(*self.LEVELS[0]).agg(F.sum("weight").alias("weight")))
+        return self._counts
+
     @classmethod
     def configured(cls, spark: SparkSession, rows: int, logs: Callable[[], DataFrame] | None = None) -> Scale:
         return cls(rows, int(spark.conf.get(GROUP_ROWS_CONF, str(GROUP_ROWS))), logs)
