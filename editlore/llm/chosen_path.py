@@ -83,10 +83,10 @@ def _sketched(rows: DataFrame, runs: int) -> DataFrame:
                 keys, values = sketches(part.column(1).to_pylist())
                 roots = _node(np.arange(runs, dtype=np.uint64)[None, :] + np.zeros((len(keys), 1), np.uint64), np.arange(runs)[None, :] + np.zeros((len(keys), 1), np.int64), values[:, :runs])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(keys, pa.binary()), pa.array([v.tobytes() for v in values], pa.binary()),
-                     pa.FixedSizeListArray.from_arrays(pa.array(roots.ravel()), runs).cast(pa.list_(pa.int64()))], names=["doc_id", "given", "key", "sketch", "roots"])
+                    [part.column(0), part.column(2), part.column(3), pa.array(keys, pa.binary()), pa.array([v.tobytes() for v in values], pa.binary()),
+                     pa.FixedSizeListArray.from_arrays(pa.array(roots.ravel()), runs).cast(pa.list_(pa.int64()))], names=["doc_id", "given", "mark", "key", "sketch", "roots"])
 
-    return rows.mapInArrow(sketch, "doc_id long, given boolean, key binary, sketch binary, roots array<long>")
+    return rows.mapInArrow(sketch, "doc_id long, given boolean, mark long, key binary, sketch binary, roots array<long>")
 
 
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,11 +280,14 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, limit: int = LIMIT, depth: int = DEPTH,
-                       key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id (least id of its component), copy_of (least id with the same words), n_copies, n_links (other
-    documents at the threshold or above, copies included)."""
-    rows = docs.select(identity(key, text).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(key).isNotNull().alias("given"))
+def _mark(text: str = "text"):
+    """Tells rows of one id with different texts apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _classes(docs: DataFrame, threshold: float, recall: float, limit: int, depth: int, key: str, text: str) -> DataFrame:
+    """One row per document: doc_id, given, mark, and of its text label (the class; null without words), class_id, copy_of, n_copies, n_links."""
+    rows = docs.select(identity(key, text).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(key).isNotNull().alias("given"), _mark(text).alias("mark"))
     sketched = common.stored(_sketched(rows, run_count(threshold, recall)))
     texts = common.stored(sketched.filter("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "sketch", "roots")).alias("s"), F.count("*").alias("copies"))
                           .select("key", F.col("s.doc_id").alias("doc_id"), "s.sketch", "s.roots", "copies"))
@@ -301,9 +304,20 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: fl
     labels = components(linked.select("key", "root"))
     of_text = texts.select("key", F.col("doc_id").alias("copy_of"), "copies").join(linked.groupBy("key").agg(F.sum("links").alias("links")), "key", "left").join(labels, "key", "left")
     of_text = of_text.withColumn("label", F.coalesce("label", "key"))
-    least = of_text.groupBy("label").agg(F.min("copy_of").alias("class_id"))
-    of_text = of_text.join(least, "label").select("key", "class_id", "copy_of", F.col("copies").alias("n_copies"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return sketched.select("doc_id", "given", "key").join(of_text, "key", "left").select(
+    least = common.stored(of_text.groupBy("label").agg(F.min("copy_of").alias("class_id")))
+    # Ids may repeat on different texts; of several classes with one least id, the first keeps it.
+    owner = least.groupBy("class_id").agg(F.min("label").alias("owner"))
+    named = least.join(owner, "class_id").select("label", F.when(F.col("label") == F.col("owner"), F.col("class_id")).otherwise(-1 - F.pmod(F.xxhash64("label"), F.lit(2**62))).alias("class_id"))
+    of_text = of_text.join(named, "label").select(
+        "key", "label", "class_id", "copy_of", F.col("copies").alias("n_copies"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return sketched.select("doc_id", "given", "mark", "key").join(of_text, "key", "left").drop("key")
+
+
+def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, limit: int = LIMIT, depth: int = DEPTH,
+                       key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, class_id (least id of its component; where ids repeat and several components share their least id, another negative number for all
+    but one), copy_of (least id with the same words), n_copies, n_links (other documents at the threshold or above, copies included)."""
+    return _classes(docs, threshold, recall, limit, depth, key, text).select(
         F.when(F.col("given"), F.col("doc_id")).alias("doc_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
@@ -313,10 +327,15 @@ def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class, with its columns; of rows that repeat an id one stays."""
-    name = common.fresh(docs, "identity")
-    kept = similarity_classes(docs).select(F.col("class_id").alias(name)).distinct()
-    one = Window.partitionBy(name).orderBy(name)
-    place = common.fresh(docs, "place")
-    named = docs.withColumn(name, identity("doc_id")).join(kept, name, "left_semi")
-    return named.withColumn(place, F.row_number().over(one)).filter(F.col(place) == 1).select(*docs.columns)
+    """Of each class the document with the least id, and of several texts with that id the one with the least hash, with its columns.
+
+    Rows of one id with different texts are different documents; of rows that repeat id and text one stays. Texts without words stay, each
+    once per id. Null ids are told apart by their texts, null texts are empty; an empty table stays empty; columns may have any name.
+    """
+    classes = _classes(docs, THRESHOLD, RECALL, LIMIT, DEPTH, "doc_id", "text")
+    alone = F.when(F.col("label").isNull(), F.struct("doc_id", "mark"))
+    kept = classes.groupBy("label", alone).agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    name, mark, place = (common.fresh(docs, c) for c in ("identity", "mark", "place"))
+    named = docs.withColumns({name: identity("doc_id"), mark: _mark()}).join(kept.select(F.col("first.doc_id").alias(name), F.col("first.mark").alias(mark)), [name, mark], "left_semi")
+    same = Window.partitionBy(name, mark).orderBy(F.xxhash64(*docs.columns))
+    return named.withColumn(place, F.row_number().over(same)).filter(F.col(place) == 1).select(*docs.columns)

@@ -16,7 +16,8 @@ import pyarrow.compute as pc
 
 from editlore.llm.common import release
 
-CACHE_WORDS = 700_000  # words kept by one Python worker, about 140 MB
+CACHE_WORDS = 300_000
+CACHE_BYTES = 60_000_000  # of the words kept by one Python worker, with what Python adds
 BATCH_CHARS = 4_000_000  # characters looked up together; distinct words are found once in them
 
 #: Strings before which a text is encoded as it is: white space that splits in another way, special tokens, our own marks.
@@ -35,6 +36,11 @@ def encoder(path: str, kind: str) -> "Encoder":
     return _encoders[path, kind]
 
 
+def _bytes_of(words: list[str]) -> int:
+    """About what the words and their ids take in a dictionary: entries and headers, characters, four bytes per four characters."""
+    return 200 * len(words) + 2 * sum(map(len, words))
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -42,6 +48,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
+        self.size = 0
         self.names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
@@ -81,9 +88,11 @@ class Encoder:
         words = self.words
         missing = [key for key in keys if key not in words]
         if missing:
-            if len(words) + len(missing) > CACHE_WORDS:
+            more = _bytes_of(missing)
+            if (self.size + more > CACHE_BYTES or len(words) + len(missing) > CACHE_WORDS) and words:
                 words.clear()
-                missing = keys
+                missing, self.size, more = keys, 0, _bytes_of(keys)
+            self.size += more
             plain, counts, other = self.sorted_out(missing)
             self.together(plain, counts)
             for key, found in zip(other, self.tokenizer.encode_batch_fast([self.text(k) for k in other], add_special_tokens=False)):

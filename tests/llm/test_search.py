@@ -161,3 +161,15 @@ def test_top_k_of_large_numbers_and_nothing(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert [(r.vec_id, r.score) for r in exact_topk.top_k(frame).orderBy("rank").collect()] == [(1, 1024 * 10**9 * 1024 * 1000 + 3 * 1024 * 1024), (2, -2**63)]
     assert exact_topk.top_k(frame.limit(0)).collect() == []
+
+
+def test_repeated_ids_lose_no_text(spark):
+    rows = [(1, "a b c d e f g"), (1, "v w x y z aa bb"), (1, "v w x y z aa bb"), (2, "h i j k l m n"), (3, "h i j k l m n"), (1, "h i j k l m n o p q r s t u v w x y z"),
+            (4, ""), (4, None), (4, "a b c d e f g"), (None, "null id text of seven words"), (None, "null id text of seven words")]
+    docs = documents(spark, rows)
+    kept = sorted((r.doc_id or 0, r.text or "") for r in chosen_path.near_duplicates_stage(spark, docs, "").collect())
+    assert kept == sorted([(1, "a b c d e f g"), (1, "v w x y z aa bb"), (2, "h i j k l m n"), (1, "h i j k l m n o p q r s t u v w x y z"), (4, ""), (0, "null id text of seven words")])
+    classes = {}
+    for r in chosen_path.similarity_classes(docs).collect():
+        classes.setdefault(r.class_id, []).append(r.doc_id)
+    assert sorted(map(len, classes.values())) == [1, 2, 2, 2, 2, 2]
