@@ -13,8 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from editlore.functions.columns import share
-
-BROADCAST_VECTORS = 50_000  # 150 MB of 768 floats
+from editlore.session import materialise
+
+BROADCAST_VECTORS = 50_000
+BROADCAST_BYTES = 200_000_000  # of labelled vectors as doubles
+MOST_PIVOTS = 1_024  # vectors of the index on the driver: 6 MB of 768 doubles
+MOST_RINGS = 200_000  # three numbers each
+SLACK = 1e-6  # distances near zero have half the digits of similarities
+VISITS = 4_096  # copies of queries made at once
 BLOCK_VECTORS = 8_192
 CELLS = 4_000_000  # similarities held at once
 
@@ -50,14 +56,14 @@ def _top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
 def nearest_labelled(vectors: DataFrame, labelled: DataFrame, k: int = 4, broadcast_vectors: int = BROADCAST_VECTORS) -> DataFrame:
     """(property_id, nn_property_id, similarity, rank) for the ``k`` nearest labelled vectors of every vector.
 
-    Labelled vectors are counted first. Few are broadcast once as a matrix; more are cut into blocks and every
-    block of queries meets every block of labelled vectors, keeping ``k`` rows per query and block. Both ways
+    Labelled vectors are counted and measured first. Few are broadcast once as a matrix; more are searched in an index of pivots. Both ways
     are exact, and no similarity matrix larger than one batch by one block ever exists.
     """
     queries = vectors.select("property_id", "embedding")
-    targets = labelled.select("property_id", "embedding")
-    n = targets.limit(broadcast_vectors + 1).count()
-    found = _broadcast_search(queries, targets, k) if n <= broadcast_vectors else _block_search(queries, targets, k)
+    targets = labelled.select("property_id", "embedding").filter(F.col("embedding").isNotNull())
+    n, length = targets.select("embedding").limit(broadcast_vectors + 1).agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    fits = n <= broadcast_vectors and n * length * 8 <= BROADCAST_BYTES
+    found = _broadcast_search(queries, targets, k) if fits else _block_search(queries, targets, k)
     line = Window.partitionBy("property_id").orderBy(F.desc("similarity"), "nn_property_id")
     return found.withColumn("rank", F.row_number().over(line)).filter(F.col("rank") <= k)
 
@@ -77,27 +83,132 @@ def _broadcast_search(queries: DataFrame, targets: DataFrame, k: int) -> DataFra
     return queries.mapInPandas(search, PAIRS)
 
 
+def _known(batch: pd.DataFrame) -> pd.DataFrame:
+    return batch[batch["embedding"].notna()]
+
+
+def _distances(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * (units @ pivots.T), 0))
+
+
 def _block_search(queries: DataFrame, targets: DataFrame, k: int, block: int = BLOCK_VECTORS) -> DataFrame:
-    rows = ceil(targets.count() / block)
-    columns = ceil(queries.count() / block)
-
-    def blocks(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
-        """Give each vector its own block by hash and one copy per block of the other side."""
-        return df.withColumn(own, F.pmod(F.xxhash64(df.columns[0]), F.lit(n)).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-
-    left = blocks(queries, "_q", columns, "_t", rows)
-    # Both sides may come from one table; own names keep their columns apart in the co-group.
-    renamed = targets.select(F.col("property_id").alias("nn_property_id"), F.col("embedding").alias("nn_embedding"))
-    right = blocks(renamed, "_t", rows, "_q", columns)
-
-    def meet(query: pd.DataFrame, target: pd.DataFrame) -> pd.DataFrame:
-        if query.empty or target.empty:
-            return pd.DataFrame({f.name: [] for f in PAIRS.fields})
-        return _top(query["property_id"].to_numpy(), _unit(query["embedding"]),
-                    target["nn_property_id"].to_numpy(), _unit(target["nn_embedding"]), k)
-
-    return left.groupBy("_q", "_t").cogroup(right.groupBy("_q", "_t")).applyInPandas(meet, PAIRS)
+    """Search in an index of pivots, with queries that visit only the cells they can reach.
+
+    Every labelled vector lies in the cell of its nearest pivot; cells are cut into blocks by their distance from the pivot, so a block is a ring. First every query
+    searches one block near it, which bounds the distance of its ``k``-th neighbour. By the triangle inequality a ring whose distances from the pivot differ by more than
+    that bound from the query's cannot have a nearer vector; the query is sent to all other rings. Blocks stay where they are, and queries stream past them, so no
+    vector is copied once per block of the other side. Vectors without length are a cell of their own, similar to nothing.
+    """
+    spark = queries.sparkSession
+    n = targets.count()
+    block = max(block, ceil(4 * n / MOST_RINGS))
+    wanted = max(1, min(MOST_PIVOTS, ceil(2 * n / block)))
+    first = targets.filter(F.exists("embedding", lambda x: x != 0)).orderBy(F.xxhash64("property_id"), "property_id").limit(wanted).toPandas()  # at most MOST_PIVOTS vectors
+    if first.empty:
+        return queries.sparkSession.createDataFrame([], PAIRS) if not n else _broadcast_search(queries, targets.orderBy("property_id").limit(k), k)
+    shared = spark.sparkContext.broadcast(_unit(first["embedding"]))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivots = shared.value
+        for batch in map(_known, batches):
+            if len(batch):
+                units = _unit(batch["embedding"])
+                distance = _distances(units, pivots)
+                near = distance.argmin(axis=1)
+                some = units.any(axis=1)
+                yield batch.assign(pivot=np.where(some, near, -1), distance=np.where(some, distance[np.arange(len(batch)), near], 0.0))
+
+    shape = "property_id long, embedding array<double>, pivot int, distance double"
+    kept = [F.col("property_id").cast("long").alias("property_id"), F.col("embedding").cast("array<double>").alias("embedding")]
+    homes = materialise(targets.select(*kept).mapInPandas(place, shape))
+    # Rings: cells are cut at rows by hash, about ``block`` vectors apart in the order of their distance.
+    cells = homes.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"))
+    cuts = homes.filter(F.pmod(F.xxhash64("property_id"), F.lit(max(block // 2, 1))) == 0).select("pivot", "distance").distinct()
+    edges = cells.select("pivot", F.lit(-1.0).alias("low")).unionByName(cuts.select("pivot", F.col("distance").alias("low")))
+    rings = edges.withColumn("high", F.coalesce(F.lead("low").over(Window.partitionBy("pivot").orderBy("low")), F.lit(float("inf"))))
+    ring_rows = rings.toPandas().sort_values(["pivot", "low"], ignore_index=True)  # about 2 n / block, MOST_RINGS / 2 at most
+    pivot, low, high = (ring_rows[c].to_numpy() for c in ("pivot", "low", "high"))
+
+    def ring_of(batch: pd.DataFrame) -> np.ndarray:
+        """Where the vectors of a batch lie: in the last ring of their cell that begins before them."""
+        out = np.empty(len(batch), np.int64)
+        for cell in batch["pivot"].unique():
+            start, stop = np.searchsorted(pivot, [cell, cell + 1])
+            own = (batch["pivot"] == cell).to_numpy()
+            out[own] = start + np.searchsorted(low[start:stop], batch["distance"].to_numpy()[own], "right") - 1
+        return out
+
+    def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"ring": ring_of(batch)})
+
+    # Rings of many vectors at one distance are dealt into blocks by id.
+    sizes = homes.mapInPandas(numbers, "ring long").groupBy("ring").agg(F.count(F.lit(1)).alias("size")).toPandas()
+    blocks = np.ones(len(pivot), np.int64)
+    blocks[sizes["ring"]] = -(-sizes["size"] // (2 * block))
+    offset = np.cumsum(blocks) - blocks
+    table = spark.sparkContext.broadcast(tuple(np.repeat(x, blocks) for x in (pivot, low, high)))
+
+    def rings_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                ring = ring_of(batch)
+                yield batch[["property_id", "embedding"]].assign(ring=(offset[ring] + batch["property_id"].to_numpy() % blocks[ring]).astype(np.int32))
+
+    placed = homes.mapInPandas(rings_of, "property_id long, embedding array<double>, ring int").withColumn("kind", F.lit(0))
+    asked = queries.select(*kept)
+
+    def first_ring(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in rings_of(place(batches)):
+            yield batch
+
+    def meet(visits: DataFrame) -> DataFrame:
+        both = placed.unionByName(visits.withColumn("kind", F.lit(1)))
+        return both.repartition("ring").sortWithinPartitions("ring", "kind").mapInPandas(lambda batches: _streamed(batches, k), PAIRS)
+
+    start = materialise(meet(asked.mapInPandas(first_ring, "property_id long, embedding array<double>, ring int")))
+    bounds = start.groupBy("property_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("similarity")).alias("kth"))
+
+    def reached(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivots, (pivot, low, high) = shared.value, table.value
+        for batch in map(_known, batches):
+            for at in range(0, len(batch), max(1, CELLS // len(pivot))):
+                some = batch.iloc[at:at + max(1, CELLS // len(pivot))]
+                units = _unit(some["embedding"])
+                distance = np.column_stack([_distances(units, pivots), np.zeros(len(some))])[:, pivot]  # the last column stands for -1
+                kth = some["kth"].fillna(-1.0).to_numpy(dtype=np.float64)
+                far = np.sqrt(np.maximum(2 - 2 * kth, 0))[:, None] + SLACK
+                open_ = (distance - high[None, :] <= far) & (low[None, :] - distance <= far)
+                open_ |= ~units.any(axis=1)[:, None]  # similar to nothing, so as near to all
+                open_ = np.where(pivot[None, :] == -1, (kth <= SLACK)[:, None], open_)
+                row, ring = np.nonzero(open_)
+                for part in range(0, len(row), VISITS):
+                    rows = some.iloc[row[part:part + VISITS]]
+                    yield rows[["property_id", "embedding"]].assign(ring=ring[part:part + VISITS].astype(np.int32))
+
+    visits = asked.join(bounds, "property_id", "left").mapInPandas(reached, "property_id long, embedding array<double>, ring int")
+    return meet(visits)
+
+
+def _streamed(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """Each ring's vectors come first and are held; queries stream past them."""
+    ring, ids, vectors, matrix = None, [], [], None
+    for batch in batches:
+        for number, part in batch.groupby("ring", sort=False):
+            if number != ring:
+                ring, ids, vectors, matrix = number, [], [], None
+            own = part[part["kind"] == 0]
+            if len(own):
+                ids.append(own["property_id"].to_numpy())
+                vectors.append(_unit(own["embedding"]))
+                matrix = None
+            asked = part[part["kind"] == 1]
+            if len(asked) and ids:
+                if matrix is None:
+                    ids, vectors = [np.concatenate(ids)], [np.vstack(vectors)]
+                    matrix = vectors[0]
+                yield _top(asked["property_id"].to_numpy(), _unit(asked["embedding"]), ids[0], matrix, k)
 
 
 def labelled_properties(embeddings: DataFrame) -> DataFrame:

@@ -135,3 +135,26 @@ def test_embedding_uses_the_callers_encoder(spark):
 
     assert [r.embedding for r in neighbours.embed(df, make_encoder).orderBy("property_id").collect()] == [[3.0, 1.0], [5.0, 1.0]]
     assert [r.embedding[0] for r in neighbours.embed(df, make_encoder, only_label=True).orderBy("property_id").collect()] == [1.0, 2.0]
+
+
+@pytest.mark.parametrize("case", ["clusters", "copies", "zeros", "few"])
+def test_index_of_pivots_is_exact(spark, case):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(8, 6))[rng.integers(0, 8, 160)] + rng.normal(size=(160, 6)) * 0.05
+    if case == "copies":
+        base[:60] = base[0]  # one ring with far more vectors than a block
+    if case == "zeros":
+        base[:70] = 0.0
+    if case == "few":
+        base = base[:3]
+    rows = [(i, [float(v) for v in x]) for i, x in enumerate(base)]
+    df = spark.createDataFrame([*rows, (1_000, None)], "property_id long, embedding array<double>")
+    targets = df.filter("property_id % 2 = 0 and embedding is not null")
+    found = neighbours._block_search(df, targets, 4, block=9).toPandas()
+    want = neighbours._broadcast_search(df.filter("embedding is not null"), targets, 4).toPandas()
+    for part in (found, want):
+        part["similarity"] = part["similarity"].round(9)
+    best = found.sort_values(["similarity", "nn_property_id"], ascending=[False, True]).groupby("property_id").head(4)
+    key = ["property_id", "similarity", "nn_property_id"]
+    assert not found.duplicated(["property_id", "nn_property_id"]).any()
+    assert sorted(map(tuple, best[key].to_numpy())) == sorted(map(tuple, want[key].to_numpy()))
