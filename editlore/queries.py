@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from editlore.functions.columns import empty_object_to_null, flag, rounded
-from editlore.operators import intervals, neighbours, sampling
+from editlore.operators import intervals, neighbours, ranking, sampling
 from editlore.operators.ordered import placed
 from editlore.plans import (
     catalogue, classify, frequency, graph, history, predictor, profile, prompts, quality, samples, users,
@@ -149,15 +149,26 @@ def _validated(a: Analyses) -> DataFrame:
     return predictor.prediction_validation(tested, predicted)
 
 
+def _ranked(a: Analyses) -> DataFrame:
+    """Model rows of both splits, scored by a rule that does not know the target: the sooner an edit follows the one before, the higher."""
+    scored = predictor.model_rows(a.labelled).withColumn("soon", -F.col("time_to_previous_edit_days"))
+    return ranking.cumulated(scored, "soon", "target_to_predict", ["model_group", "split"])
+
+
 def _importance(a: Analyses) -> DataFrame:
-    model, tested, _ = classify.train_predictor(a.labelled, predictor.GROUPS[1], SHORT_GRID, SHORT_FOLDS)
-    return classify.feature_importance(model, tested)
+    """Importances of the features of both user groups' models."""
+    found = None
+    for group in predictor.GROUPS:
+        model, tested, _ = classify.train_predictor(a.labelled, group, SHORT_GRID, SHORT_FOLDS)
+        part = classify.feature_importance(model, tested).withColumn("model_group", F.lit(group))
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def _inference(a: Analyses) -> DataFrame:
     model, _, _ = classify.static_classifier(a.routed, a.scale, SHORT_GRID, SHORT_FOLDS)
     return classify.infer_static(a.routed, model).select(
-        "property_id", "property_label", "property_type", "final_property_type", "prediction_static")
+        "property_id", "property_label", "property_type", "final_property_type", "prediction_static", "pred_proba")
 
 
 def _link_results(a: Analyses) -> DataFrame:
@@ -280,6 +291,9 @@ ANALYSES: dict[str, Callable[[Analyses], DataFrame]] = {
     "target_distribution": lambda a: predictor.target_distribution(a.labelled),
     "baseline_anonymous": lambda a: predictor.baseline_anonymous(predictor.model_rows(a.labelled)),
     "prediction_validation": lambda a: _validated(a).select(*TARGET_COLUMNS, "prediction"),
+    "ranking_metrics": lambda a: ranking.roc_auc(_ranked(a), ["model_group", "split"]),
+    "roc_curve": lambda a: ranking.roc_curve(_ranked(a)).select("model_group", "split", "positives", "negatives", "true_positive_rate", "false_positive_rate"),
+    "class_report": lambda a: classify.class_report(predictor.model_rows(_validated(a)), "target_to_predict"),
     "rejected_values": lambda a: predictor.rejected_values(_validated(a), None),
     "first_rejected_values": lambda a: predictor.rejected_values(_validated(a), 50),
     "profile_counts": lambda a: predictor.profile_counts(a.predictor_features),
