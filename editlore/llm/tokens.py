@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 
 from editlore.llm.common import release
 
-CACHE_WORDS = 300_000
-CACHE_BYTES = 60_000_000  # of the words kept by one Python worker, with what Python adds
+CACHE_WORDS = 700_000  # words kept by one Python worker, and with their bytes:
+CACHE_BYTES = {"bytes": 60_000_000, "words": 180_000_000}  # words with their signs are many more than those of the byte-level vocabulary
 BATCH_CHARS = 4_000_000  # characters looked up together; distinct words are found once in them
 
 #: Strings before which a text is encoded as it is: white space that splits in another way, special tokens, our own marks.
@@ -42,13 +42,15 @@ def _bytes_of(words: list[str]) -> int:
 
 
 class Encoder:
+    kind: str
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
-        self.size = 0
+        self.size, self.most = 0, CACHE_BYTES[self.kind]
         self.names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
@@ -89,7 +91,7 @@ class Encoder:
         missing = [key for key in keys if key not in words]
         if missing:
             more = _bytes_of(missing)
-            if (self.size + more > CACHE_BYTES or len(words) + len(missing) > CACHE_WORDS) and words:
+            if (self.size + more > self.most or len(words) + len(missing) > CACHE_WORDS) and words:
                 words.clear()
                 missing, self.size, more = keys, 0, _bytes_of(keys)
             self.size += more
@@ -114,6 +116,8 @@ class Encoder:
 class ByteEncoder(Encoder):
     """Byte-level BPE whose words carry the space before them."""
 
+    kind = "bytes"
+
     def __init__(self, path: str):
         super().__init__(path)
         self.starts = np.array([name.startswith("Ġ") for name in self.names])
@@ -148,6 +152,8 @@ class ByteEncoder(Encoder):
 class WordEncoder(Encoder):
     """Lower-casing BPE with marked word ends; white space is dropped."""
 
+    kind = "words"
+
     def __init__(self, path: str):
         super().__init__(path)
         self.ends = np.array([name.endswith("</w>") for name in self.names])
