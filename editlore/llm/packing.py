@@ -37,7 +37,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: in
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokens.encoder(vocabulary, "bytes")
-        for batch in (part for whole in batches for part in common.slices(whole, 1, tokens.BATCH_CHARS)):
+        for batch in (part for whole in batches for part in common.slices(whole, 1, tokens.SLICE_BYTES // 2)):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist())):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")

@@ -133,7 +133,7 @@ def write_codes(docs: DataFrame, vocabulary: str, end_id: int, key: str = "doc_i
             data = pack_segment(doc_ids, [len(x) for x in found], np.concatenate(found))
             return pa.RecordBatch.from_pydict({"_part": pa.array([part], pa.int32()), "_before": [before], "n_tokens": [size], "first_doc": pa.array([doc_ids[0]], pa.int64()), "data": [data]})
 
-        for batch in (part for whole in batches for part in common.slices(whole, 1, tokens.BATCH_CHARS)):
+        for batch in (part for whole in batches for part in common.slices(whole, 1, tokens.SLICE_BYTES)):
             for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist())):
                 doc_ids.append(doc_id)
                 found.append(np.append(ids, np.uint32(end_id)))

@@ -18,6 +18,7 @@ from editlore.llm.common import release
 
 CACHE_WORDS = 700_000  # words kept by one Python worker, and with their bytes:
 CACHE_BYTES = {"bytes": 60_000_000, "words": 180_000_000}  # words with their signs are many more than those of the byte-level vocabulary
+SLICE_BYTES = 32_000_000  # of texts encoded in one call, after which freed memory goes back
 BATCH_CHARS = 4_000_000  # characters looked up together; distinct words are found once in them
 
 #: Strings before which a text is encoded as it is: white space that splits in another way, special tokens, our own marks.
