@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -10,8 +13,11 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-COARSE = [x / 2 for x in range(-8, 9)]
-REFINEMENTS = [0.1, 0.02, 0.004]
+from editlore.session import materialise
+
+STEP = 0.001  # powers are multiples of this
+BOUND = 5.0  # and lie between its negative and itself
+CUTS = 12  # parts into which a pass cuts the bracket of each column
 
 
 def yeo_johnson(x: Column, lam: Column) -> Column:
@@ -23,6 +29,98 @@ def yeo_johnson(x: Column, lam: Column) -> Column:
     return F.when(x >= 0, positive).otherwise(-negative)
 
 
+def _transformed(x: float, lam: float) -> float:
+    """One number transformed on the driver."""
+    up, power = math.log1p(abs(x)), lam if x >= 0 else 2.0 - lam
+    return math.copysign(up if abs(power) < 1e-9 else math.expm1(power * up) / power, x)
+
+
+class FittedPower(NamedTuple):
+    rows: int  # values that are there
+    power: float
+    mean: float  # of the transformed values
+    deviation: float
+    likelihood: float | None  # logarithm, per row; None for a column without spread
+
+
+def value_counts(dataset: DataFrame, names: list[str]) -> DataFrame:
+    """(i, x, n): how often each value occurs in column ``names[i]``. NULL, NaN and infinite values are left out."""
+    cells = F.array(*(F.struct(F.lit(i).alias("i"), F.col(name).cast("double").alias("x")) for i, name in enumerate(names)))
+    return dataset.select(F.explode(cells).alias("c")).select("c.i", "c.x").filter(
+        F.abs("x") < float("inf")).groupBy("i", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fit_powers(dataset: DataFrame, names: list[str], step: float = STEP, bound: float = BOUND) -> list[FittedPower]:
+    """The likeliest power of each column among the multiples of ``step`` up to ``bound``, and moments of the transformed column.
+
+    Values of all columns are counted once. The logarithm of the likelihood has one peak, so a bracket around it shrinks
+    safely: a pass over the counts weighs a dozen powers of every column by two sums each, and the neighbours of the best are the next
+    bracket. About five passes, each with a row per column as its result; no row is multiplied by the powers tried.
+    """
+    counted = materialise(value_counts(dataset, names))
+    total = F.sum("n")
+    known = {row["i"]: row for row in counted.groupBy("i").agg(
+        total.alias("rows"), F.min("x").alias("low"), F.max("x").alias("high"),
+        (F.sum(F.col("n") * F.col("x")) / total).alias("centre"),
+        F.sum(F.col("n") * F.signum("x") * F.log1p(F.abs("x"))).alias("logs")).collect()}  # one row per column
+    fitted = [FittedPower(0, 1.0, 0.0, 1.0, None)] * len(names)
+    top = round(bound / step)
+    brackets = {}
+    for i, row in known.items():
+        fitted[i] = FittedPower(row["rows"], 1.0, _transformed(row["centre"], 1.0), 1.0, None)
+        if row["low"] < row["high"]:
+            brackets[i] = (-top, top)
+    while brackets:
+        tried = {i: sorted({low + (high - low) * k // CUTS for k in range(CUTS + 1)}) for i, (low, high) in brackets.items()}
+        weighed = _weighed(counted, {i: [j * step for j in places] for i, places in tried.items()}, known)
+        for i, places in tried.items():
+            best = max(range(len(places)), key=lambda k: weighed[i][k].likelihood)
+            if math.isinf(weighed[i][best].likelihood):  # spread too small for doubles, as if there were none
+                del brackets[i]
+                continue
+            fitted[i] = weighed[i][best]
+            low = places[best - 1] + 1 if best else places[best]
+            high = places[best + 1] - 1 if best + 1 < len(places) else places[best]
+            if low == high or len(places) == places[-1] - places[0] + 1:
+                # The rest of the bracket is this place alone, or every place of it was tried.
+                del brackets[i]
+            else:
+                brackets[i] = (low, high)
+    counted.unpersist()
+    return fitted
+
+
+def _weighed(counted: DataFrame, powers: dict[int, list[float]], known: dict) -> dict[int, list[FittedPower]]:
+    """Moments and likelihood of each column for each of its powers, from one pass.
+
+    Sums are taken from the transformed mean of the column on, so that squares lose little.
+    """
+    width = max(map(len, powers.values()))
+    padded = {i: tried + tried[-1:] * (width - len(tried)) for i, tried in powers.items()}
+    origin = {i: [_transformed(known[i]["centre"], p) for p in tried] for i, tried in padded.items()}
+    places = sorted(powers)
+    # Literal arrays by column place; a few dozen numbers for each.
+    place = F.element_at(F.create_map(*(F.lit(v) for at, i in enumerate(places) for v in (i, at))), F.col("i"))
+    rows = counted.filter(F.col("i").isin(places)).withColumn("_at", place)
+    sums = []
+    for k in range(width):
+        power = F.lit([padded[i][k] for i in places])[F.col("_at")]
+        away = yeo_johnson(F.col("x"), power) - F.lit([origin[i][k] for i in places])[F.col("_at")]
+        sums += [F.sum(F.col("n") * away).alias(f"s{k}"), F.sum(F.col("n") * away * away).alias(f"q{k}")]
+    found = {}
+    for row in rows.groupBy("i").agg(*sums).collect():
+        i, n = row["i"], known[row["i"]]["rows"]
+        found[i] = []
+        for k, power in enumerate(powers[i]):
+            shift = row[f"s{k}"] / n
+            variance, mean = row[f"q{k}"] / n - shift * shift, origin[i][k] + shift
+            # Less spread than this is rounding noise of the mean.
+            sound = (1e-12 * mean) ** 2 < variance < math.inf
+            likelihood = (power - 1) * known[i]["logs"] / n - math.log(variance) / 2 if sound else -math.inf
+            found[i].append(FittedPower(n, power, mean, math.sqrt(variance) if sound else 1.0, likelihood))
+    return found
+
+
 class _PowerParams(HasInputCols, HasOutputCols):
     lambdas = Param(Params._dummy(), "lambdas", "power per column", TypeConverters.toListFloat)
     means = Param(Params._dummy(), "means", "mean of each transformed column", TypeConverters.toListFloat)
@@ -30,12 +128,7 @@ class _PowerParams(HasInputCols, HasOutputCols):
 
 
 class PowerTransform(Estimator, _PowerParams, DefaultParamsReadable, DefaultParamsWritable):
-    """Choose each column's power by maximum likelihood, then standardise.
-
-    The likelihood of a power needs only the variance of the transformed column and a sum of logarithms. Rows
-    are spread over (column, candidate power) and folded by a partial aggregate, so a few passes with tiny
-    shuffles fit every column, whatever the number of rows.
-    """
+    """Choose each column's power by maximum likelihood (``fit_powers``), then standardise."""
 
     @keyword_only
     def __init__(self, *, inputCols=None, outputCols=None):
@@ -43,43 +136,10 @@ class PowerTransform(Estimator, _PowerParams, DefaultParamsReadable, DefaultPara
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> "PowerTransformModel":
-        names = self.getInputCols()
-        rows = dataset.select(F.explode(F.array(*(
-            F.struct(F.lit(i).alias("i"), F.col(n).cast("double").alias("x")) for i, n in enumerate(names)))).alias("c"))
-        rows = rows.select("c.i", "c.x")
-        best = {i: 1.0 for i in range(len(names))}
-        candidates = {i: COARSE for i in best}
-        for step in [*REFINEMENTS, None]:
-            best.update(self._most_likely(rows, candidates))
-            if step is not None:
-                candidates = {i: [best[i] + step * k for k in range(-5, 6)] for i in best}
-
-        powers = [best[i] for i in range(len(names))]
-        moments = dataset.agg(*(f(yeo_johnson(F.col(n).cast("double"), F.lit(p))).alias(f"{label}{i}")
-                                for i, (n, p) in enumerate(zip(names, powers))
-                                for label, f in (("m", F.avg), ("d", F.stddev_pop)))).first()
+        fitted = fit_powers(dataset, self.getInputCols())
         return PowerTransformModel()._set(
-            inputCols=names, outputCols=self.getOutputCols(), lambdas=powers,
-            means=[moments[f"m{i}"] or 0.0 for i in range(len(names))],
-            deviations=[_deviation(moments[f"m{i}"], moments[f"d{i}"]) for i in range(len(names))])
-
-    @staticmethod
-    def _most_likely(rows: DataFrame, candidates: dict[int, list[float]]) -> dict[int, float]:
-        grid = F.create_map(*(part for i, powers in candidates.items()
-                              for part in (F.lit(i), F.array(*(F.lit(float(p)) for p in powers)))))
-        tried = rows.select("i", "x", F.explode(grid[F.col("i")]).alias("p"))
-        folded = tried.groupBy("i", "p").agg(
-            F.count("x").alias("n"), (F.min("x") < F.max("x")).alias("varies"), F.var_pop(yeo_johnson(F.col("x"), F.col("p"))).alias("v"),
-            F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("logs"))
-        likelihood = -F.col("n") / 2 * F.log(F.col("v")) + (F.col("p") - 1) * F.col("logs")
-        # One row per column and candidate: a few hundred numbers. Constant columns have no variance and keep 1.
-        found = folded.filter(F.col("varies") & (F.col("v") > 0)).groupBy("i").agg(F.max_by("p", likelihood).alias("p")).collect()
-        return {row["i"]: row["p"] for row in found}
-
-
-def _deviation(mean: float | None, deviation: float | None) -> float:
-    """1 for columns without spread: there is nothing to scale, only rounding noise."""
-    return deviation if deviation and deviation > 1e-12 * abs(mean) else 1.0
+            inputCols=self.getInputCols(), outputCols=self.getOutputCols(), lambdas=[f.power for f in fitted],
+            means=[f.mean for f in fitted], deviations=[f.deviation for f in fitted])
 
 
 class PowerTransformModel(Model, _PowerParams, DefaultParamsReadable, DefaultParamsWritable):

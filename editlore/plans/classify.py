@@ -13,9 +13,9 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from editlore.operators.power import PowerTransform
+from editlore.operators.power import PowerTransform, fit_powers
 from editlore.operators.sampling import keep_share, stratified_split
-from editlore.plans.predictor import binary_metrics, features_for, model_rows
+from editlore.plans.predictor import GROUPS, binary_metrics, features_for, model_rows
 from editlore.plans.profile import ROUTED_FEATURES
 from editlore.session import Scale, materialise
 from editlore.vocabulary import NEVER_CHANGES
@@ -48,6 +48,36 @@ def encoded_categories(features: DataFrame, group: str) -> DataFrame:
     return indexed.withColumns({f"{c}_index": F.col(f"{c}_index").cast("int") for c in categorical})
 
 
+def preprocessed_changes(features: DataFrame, group: str) -> DataFrame:
+    """Model rows of one user group with their one-hot categories and scaled numbers, fitted on the training rows."""
+    numerical, categorical, binary = features_for(group)
+    rows = materialise(model_input(model_rows(features.filter(F.col("model_group") == group)), numerical, categorical, binary))
+    shown = preprocessing(numerical, categorical, binary).fit(rows.filter("split = 'train'")).transform(rows)
+    return shown.withColumns({f"{c}_hot": vector_to_array(f"{c}_hot").cast("array<int>") for c in categorical})
+
+
+def preprocessed_properties(routed: DataFrame) -> DataFrame:
+    """Properties with scaled features, fitted on all of them."""
+    rows = materialise(imputed(routed))
+    return preprocessing(ROUTED_FEATURES, [], []).fit(rows).transform(rows)
+
+
+def chosen_powers(df: DataFrame, names: list[str]) -> DataFrame:
+    """The power of each numerical column, and the logarithm of its likelihood per row (NULL without spread)."""
+    fitted = [(name, f.rows, f.power, f.likelihood) for name, f in zip(names, fit_powers(df, names))]
+    return df.sparkSession.createDataFrame(fitted, "feature string, num_rows bigint, power double, log_likelihood double")
+
+
+def powers_of_models(features: DataFrame, routed: DataFrame) -> DataFrame:
+    """``chosen_powers`` of the training rows of both user groups and of the properties."""
+    found = chosen_powers(imputed(routed), ROUTED_FEATURES).withColumn("model", F.lit("properties"))
+    for group in GROUPS:
+        numerical, categorical, binary = features_for(group)
+        rows = model_input(model_rows(features.filter((F.col("model_group") == group) & (F.col("split") == "train"))), numerical, categorical, binary)
+        found = found.unionByName(chosen_powers(rows, numerical).withColumn("model", F.lit(group)))
+    return found
+
+
 def model_input(df: DataFrame, numerical: list[str], categorical: list[str], binary: list[str]) -> DataFrame:
     """Missing numbers become 0, missing categories a category of their own."""
     return df.fillna(0, numerical + binary).fillna("0", categorical)

@@ -155,6 +155,12 @@ def _ranked(a: Analyses) -> DataFrame:
     return ranking.cumulated(scored, "soon", "target_to_predict", ["model_group", "split"])
 
 
+def _preprocessed(a: Analyses, group: str) -> DataFrame:
+    numerical, categorical, binary = predictor.features_for(group)
+    return classify.preprocessed_changes(a.labelled, group).select(
+        "revision_id", *STATEMENT, "split", *(f"{c}_hot" for c in categorical), *binary, *(f"{c}_scaled" for c in numerical))
+
+
 def _importance(a: Analyses) -> DataFrame:
     """Importances of the features of both user groups' models."""
     found = None
@@ -327,6 +333,10 @@ ANALYSES: dict[str, Callable[[Analyses], DataFrame]] = {
         "revision_id", *STATEMENT, "split", *(f"{c}_index" for c in predictor.features_for(predictor.GROUPS[0])[1])),
     "encoded_categories_registered": lambda a: classify.encoded_categories(a.labelled, predictor.GROUPS[1]).select(
         "revision_id", *STATEMENT, "split", *(f"{c}_index" for c in predictor.features_for(predictor.GROUPS[1])[1])),
+    "yeo_johnson_powers": lambda a: classify.powers_of_models(a.labelled, a.routed),
+    "preprocessed_properties": lambda a: classify.preprocessed_properties(a.routed).select("property_id", *(f"{c}_scaled" for c in profile.ROUTED_FEATURES)),
+    "preprocessed_anonymous": lambda a: _preprocessed(a, predictor.GROUPS[0]),
+    "preprocessed_registered": lambda a: _preprocessed(a, predictor.GROUPS[1]),
     "rf_metrics": lambda a: classify.rejection_metrics(a.labelled, predictor.GROUPS, SHORT_GRID, SHORT_FOLDS),
     "feature_importance": _importance,
     "static_inference": _inference,

@@ -4,7 +4,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from editlore.operators import neighbours
-from editlore.operators.power import PowerTransform, yeo_johnson
+from editlore.operators.power import PowerTransform, fit_powers, yeo_johnson
 from editlore.plans import classify, profile
 from editlore.session import Scale
 
@@ -48,6 +48,25 @@ def test_power_transform_finds_the_likeliest_power_and_saves(spark, tmp_path):
     assert np.allclose([row.ma2, row.mb2, row.md2], 0, atol=1e-6) and np.allclose([row.sa2, row.sb2, row.sd2], 1, atol=1e-6)
 
 
+@pytest.mark.parametrize("values, power", [
+    ([], 1.0), ([None, float("nan")], 1.0), ([3.0] * 9, 1.0), ([0.0, 0.0, 1.0, None, float("inf"), float("nan")], None), ([-2.0, -2.0, 5.0, 1e15], None)])
+def test_powers_of_odd_columns(spark, values, power):
+    df = spark.createDataFrame([(v,) for v in values] * 3, "x double")
+    found = fit_powers(df, ["x"])[0]
+    kept = np.array([v for v in values if v is not None and np.isfinite(v)] * 3)
+    assert found.rows == len(kept) and found.deviation > 0
+    if power is not None:
+        assert found.power == power and found.likelihood is None
+        return
+
+    def likelihood(lam):
+        moved = reference_transform(kept, lam)
+        return -np.log(moved.var()) / 2 + (lam - 1) * np.mean(np.sign(kept) * np.log1p(np.abs(kept)))
+
+    assert found.likelihood == pytest.approx(max(likelihood(lam) for lam in np.arange(-1_250, 1_251) / 250), abs=1e-4)
+    assert found.mean == pytest.approx(reference_transform(kept, found.power).mean())
+
+
 def routed(spark, n=60):
     rng = np.random.default_rng(1)
     rows = []

@@ -475,8 +475,8 @@ LINES = {name: 2 + 2 * sum(flags) for name, flags in SETTINGS.items()}
 
 
 def _without_shares(name: str) -> str:
-    """The prompt without the two shares of references, which end its last section."""
-    return f"regexp_replace(prompt_{name}, ',\\\"ratio_wikipedia.*$', '}}')" if SETTINGS[name][1] else f"prompt_{name}"
+    """The prompt without the counts and shares of references, which end its last section."""
+    return f"regexp_replace(prompt_{name}, ',\\\"num_references_up_to_t.*$', '}}')" if SETTINGS[name][1] else f"prompt_{name}"
 
 
 def _encoded(group: str) -> str:
@@ -489,6 +489,58 @@ def _encoded(group: str) -> str:
     return f"""select revision_id, {KEY}, split, {', '.join(map(index, names))} from {here} h, (select {lists} from {here} t where split = 'train') k"""
 
 
+def _power(x: str, p: str) -> str:
+    """The transform of one number with one power."""
+    up = f"ln(1 + abs({x}))"
+    return f"""case when {x} >= 0 then case when abs({p}) < 1e-9 then {up} else (pow(1 + {x}, {p}) - 1) / {p} end
+      else case when abs(2 - ({p})) < 1e-9 then -{up} else (1 - pow(1 - {x}, 2 - ({p}))) / (2 - ({p})) end end"""
+
+
+def _power_views(model: str, fitted_on: str, names: list[str]) -> dict[str, str]:
+    """Powers and moments of columns by trying tenths first and then every thousandth around the best one."""
+    def tried(grid: str) -> str:
+        return f"""select name, j, ln(var_pop(t)) / -2 + (any_value(p) - 1) * avg(sign(x) * ln(1 + abs(x))) as l
+          from (select name, x, j, p, {_power('x', 'p')} as t from (select name, x, j, j * cast(0.001 as double) as p from {model}_cells {grid}))
+          group by name, j having min(x) < max(x) and var_pop(t) > pow(1e-12 * avg(t), 2)"""
+
+    return {
+        f"{model}_cells": f"select unnest([{', '.join(map(repr, names))}]) as name, unnest([{', '.join(f'cast({c} as double)' for c in names)}]) as x from {fitted_on}",
+        f"{model}_coarse": f"select name, arg_max(j, l) as around from ({tried('cross join (select unnest(range(-5000, 5001, 100)) as j)')}) group by name",
+        f"{model}_fine": f"""select name, arg_max(j, l) * cast(0.001 as double) as p, max(l) as l
+          from ({tried(f"join {model}_coarse using (name) join (select unnest(range(-5000, 5001)) as j) on j between around - 100 and around + 100")}) group by name""",
+        f"{model}_powers": f"""select name, count(*) as num_rows, any_value(p) as p, any_value(l) as l, avg(t) as m,
+            case when min(x) < max(x) then stddev_pop(t) else 1 end as d
+          from (select name, x, coalesce(p, 1) as p, l, {_power('x', 'coalesce(p, 1)')} as t from {model}_cells left join {model}_fine using (name)) group by name""",
+        f"{model}_line": "select " + ", ".join(f"max({part}) filter (name = '{c}') as {c}_{part}" for c in names for part in "pmd") + f" from {model}_powers",
+    }
+
+
+def _scaled(names: list[str]) -> str:
+    shown = {f"{c}_scaled": f"({_power(f'cast({c} as double)', f'{c}_p')} - {c}_m) / {c}_d" for c in names}
+    return ", ".join(f"{rounded_double(name, text)} as {name}" for name, text in shown.items())
+
+
+def _model_rows(group: str) -> str:
+    numerical, categorical, _ = features_for(group)
+    filled = [f"coalesce({c}, 0) as {c}" for c in numerical] + [f"coalesce({c}, '0') as {c}" for c in categorical]
+    return f"""select * replace ({', '.join(filled)}), case when timestamp < timestamp '2022-05-01 00:00:00' then 'train' else 'test' end as split
+      from predicted where (user_type = 'anonymous') = {str(group == 'changes_anonymous').lower()} and change_target = '' and action <> 'DELETE'"""
+
+
+def _preprocessed(group: str) -> str:
+    numerical, categorical, binary = features_for(group)
+    known = ", ".join(f"list_sort(list(distinct {c})) as {c}_all" for c in categorical)
+    hot = [f"array_to_string(list_transform({c}_all, lambda x: cast(x = {c} as integer)), ',') as {c}_hot" for c in categorical]
+    return f"""select revision_id, {KEY}, split, {', '.join([*hot, *(f'coalesce({c}, 0) as {c}' for c in binary)])}, {_scaled(numerical)}
+      from {group}_rows, {group}_line, (select {known} from {group}_rows where split = 'train')"""
+
+
+DERIVED["imputed"] = f"select * replace ({', '.join(f'coalesce({c}, 1e15) as {c}' for c in ROUTED_FEATURES)}) from routed"
+DERIVED |= _power_views("imputed", "imputed", ROUTED_FEATURES)
+for _group in GROUPS:
+    DERIVED[f"{_group}_rows"] = _model_rows(_group)
+    DERIVED |= _power_views(_group, f"{_group}_rows where split = 'train'", features_for(_group)[0])
+
 BODIES = {
     "change_log": "select * from value_change",
     "small_table": "select * from small_table",
@@ -645,6 +697,12 @@ BODIES = {
       join (select {KEY} from value_change where change_target = '' group by all order by count(*) desc, {KEY} limit 1) using ({KEY}) where change_target = ''""",
     "imputed_properties": f"select property_id, {', '.join(f'{rounded_double(c, c)} as {c}' for c in ROUTED_FEATURES)} from (select * replace ({', '.join(f'coalesce({c}, 1e15) as {c}' for c in ROUTED_FEATURES)}) from routed)",
     **{name: _encoded(group) for name, group in zip(("encoded_categories", "encoded_categories_registered"), GROUPS)},
+    "yeo_johnson_powers": " union all ".join(
+        f"select '{shown}' as model, name as feature, num_rows, round(p, 6) as power, round(l, 6) as log_likelihood from {model}_powers"
+        for model, shown in (("imputed", "properties"), *zip(GROUPS, GROUPS))),
+    "preprocessed_properties": f"select property_id, {_scaled(ROUTED_FEATURES)} from imputed, imputed_line",
+    "preprocessed_anonymous": _preprocessed(GROUPS[0]),
+    "preprocessed_registered": _preprocessed(GROUPS[1]),
     "sampled_references": f"""select c.*, {', '.join(f's.{x} as change_{x}' for x in CONTEXT)}
       from reference_change c asof join static_changes s
         on c.entity_id = s.entity_id and c.property_id = s.property_id and c.value_id = s.value_id and c.timestamp >= s.timestamp""",
