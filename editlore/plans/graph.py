@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from editlore.functions.columns import id_number
+from editlore.session import materialise
 
 # Terms of the vocabulary the patterns look for.
 LABEL, DESCRIPTION, ALIAS = "rdfs:label", "schema:description", "skos:altLabel"
@@ -14,6 +15,13 @@ CONSTRAINT_CLASS, RANGE, INTEGER = "wd:Q21502402", "wd:Q21510860", "wd:Q52848401
 TIME_QUALIFIERS = ["wd:P585", "wd:P580", "wd:P582"]
 STABILITIES = ["wd:Q24025284", "wd:Q23611587", "wd:Q23611288"]
 NUMERIC_ID = "wd:Q93868746"
+CONSTRAINT_PARTS = ["p:P2302", "ps:P2302", "pq:P2316", LABEL, DESCRIPTION]
+
+
+def relevant(triples: DataFrame, *predicates: str) -> DataFrame:
+    """The triples of a few predicates, English or without language, read in one scan and kept for the joins of a pattern."""
+    wanted = F.col("p").isin(*predicates) & (F.col("o_lang").isNull() | (F.col("o_lang") == "en"))
+    return materialise(triples.filter(wanted).select("s", "p", "o", "o_lang"))
 
 
 def edges(triples: DataFrame, predicate: str, subject: str, value: str, obj: str | list[str] | None = None) -> DataFrame:
@@ -29,6 +37,7 @@ def english(triples: DataFrame, predicate: str, subject: str, value: str) -> Dat
 
 
 def constraint_types(triples: DataFrame) -> DataFrame:
+    triples = relevant(triples, "wdt:P279", LABEL, DESCRIPTION)
     classes = edges(triples, "wdt:P279", "constraint", "_c", CONSTRAINT_CLASS).drop("_c")
     return classes.join(english(triples, LABEL, "constraint", "label"), "constraint").join(
         english(triples, DESCRIPTION, "constraint", "description"), "constraint")
@@ -47,6 +56,7 @@ def _constrained(triples: DataFrame, kind: str) -> DataFrame:
 
 
 def range_constraints(triples: DataFrame) -> DataFrame:
+    triples = relevant(triples, *CONSTRAINT_PARTS, "pq:P2313", "pq:P2312")
     return (
         _constrained(triples, RANGE)
         .join(edges(triples, "pq:P2313", "statement", "minimum_value"), "statement")
@@ -56,12 +66,13 @@ def range_constraints(triples: DataFrame) -> DataFrame:
 
 
 def integer_constraints(triples: DataFrame) -> DataFrame:
-    return _constrained(triples, INTEGER).select(
+    return _constrained(relevant(triples, *CONSTRAINT_PARTS), INTEGER).select(
         "property", "property_label", "property_description", "constraint_status_label")
 
 
 def time_qualifier_constraints(triples: DataFrame) -> DataFrame:
     """Constraints of any type that name a time qualifier."""
+    triples = relevant(triples, "rdf:type", "pq:P2306", "p:P2302", "ps:P2302", LABEL)
     classes = edges(triples, "rdf:type", "property", "_c", PROPERTY_CLASS).drop("_c")
     qualifiers = edges(triples, "pq:P2306", "statement", "qualifier", TIME_QUALIFIERS).join(
         english(triples, LABEL, "qualifier", "qualifier_label"), "qualifier")
@@ -76,6 +87,7 @@ def time_qualifier_constraints(triples: DataFrame) -> DataFrame:
 
 def property_metadata(triples: DataFrame) -> DataFrame:
     """Type, label, description, joined aliases, update frequency and numeric-id flag of every property."""
+    triples = relevant(triples, "rdf:type", "wikibase:propertyType", LABEL, DESCRIPTION, ALIAS, "wdt:P2668", "wdt:P1552")
     aliases = english(triples, ALIAS, "property", "_alias").groupBy("property").agg(
         F.array_join(F.array_sort(F.collect_set("_alias")), ", ").alias("aliases"))
     frequency = edges(triples, "wdt:P2668", "property", "frequency_update", STABILITIES).join(
@@ -96,6 +108,7 @@ def property_metadata(triples: DataFrame) -> DataFrame:
 
 def id_properties(triples: DataFrame) -> DataFrame:
     """Identifier properties: by datatype, by characteristic, or by what their texts say."""
+    triples = relevant(triples, "rdf:type", "wikibase:propertyType", LABEL, DESCRIPTION, ALIAS, "wdt:P1552")
     classes = edges(triples, "rdf:type", "property", "_c", PROPERTY_CLASS).drop("_c")
     says_id = F.col("_text").rlike("(?i)identif|code|id")
     texts = english(triples, DESCRIPTION, "property", "_text").unionByName(english(triples, ALIAS, "property", "_text"))
@@ -115,6 +128,7 @@ def id_properties(triples: DataFrame) -> DataFrame:
 
 
 def stable_properties(triples: DataFrame) -> DataFrame:
+    triples = relevant(triples, "wdt:P2668", LABEL)
     return (
         edges(triples, "wdt:P2668", "property", "stability_value")
         .join(english(triples, LABEL, "property", "property_label"), "property")

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from editlore.functions.columns import empty_object_to_null, flag, rounded
 from editlore.operators import intervals, neighbours, ranking, sampling
 from editlore.operators.ordered import placed
+from editlore.operators.text_vectors import text_vectors
 from editlore.plans import (
     catalogue, classify, frequency, graph, history, predictor, profile, prompts, quality, samples, users,
 )
-from editlore.session import shared, small_side
+from editlore.session import new_folder, shared, small_side
+from editlore.sources import files
 from editlore.sources.changelog import Tables
 from editlore.sources.files import active_entities, sparql_bindings
 
@@ -185,6 +187,35 @@ def _link_results(a: Analyses) -> DataFrame:
     return sparql_bindings(documents, "json", ["dbpedia", "wikidata"])
 
 
+def _csv_round_trip(a: Analyses) -> DataFrame:
+    """Value and rank changes written as CSV and read back."""
+    path = new_folder(a.spark) + "/changes"
+    columns = files.column_names(files.CHANGE_SCHEMA)
+    files.write_csv(history.with_replaced_values(a.log.value_change, a.scale).select(*columns), path)
+    return files.read_csv(a.spark, path, files.CHANGE_SCHEMA)
+
+
+def _result_round_trip(a: Analyses) -> DataFrame:
+    """Predictor rows with their target, written by group and split and read back as one table."""
+    path = new_folder(a.spark) + "/labelled"
+    files.write_result(a.labelled.select(*TARGET_COLUMNS), path, by=["model_group", "split"])
+    return a.spark.read.parquet(path).select(*TARGET_COLUMNS)
+
+
+def _appended_entities(a: Analyses) -> DataFrame:
+    """Entities appended in batches: the active ones by a first job, all of them by a second one that finds some there."""
+    path = new_folder(a.spark) + "/entities"
+    files.append_missing(active_entities(a.log.entity_stats), path, "entity_id", batches=2)
+    files.append_missing(a.log.entity_stats, path, "entity_id", batches=4)
+    return a.spark.read.parquet(path).select("entity_id", "num_value_changes")
+
+
+def _text_embeddings(a: Analyses) -> DataFrame:
+    """Properties with vectors of their texts."""
+    vectors = text_vectors(a.embeddings, "property_id", neighbours.property_text())
+    return a.embeddings.drop("embedding").join(vectors, "property_id")
+
+
 def _property_prompts(a: Analyses) -> DataFrame:
     nearest = neighbours.nearest_non_self(a.neighbours, hint_from=0.75)
     return prompts.property_prompts(a.routed, nearest, a.properties)
@@ -326,6 +357,11 @@ ANALYSES: dict[str, Callable[[Analyses], DataFrame]] = {
     "knn4_lists": lambda a: neighbours.neighbour_lists(a.neighbours),
     "nearest_non_self": lambda a: neighbours.nearest_non_self(a.neighbours),
     "nn_accuracy": lambda a: neighbours.neighbour_accuracy(a.embeddings, neighbours.nearest_non_self(a.neighbours)),
+    "text_vectors": lambda a: _text_embeddings(a).select("property_id", "embedding"),
+    "text_knn4": lambda a: neighbours.neighbours(_text_embeddings(a)).select("property_id", "rank", "similarity"),
+    "csv_round_trip": _csv_round_trip,
+    "result_round_trip": _result_round_trip,
+    "appended_entities": _appended_entities,
     "statement_history": lambda a: predictor.longest_history(a.log.value_change).select(
         *STATEMENT, "revision_id", "timestamp", "action", "new_value", "is_reverted", "reversion"),
     "imputed_properties": lambda a: classify.imputed(a.routed).select("property_id", *profile.ROUTED_FEATURES),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -118,6 +120,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint() if _checkpoint_folder(df.sparkSession) else df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share: inside the checkpoints', or a temporary one of a local session."""
+    if _checkpoint_folder(spark):
+        return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp()
+
+
 def shared(df: DataFrame, scale: Scale) -> DataFrame:
     """A step with several readers: computed once for a large log, where a small one is as quickly computed again."""
     return df if scale.fits else materialise(df)

@@ -141,6 +141,9 @@ VIEWS = {
         union all select concat('s', cast(p_partkey as string)), 'pq:P2306',
           case p_type when 'SMALL' then 'wd:P585' when 'LARGE' then 'wd:P580' else 'wd:P1' end, null from {part} where p_size > 10
         union all select concat('dbr:', p_name, '_', p_brand), 'owl:sameAs', concat('wd:Q', cast(p_partkey as string)), null from {part} where p_size > 15
+        union all select distinct concat('wd:T', p_brand, p_type), 'wdt:P279', 'wd:Q21502402', null from {part}
+        union all select distinct concat('wd:T', p_brand, p_type), 'rdfs:label', concat(p_type, ' constraint of ', p_brand), 'en' from {part}
+        union all select distinct concat('wd:T', p_brand, p_type), 'schema:description', concat('values must be ', p_type), 'en' from {part} where p_type <> 'PROMO'
         union all select * from (values ('wd:Q23611288', 'rdfs:label', 'never changes', 'en'), ('wd:Q24025284', 'rdfs:label', 'sometimes changes', 'en'),
           ('wd:Q23611587', 'rdfs:label', 'continuously changes', 'en'), ('wd:Q21510860', 'wdt:P279', 'wd:Q21502402', null),
           ('wd:Q21510860', 'rdfs:label', 'range constraint', 'en'), ('wd:Q21510860', 'schema:description', 'value must lie between bounds', 'en'),

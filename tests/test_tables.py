@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from editlore.plans import catalogue, graph, profile, prompts, samples
 from editlore.operators import sampling
+from editlore.operators.text_vectors import text_vectors
 from editlore.session import Scale, small_side
 from editlore.sources import files
 from editlore.vocabulary import SANDBOX_ENTITIES
@@ -51,6 +53,47 @@ def test_append_continues_where_it_stopped(spark, tmp_path):
     assert sorted(r.entity_id for r in spark.read.parquet(path).collect()) == list(range(10))
 
 
+def test_stopped_append_keeps_whole_batches(spark, tmp_path):
+    path = str(tmp_path / "links")
+    df = spark.range(40).select(F.when(F.col("id") > 0, F.col("id")).alias("entity_id"))  # one key is NULL
+    batch = F.pmod(F.xxhash64("entity_id"), F.lit(4))
+    failing = df.withColumn("x", F.when(batch == 2, F.raise_error(F.lit("stopped")).cast("int")).otherwise(1))
+    with pytest.raises(Exception, match="stopped"):
+        files.append_missing(failing, path, "entity_id", batches=4)
+    finished = {r.entity_id for r in df.filter(batch < 2).collect()}
+    assert {r.entity_id for r in spark.read.parquet(path).collect()} == finished
+    assert files.append_missing(df.withColumn("x", F.lit(2)), path, "entity_id", batches=3) == 40 - len(finished)
+    rows = [(r.entity_id, r.x) for r in spark.read.parquet(path).collect()]
+    assert len(rows) == 40 and {k for k, _ in rows} == {None, *range(1, 40)} and {k for k, x in rows if x == 1} == finished
+    assert files.append_missing(df.limit(0).withColumn("x", F.lit(1)), str(tmp_path / "none"), "entity_id") == 0
+
+
+def test_text_vectors(spark):
+    df = spark.createDataFrame([(1, "abc"), (2, None), (3, "ABC"), (4, "\U0001d11ex \U0001d11e"), (5, ""), (6, "ab"), (6, "ab"), (None, "q" * 5_000)], "k long, t string")
+    found = {r.k: r.embedding for r in text_vectors(df, "k", F.col("t"), dimensions=16).collect()}
+
+    def want(*texts):
+        counts = [0] * 16
+        for text in texts:
+            shown = f" {text.lower()} "
+            for i in range(len(shown) - 2):
+                digest = hashlib.md5(shown[i:i + 3].encode()).hexdigest()
+                counts[int(digest[:8], 16) % 16] += 1 if digest[8] < "8" else -1
+        norm = sum(c * c for c in counts) ** 0.5
+        return pytest.approx([c / norm if norm else 0.0 for c in counts])
+
+    assert found == {1: want("abc"), 2: [0.0] * 16, 3: want("abc"), 4: want("\U0001d11ex \U0001d11e"), 5: [0.0] * 16, 6: want("ab", "ab"), None: want("q" * 5_000)}
+    assert text_vectors(df.limit(0), "k", F.col("t")).count() == 0
+
+
+def test_graph_patterns_scan_the_triples_once(spark, tmp_path):
+    path = str(tmp_path / "triples")
+    spark.createDataFrame([("P1", "rdf:type", "wikibase:Property", None)], "s string, p string, o string, o_lang string").write.parquet(path)
+    for pattern in (graph.property_metadata, graph.id_properties, graph.range_constraints, graph.stable_properties):
+        plan = pattern(spark.read.parquet(path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "Relation" not in plan  # only the kept triples are read
+
+
 def test_sparql_results(spark):
     text = json.dumps({"results": {"bindings": [{"a": {"type": "uri", "value": "x"}, "b": {"value": "1"}}, {"a": {"value": "y"}}]}})
     found = files.sparql_bindings(spark.createDataFrame([(text,)], "json string"), "json", ["a", "b"])

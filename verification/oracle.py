@@ -541,6 +541,19 @@ for _group in GROUPS:
     DERIVED[f"{_group}_rows"] = _model_rows(_group)
     DERIVED |= _power_views(_group, f"{_group}_rows where split = 'train'", features_for(_group)[0])
 
+# Three letters at a time between two spaces; the first digits of the digest give the place, the ninth the sign.
+DERIVED["text_counts"] = """select property_id, cast('0x' || substr(h, 1, 8) as bigint) % 64 as place, sum(case when substr(h, 9, 1) < '8' then 1 else -1 end) as n
+  from (select property_id, md5(substr(t, i, 3)) as h
+    from (select property_id, t, unnest(range(1, length(t) - 1)) as i
+      from (select property_id, ' ' || lower(property_label || '. ' || coalesce(property_description, '')) || ' ' as t from property_embeddings)))
+  group by all"""
+DERIVED["text_embeddings"] = """select property_id, property_type, list_transform(range(64), lambda i: coalesce(counts[i], 0) / norm) as embedding
+  from (select property_id, map(list(place), list(cast(n as double))) as counts, sqrt(sum(n * n)) as norm from text_counts group by property_id)
+    join property_embeddings using (property_id)"""
+DERIVED["text_nearest4"] = """select * from (select *, row_number() over (partition by property_id order by similarity desc, nn) as rank
+  from (select q.property_id, l.property_id as nn, list_cosine_similarity(q.embedding, l.embedding) as similarity
+    from text_embeddings q, text_embeddings l where l.property_type is not null)) where rank <= 4"""
+
 BODIES = {
     "change_log": "select * from value_change",
     "small_table": "select * from small_table",
@@ -703,6 +716,11 @@ BODIES = {
     "preprocessed_properties": f"select property_id, {_scaled(ROUTED_FEATURES)} from imputed, imputed_line",
     "preprocessed_anonymous": _preprocessed(GROUPS[0]),
     "preprocessed_registered": _preprocessed(GROUPS[1]),
+    "text_vectors": "select property_id, array_to_string(list_transform(embedding, lambda x: printf('%.4f', x)), ',') as embedding from text_embeddings",
+    "text_knn4": "select property_id, cast(rank as integer) as rank, round(similarity, 6) as similarity from text_nearest4",
+    "csv_round_trip": "select * from value_change",
+    "result_round_trip": f"select {TARGETS} from labelled",
+    "appended_entities": "select entity_id, num_value_changes from entity_stats",
     "sampled_references": f"""select c.*, {', '.join(f's.{x} as change_{x}' for x in CONTEXT)}
       from reference_change c asof join static_changes s
         on c.entity_id = s.entity_id and c.property_id = s.property_id and c.value_id = s.value_id and c.timestamp >= s.timestamp""",
