@@ -1,9 +1,11 @@
 import random
+from types import SimpleNamespace
 
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
+from editlore.llm import common
 from editlore.llm.queries import registered, statements
 
 
@@ -40,3 +42,10 @@ def test_pipeline_drops_what_each_stage_rejects(spark, tables):
 
 def test_entry_has_all():
     assert set(registered()) <= set(__spark_entry__.queries()) and set(statements()) <= set(__spark_entry__.oracle_sql())
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    nothing = SimpleNamespace(get=lambda *_: None)
+    session = SimpleNamespace(conf=nothing, sparkContext=SimpleNamespace(getConf=lambda: nothing, master="spark://host:7077", applicationId="a"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(session)
