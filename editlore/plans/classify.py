@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-from itertools import product
+import hashlib
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from editlore.operators.power import PowerTransform, fit_powers
 from editlore.operators.sampling import keep_share, stratified_split
+from editlore.plans import search
 from editlore.plans.predictor import GROUPS, binary_metrics, features_for, model_rows
 from editlore.plans.profile import ROUTED_FEATURES
 from editlore.session import Scale, materialise
+from editlore.sources.files import exists
 from editlore.vocabulary import NEVER_CHANGES
 
+CHANGE = ["revision_id", "entity_id", "property_id", "value_id", "change_target"]  # what tells changes apart
+
 # Searched values. The library has no minimum number of samples for a split, so that part of the search is left out.
 CHANGE_GRID = {"numTrees": [100, 200], "maxDepth": [5, 10], "minInstancesPerNode": [1, 2],
                "featureSubsetStrategy": ["sqrt", "log2"]}
@@ -93,62 +97,103 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("weight", weight)
 
 
-class PositiveF1(Evaluator):
-    """F1 of class 1; 0 where a fold has no such rows, as a rare class may miss from one."""
+@dataclass
+class Fitted:
+    """A searched pipeline, its test rows with predictions, and the score of each candidate in each fold (``search.SCORES``)."""
 
-    def __init__(self, label: str):
-        super().__init__()
-        self.label = label
+    model: PipelineModel
+    tested: DataFrame
+    scores: DataFrame
+    best: dict
 
-    def _evaluate(self, dataset: DataFrame) -> float:
-        return binary_metrics(dataset, self.label, "prediction", []).first()["f1"]
 
+def save(fitted: Fitted, path: str) -> None:
+    """Write the pipeline and then its scores below ``path``; a folder without complete scores is no saved model."""
+    fitted.model.write().overwrite().save(f"{path}/model")
+    fitted.scores.coalesce(1).write.mode("overwrite").parquet(f"{path}/scores")
 
-def forest_search(label: str, grid: dict[str, list], folds: int = 3, parallelism: int = 4, seed: int = 42) -> CrossValidator:
-    """Weighted random forest, all combinations of ``grid``, chosen by F1 of class 1."""
-    forest = RandomForestClassifier(labelCol=label, featuresCol="features", weightCol="weight", seed=seed)
-    combinations = [{forest.getParam(k): v for k, v in zip(grid, values)} for values in product(*grid.values())]
-    return CrossValidator(estimator=forest, estimatorParamMaps=combinations, evaluator=PositiveF1(label), numFolds=folds,
-                          parallelism=parallelism, seed=seed)
 
+def load(spark: SparkSession, path: str, test: DataFrame) -> Fitted:
+    """What ``save`` wrote, applied to ``test``."""
+    scores = sorted(tuple(row) for row in spark.read.parquet(f"{path}/scores").collect())  # a row per candidate and fold
+    number, f1 = search.best(scores)
+    chosen = next(dict(zip(search.NAMES, row[1:])) for row in scores if row[0] == number)
+    model = PipelineModel.load(f"{path}/model")
+    return Fitted(model, model.transform(test), spark.createDataFrame(scores, search.SCORES), chosen | {"score": f1})
 
-def fit_forest(train: DataFrame, label: str, stages: Pipeline, grid: dict[str, list], folds: int = 3) -> tuple[PipelineModel, dict]:
-    """Fit preprocessing, search the grid on its result, and return one pipeline with the best forest."""
-    prepared = stages.fit(train)
-    weighted = materialise(balanced_weights(prepared.transform(train).withColumn(label, F.col(label).cast("double")), label))
-    search: CrossValidatorModel = forest_search(label, grid, folds).fit(weighted.select("features", label, "weight"))
-    forest = search.bestModel
-    best = {name: forest.getOrDefault(name) for name in grid} | {"score": max(search.avgMetrics)}
-    return PipelineModel(stages=[*prepared.stages, forest]), best
 
+def _content(train: DataFrame, columns: list[str], *more) -> str:
+    """A name for what a search learns from: the rows in any order, and its settings."""
+    rows = train.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first()
+    return hashlib.md5(repr((tuple(rows), columns, more)).encode()).hexdigest()
 
-def train_predictor(features: DataFrame, group: str, grid: dict[str, list] = CHANGE_GRID, folds: int = 3
-                    ) -> tuple[PipelineModel, DataFrame, dict]:
-    """(model, test set with predictions, best parameters) for one user group."""
-    numerical, categorical, binary = features_for(group)
-    rows = model_input(model_rows(features.filter(F.col("model_group") == group)), numerical, categorical, binary)
-    rows = materialise(rows)
-    model, best = fit_forest(rows.filter("split = 'train'"), "target_to_predict",
-                             preprocessing(numerical, categorical, binary), grid, folds)
-    return model, model.transform(rows.filter("split = 'test'")), best
+
+def fit_forest(train: DataFrame, test: DataFrame, label: str, identity: list[str], kinds: tuple[list[str], list[str], list[str]],
+               grid: dict[str, list], folds: int = search.FOLDS, store: str | None = None) -> Fitted:
+    """Fit preprocessing of the numerical, categorical and binary columns, search the grid on its result, and join the forest of the best
+    candidate, fitted on all rows, to it.
+
+    With a folder ``store`` a search is saved there under its content, and a later one for the same rows and settings is loaded instead.
+    """
+    spark = train.sparkSession
+    path = None
+    if store:
+        path = f"{store}/{_content(train, sorted({*sum(kinds, []), label, *identity}), label, identity, kinds, grid, folds)}"
+        if exists(spark, f"{path}/scores/_SUCCESS"):
+            return load(spark, path, test)
+    prepared = preprocessing(*kinds).fit(train)
+    weighted = balanced_weights(prepared.transform(train).withColumn(label, F.col(label).cast("double")), label)
+    rows = materialise(weighted.select("features", label, "weight", search.fold(identity, folds).alias("fold")))
+    scores = search.fold_scores(rows, label, grid, folds)
+    number, f1 = search.best(scores)
+    chosen = search.candidates(grid)[number]
+    model = PipelineModel(stages=[*prepared.stages, search.forest(label, chosen).fit(rows)])
+    fitted = Fitted(model, model.transform(test), spark.createDataFrame(scores, search.SCORES), chosen | {"score": f1})
+    if path:
+        save(fitted, path)
+    return fitted
+
+
+def group_rows(features: DataFrame, group: str) -> DataFrame:
+    """Model rows of one user group, without missing values."""
+    return model_input(model_rows(features.filter(F.col("model_group") == group)), *features_for(group))
+
+
+def train_predictor(features: DataFrame, group: str, grid: dict[str, list] = CHANGE_GRID, folds: int = search.FOLDS,
+                    store: str | None = None) -> Fitted:
+    """The rejection model of one user group, fitted before the time split and applied to the changes after it."""
+    rows = materialise(group_rows(features, group))
+    return fit_forest(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "target_to_predict", CHANGE,
+                      features_for(group), grid, folds, store)
 
 
-def rejection_metrics(features: DataFrame, groups: list[str], grid: dict[str, list] = CHANGE_GRID, folds: int = 3) -> DataFrame:
-    """One model per user group; test precision, recall and F1 of each."""
-    scored = None
-    for group in groups:
-        _, predicted, _ = train_predictor(features, group, grid, folds)
-        part = binary_metrics(predicted.withColumn("model_group", F.lit(group)), "target_to_predict", "prediction", ["model_group"])
-        scored = part if scored is None else scored.unionByName(part)
-    return scored
+def train_predictors(features: DataFrame, grid: dict[str, list] = CHANGE_GRID, folds: int = search.FOLDS, store: str | None = None
+                     ) -> dict[str, Fitted]:
+    return {group: train_predictor(features, group, grid, folds, store) for group in GROUPS}
 
 
-def feature_importance(model: PipelineModel, transformed: DataFrame) -> DataFrame:
+def change_folds(features: DataFrame, folds: int = search.FOLDS) -> DataFrame:
+    """Rows and weights of the folds of both user groups' searches."""
+    train = model_rows(features).filter("split = 'train'")
+    return search.fold_sizes(train, "target_to_predict", ["model_group"], CHANGE, folds)
+
+
+def by_group(parts: dict[str, DataFrame]) -> DataFrame:
+    """Tables of user groups as one, with ``model_group``."""
+    return reduce(DataFrame.unionByName, (part.withColumn("model_group", F.lit(group)) for group, part in parts.items()))
+
+
+def rejection_metrics(fitted: dict[str, Fitted]) -> DataFrame:
+    """Test precision, recall and F1 of each user group's model."""
+    return by_group({group: binary_metrics(f.tested, "target_to_predict", "prediction", []) for group, f in fitted.items()})
+
+
+def feature_importance(fitted: Fitted) -> DataFrame:
     """(feature, importance) for every slot of the feature vector, named by the vector's metadata."""
-    slots = transformed.schema["features"].metadata["ml_attr"]["attrs"]
+    slots = fitted.tested.schema["features"].metadata["ml_attr"]["attrs"]
     names = sorted((a["idx"], a["name"]) for kind in slots.values() for a in kind)
-    importances = model.stages[-1].featureImportances.toArray()
-    spark = transformed.sparkSession
+    importances = fitted.model.stages[-1].featureImportances.toArray()
+    spark = fitted.tested.sparkSession
     return spark.createDataFrame([(name, float(importances[i])) for i, name in names], "feature string, importance double")
 
 
@@ -171,19 +216,30 @@ def with_final_type(df: DataFrame) -> DataFrame:
         known, F.when(F.col("property_label").contains(" ID"), "static")))
 
 
-def static_classifier(routed: DataFrame, scale: Scale, grid: dict[str, list] = PROPERTY_GRID, folds: int = 3
-                      ) -> tuple[PipelineModel, DataFrame, dict]:
-    """(model, test set with predictions, best parameters) for static against non-static properties.
+def labelled_properties(routed: DataFrame, scale: Scale) -> DataFrame:
+    """Properties of known type as static or not.
 
-    Four fifths of the static properties are identifiers, so only 60 % of those are kept for training.
+    Four fifths of the static properties are identifiers, so only 60 % of those are kept.
     """
     kind = F.nullif(F.col("property_type"), F.lit(""))
     labelled = imputed(routed.filter(kind.isNotNull()).withColumn("is_static", (kind == "static").cast("int")))
     static_id = (F.col("is_static") == 1) & F.col("property_label").contains(" ID")
-    kept = materialise(keep_share(labelled, static_id, 0.6, ["property_id"], scale))
-    train, test = stratified_split(kept, "is_static", ["property_id"], scale)
-    model, best = fit_forest(train, "is_static", preprocessing(ROUTED_FEATURES, [], []), grid, folds)
-    return model, _with_probability(model.transform(test)), best
+    return keep_share(labelled, static_id, 0.6, ["property_id"], scale)
+
+
+def property_folds(routed: DataFrame, scale: Scale, folds: int = search.FOLDS) -> DataFrame:
+    """Rows and weights of the folds of the static classifier's search."""
+    train, _ = stratified_split(labelled_properties(routed, scale), "is_static", ["property_id"], scale)
+    return search.fold_sizes(train, "is_static", [], ["property_id"], folds)
+
+
+def static_classifier(routed: DataFrame, scale: Scale, grid: dict[str, list] = PROPERTY_GRID, folds: int = search.FOLDS,
+                      store: str | None = None) -> Fitted:
+    """Static against non-static properties."""
+    train, test = stratified_split(materialise(labelled_properties(routed, scale)), "is_static", ["property_id"], scale)
+    fitted = fit_forest(train, test, "is_static", ["property_id"], (ROUTED_FEATURES, [], []), grid, folds, store)
+    fitted.tested = _with_probability(fitted.tested)
+    return fitted
 
 
 def imputed(df: DataFrame) -> DataFrame:

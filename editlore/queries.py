@@ -15,15 +15,11 @@ from editlore.operators.text_vectors import text_vectors
 from editlore.plans import (
     catalogue, classify, frequency, graph, history, predictor, profile, prompts, quality, samples, users,
 )
-from editlore.session import new_folder, shared, small_side
+from editlore.session import model_folder, new_folder, shared, small_side
 from editlore.sources import files
 from editlore.sources.changelog import Tables
 from editlore.sources.files import active_entities, sparql_bindings
 
-# A small search keeps the registered model queries short; the full grids are the defaults of ``classify``.
-SHORT_GRID = {"numTrees": [20], "maxDepth": [5], "minInstancesPerNode": [1], "featureSubsetStrategy": ["sqrt"]}
-SHORT_FOLDS = 2
-
 
 class Analyses(Tables):
     """Shared steps of the registered queries, built lazily and once."""
@@ -126,6 +122,10 @@ class Analyses(Tables):
         pairs = sampling.limited_pairs(self.typed_pairs("static"), None)
         return samples.sampled_changes(pairs, history.with_replaced_values(self.log.value_change, self.scale), self.log.entity_stats, self.log.revision)
 
+    @cached_property
+    def predictors(self) -> dict[str, classify.Fitted]:
+        return classify.train_predictors(self.labelled, store=model_folder(self.spark))
+
     @cached_property
     def triples(self) -> DataFrame:
         return self.view("triples")
@@ -163,19 +163,8 @@ def _preprocessed(a: Analyses, group: str) -> DataFrame:
         "revision_id", *STATEMENT, "split", *(f"{c}_hot" for c in categorical), *binary, *(f"{c}_scaled" for c in numerical))
 
 
-def _importance(a: Analyses) -> DataFrame:
-    """Importances of the features of both user groups' models."""
-    found = None
-    for group in predictor.GROUPS:
-        model, tested, _ = classify.train_predictor(a.labelled, group, SHORT_GRID, SHORT_FOLDS)
-        part = classify.feature_importance(model, tested).withColumn("model_group", F.lit(group))
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
 def _inference(a: Analyses) -> DataFrame:
-    model, _, _ = classify.static_classifier(a.routed, a.scale, SHORT_GRID, SHORT_FOLDS)
-    return classify.infer_static(a.routed, model).select(
+    return classify.infer_static(a.routed, classify.static_classifier(a.routed, a.scale, store=model_folder(a.spark)).model).select(
         "property_id", "property_label", "property_type", "final_property_type", "prediction_static", "pred_proba")
 
 
@@ -373,8 +362,11 @@ ANALYSES: dict[str, Callable[[Analyses], DataFrame]] = {
     "preprocessed_properties": lambda a: classify.preprocessed_properties(a.routed).select("property_id", *(f"{c}_scaled" for c in profile.ROUTED_FEATURES)),
     "preprocessed_anonymous": lambda a: _preprocessed(a, predictor.GROUPS[0]),
     "preprocessed_registered": lambda a: _preprocessed(a, predictor.GROUPS[1]),
-    "rf_metrics": lambda a: classify.rejection_metrics(a.labelled, predictor.GROUPS, SHORT_GRID, SHORT_FOLDS),
-    "feature_importance": _importance,
+    "search_folds": lambda a: classify.change_folds(a.labelled),
+    "search_folds_properties": lambda a: classify.property_folds(a.routed, a.scale),
+    "search_scores": lambda a: classify.by_group({group: f.scores for group, f in a.predictors.items()}),
+    "rf_metrics": lambda a: classify.rejection_metrics(a.predictors),
+    "feature_importance": lambda a: classify.by_group({group: classify.feature_importance(f) for group, f in a.predictors.items()}),
     "static_inference": _inference,
     "final_property_type": lambda a: classify.with_final_type(a.properties).select(
         "property_id", "property_label", "property_type", "final_property_type"),

@@ -129,6 +129,16 @@ def new_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp()
 
 
+def model_folder(spark: SparkSession) -> str:
+    """Where models of this application are kept for its other queries: beside its checkpoints, or in a temporary folder of a local session."""
+    context = spark.sparkContext
+    if _checkpoint_folder(spark):
+        return f"{context.getCheckpointDir()}/models"
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{tempfile.gettempdir()}/editlore-{context.applicationId}/models"
+
+
 def shared(df: DataFrame, scale: Scale) -> DataFrame:
     """A step with several readers: computed once for a large log, where a small one is as quickly computed again."""
     return df if scale.fits else materialise(df)

@@ -78,6 +78,11 @@ def sparql_bindings(results: DataFrame, column: str, variables: list[str]) -> Da
     return parsed.select(*(F.col(f"_b.{v}.value").alias(v) for v in variables))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark._jsc.hadoopConfiguration()).exists(name)
+
+
 def append_missing(df: DataFrame, path: str, key: str, batches: int = 16) -> int:
     """Append the rows whose key is not in ``path`` yet, so an interrupted job continues where it stopped; returns their number.
 

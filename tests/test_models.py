@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from editlore.operators import neighbours
 from editlore.operators.power import PowerTransform, fit_powers, yeo_johnson
-from editlore.plans import classify, profile
+from editlore.plans import classify, profile, search
 from editlore.session import Scale
 
 GRID = {"numTrees": [5, 8], "maxDepth": [3], "minInstancesPerNode": [1], "featureSubsetStrategy": ["sqrt"]}
@@ -81,7 +81,8 @@ def routed(spark, n=60):
 
 def test_static_classifier_and_inference(spark, tmp_path):
     df = routed(spark)
-    model, tested, best = classify.static_classifier(df, Scale(60), GRID, folds=2)
+    fitted = classify.static_classifier(df, Scale(60), GRID, folds=2)
+    model, tested, best = fitted.model, fitted.tested, fitted.best
     assert best["numTrees"] in (5, 8) and 0 <= best["score"] <= 1
     assert classify.roc_auc(tested, "is_static") > 0.7
     assert {r["class"] for r in classify.class_report(tested, "is_static").collect()} == {0, 1}
@@ -95,11 +96,66 @@ def test_static_classifier_and_inference(spark, tmp_path):
             assert r.final_property_type == "static"
         else:
             assert r.prediction_static is not None
-    importance = classify.feature_importance(model, tested)
+    importance = classify.feature_importance(fitted)
     assert importance.count() == len(profile.ROUTED_FEATURES)
     assert importance.agg(F.sum("importance")).first()[0] == pytest.approx(1.0)
 
 
+def points(spark, n=90, positive=None):
+    rng = np.random.default_rng(2)
+    rows = [(i, float(rng.normal() + 3 * (i % 3 == 0)), float(rng.normal()), int(i % 3 == 0) if positive is None else positive) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, x double, y double, label int").withColumn("split", F.when(F.col("id") % 5 == 0, "test").otherwise("train"))
+
+
+def searched(df, store=None, folds=3, grid=GRID):
+    train, test = df.filter("split = 'train'"), df.filter("split = 'test'")
+    return classify.fit_forest(train, test, "label", ["id"], (["x", "y"], [], []), grid, folds, store)
+
+
+def test_search_scores_every_candidate_on_every_fold(spark):
+    df = points(spark)
+    found = searched(df)
+    scores = found.scores.collect()
+    assert [(r.candidate, r.fold) for r in scores] == [(c, f) for c in range(2) for f in range(3)]
+    sizes = {r.fold: (r.n, r.p) for r in df.filter("split = 'train'").groupBy(search.fold(["id"]).alias("fold")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).collect()}
+    for r in scores:
+        assert (r.num_rows, r.num_positive) == sizes[r.fold] and r.numTrees == GRID["numTrees"][r.candidate]
+        assert r.f1 == pytest.approx(2 * r.num_hits / (r.num_predicted + r.num_positive))
+    means = [np.mean([r.f1 for r in scores if r.candidate == c]) for c in range(2)]
+    assert found.best["score"] == pytest.approx(max(means)) and found.best["numTrees"] == GRID["numTrees"][int(np.argmax(means))]
+    assert found.best["score"] > 0.7
+    # The same rows in another order and other partitions have the same folds and scores.
+    again = searched(df.repartition(5).orderBy(F.desc("id"))).scores.collect()
+    assert [(r.candidate, r.fold, r.num_rows, r.num_positive) for r in again] == [(r.candidate, r.fold, r.num_rows, r.num_positive) for r in scores]
+
+
+def test_a_search_is_saved_and_loaded_by_its_content(spark, tmp_path, monkeypatch):
+    df, store = points(spark), str(tmp_path / "models")
+    first = searched(df, store)
+    with monkeypatch.context() as patch:
+        patch.setattr(search, "fold_scores", lambda *_: pytest.fail("searched again"))
+        second = searched(df.repartition(3), store)
+    assert second.best == first.best and second.scores.collect() == first.scores.collect()
+    shown = lambda f: sorted((r.id, r.prediction) for r in f.tested.collect())
+    assert shown(second) == shown(first)
+    # Another row, another grid and a model without its scores are fitted anew.
+    others = [searched(df.filter("id <> 1"), store), searched(df, store, grid=GRID | {"numTrees": [5]})]
+    assert [f.scores.count() for f in others] == [6, 3] and len(list((tmp_path / "models").iterdir())) == 3
+
+
+def test_search_without_a_class(spark):
+    found = searched(points(spark, positive=0), folds=2)
+    assert all((r.num_predicted, r.f1) == (0, 0.0) for r in found.scores.collect())
+    assert {r.prediction for r in found.tested.collect()} == {0.0}
+
+
+def test_fold_sizes_and_weights(spark):
+    found = search.fold_sizes(points(spark), "label", [], ["id"]).collect()
+    assert sum(r.num_rows for r in found) == 90
+    assert {r["class"]: round(r.weight, 6) for r in found} == {1: 1.5, 0: 0.75}
+
+
 def test_unknown_categories_become_zeros(spark):
     train = spark.createDataFrame([("a", 0, 1.0), ("b", 1, 2.0), ("a", 1, 3.0)], "c string, f int, x double")
     fitted = classify.preprocessing(["x"], ["c"], ["f"]).fit(train)

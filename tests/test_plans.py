@@ -9,7 +9,7 @@ from editlore.queries import ANALYSES, Analyses
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are not here")
-TRAINING = {"rf_metrics", "feature_importance", "static_inference"}
+TRAINING = {"search_scores", "rf_metrics", "feature_importance", "static_inference"}
 
 
 def plan(spark, name: str) -> str:

@@ -458,6 +458,15 @@ FEATURE_DOUBLES = " ".join(
     [f"{kind}_{name}" for name in _feature_values() for kind in ("avg", "median", "iqr")]
     + [f"null_rate_{feature_name(m)}" for m, kind in MEASURES.items() if kind == "time"])
 USER_DOUBLES = "avg_days_between_revisions avg_entities_per_day avg_properties_per_day"
+def _fold_sizes(rows: str, label: str, by: str, identity: str) -> str:
+    """Rows per class and fold of three, and the class's weight, from counts at every row."""
+    return f"""select {by}class, fold, count(*) as num_rows, round(any_value(of_all) / (any_value(classes) * any_value(of_class)), 6) as weight
+      from (select *, cast(count(*) over (partition by {by}1) as double) as of_all, count(distinct class) over (partition by {by}1) as classes,
+          count(*) over (partition by {by}class) as of_class
+        from (select {by}{label} as class, cast(cast('0x' || substr(md5(concat_ws('|', {identity}, '7')), 1, 13) as bigint) % 3 as int) as fold from {rows}))
+      group by {by}class, fold"""
+
+
 METRICS = """count(*) as num_rows, count(*) filter (target_to_predict = 1) as num_positive, count(*) filter (said = 1) as num_predicted,
   count(*) filter (said = 1 and target_to_predict = 1) as num_hits,
   round(coalesce(cast(count(*) filter (said = 1 and target_to_predict = 1) as double) / nullif(count(*) filter (said = 1), 0), 0), 6) as precision,
@@ -739,6 +748,12 @@ BODIES = {
       from (select *, property_type = 'static' and property_label like '% ID%' as chosen,
           cast(cast('0x' || substr(md5(concat_ws('|', property_id, '42')), 1, 13) as bigint) as double) as h from properties where property_type <> ''))
       where not chosen or kept""",
+    "search_folds": _fold_sizes("model_rows where split = 'train'", "target_to_predict", "model_group, ", "revision_id, entity_id, property_id, value_id, change_target"),
+    "search_folds_properties": _fold_sizes("""(select *, h <= quantile_cont(h, 0.2) over (partition by is_static) as tested
+        from (select * from (select *, case when chosen then h <= quantile_cont(h, 0.6) over (partition by chosen) end as kept
+          from (select property_id, cast(property_type = 'static' as int) as is_static, property_type = 'static' and property_label like '% ID%' as chosen,
+            cast(cast('0x' || substr(md5(concat_ws('|', property_id, '42')), 1, 13) as bigint) as double) as h from routed where property_type <> ''))
+          where not chosen or kept)) where not tested""", "is_static", "", "property_id"),
     "stratified_test_set": """select property_id, property_type from (select *, row_number() over (partition by property_type order by h) as k,
           count(*) over (partition by property_type) as n
         from (select *, cast('0x' || substr(md5(concat_ws('|', property_id, '42')), 1, 13) as bigint) as h from properties where property_type <> ''))
