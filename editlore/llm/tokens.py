@@ -25,7 +25,8 @@ BATCH_CHARS = 4_000_000  # characters looked up together; distinct words are fou
 _RUNS = [a + b + c for a in " \n" for b in " \n" for c in " \n"]
 _MARKS = ["<|", "\0", "\1", "\2"]
 _OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
-_PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-;=?@\[-`{}~]*)")  # letters, then signs that form one piece
+_LETTER, _SIGN = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-;=?@\[-`{}~"  # between them the word vocabulary cuts; not before an apostrophe, which may be one piece with letters
+_PLAIN_WORD = re.compile(f"([{_LETTER}]+)([{_SIGN}]*)")  # letters, then signs that form one piece
 
 _encoders: dict[tuple[str, str], "Encoder"] = {}
 
@@ -151,7 +152,11 @@ class ByteEncoder(Encoder):
 
 
 class WordEncoder(Encoder):
-    """Lower-casing BPE with marked word ends; white space is dropped."""
+    """Lower-casing BPE with marked word ends; white space is dropped.
+
+    Words are looked up without the signs after them, and in lower case where the text is Latin-1: there the case of a letter decides on no
+    composed character.
+    """
 
     kind = "words"
 
@@ -174,8 +179,14 @@ class WordEncoder(Encoder):
 
     @staticmethod
     def marked(text: str) -> str | None:
-        return None if "<|" in text or not text.isascii() and any(c in text for c in _OTHER_SPACE[8:]) else text
+        if "<|" in text or not text.isascii() and any(c in text for c in _OTHER_SPACE[8:]):
+            return None
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
 
     @staticmethod
     def split(marked: pa.Array) -> pa.Array:
-        return pc.ascii_split_whitespace(marked)
+        return pc.ascii_split_whitespace(pc.replace_substring_regex(marked, f"([{_LETTER}])([{_SIGN}])", r"\1 \2"))

@@ -21,6 +21,8 @@ def test_ids_equal_the_library(path, kind):
     rng = random.Random(5)
     texts = ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     texts += ["".join(rng.choice("ab \nÀ.,") for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ["", " ", "\n"]
+    texts += ["".join(rng.choice("aTÉß=`',.!&<>µ 9\u0301\u0308") for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    texts += ["".join(rng.choice("aTÉß=`',.!&{>µ 9-") for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     coder = tokens.encoder(path, kind)
     wanted = coder.tokenizer.encode_batch(texts, add_special_tokens=False)
     for text, got, want in zip(texts, coder.encode(texts), wanted):
