@@ -23,9 +23,9 @@ BATCH_CHARS = 4_000_000  # characters looked up together; distinct words are fou
 
 #: Strings before which a text is encoded as it is: white space that splits in another way, special tokens, our own marks.
 _RUNS = [a + b + c for a in " \n" for b in " \n" for c in " \n"]
-_MARKS = ["<|", "\0", "\1", "\2"]
+_MARKS = ["<|", "\0", "\1", "\2", "\3"]
 _OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
-_LETTER, _SIGN = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-;=?@\[-`{}~"  # between them the word vocabulary cuts; not before an apostrophe, which may be one piece with letters
+_LETTER, _SIGN = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-;=?@\[-`{}~"  # between them both vocabularies cut; not before an apostrophe, which may be one piece with letters
 _PLAIN_WORD = re.compile(f"([{_LETTER}]+)([{_SIGN}]*)")  # letters, then signs that form one piece
 
 _encoders: dict[tuple[str, str], "Encoder"] = {}
@@ -116,7 +116,7 @@ class Encoder:
 
 
 class ByteEncoder(Encoder):
-    """Byte-level BPE whose words carry the space before them."""
+    """Byte-level BPE whose words carry the space before them. Signs that end a word are looked up by themselves, marked by "\\3"."""
 
     kind = "bytes"
 
@@ -126,13 +126,15 @@ class ByteEncoder(Encoder):
 
     @staticmethod
     def sorted_out(keys: list[str]) -> tuple[list[str], np.ndarray, list[str]]:
-        plain = [key for key in keys if key and key[0] not in "\0\n"]
-        return plain, np.ones(len(plain), np.int64), [key for key in keys if not key or key[0] in "\0\n"]
+        plain = [key for key in keys if key and key[0] not in "\0\3\n"]
+        return plain, np.ones(len(plain), np.int64), [key for key in keys if not key or key[0] in "\0\3\n"]
 
     @staticmethod
     def text(key: str) -> str:
         if key[:1] == "\0":
             return key[1:].replace("\1", " ").replace("\2", "\n")
+        if key[:1] == "\3":
+            return key[1:]
         return key if key[:1] == "\n" else " " + key
 
     def bounds(self, ids: np.ndarray) -> np.ndarray:
@@ -148,7 +150,8 @@ class ByteEncoder(Encoder):
 
     @staticmethod
     def split(marked: pa.Array) -> pa.Array:
-        return pc.split_pattern(pc.replace_substring(marked, "\n", " \n"), " ")
+        words = pc.replace_substring(marked, "\n", " \n")
+        return pc.split_pattern(pc.replace_substring_regex(words, f"([{_LETTER}])([{_SIGN}]+)( |$)", r"\1 " + "\3" + r"\2\3"), " ")
 
 
 class WordEncoder(Encoder):
