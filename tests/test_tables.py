@@ -187,6 +187,16 @@ def prompt_rows(spark, *rows):
     return df.withColumns(extra | {"time_since_last_edit_days": F.lit(0.0), "time_to_next_edit_days": F.lit(4745.0)})
 
 
+def test_fractions_in_prompts_are_rounded_from_their_exact_value(spark):
+    # 0.15625 is an exact tie; 0.00625 and 0.00015 lie beside theirs, above and below.
+    given = {"avg_entities_per_day_user": 0.15625, "avg_properties_per_day_user": 0.00625, "time_since_last_edit_days": 0.00015}
+    rows = prompt_rows(spark, {}).withColumns({name: F.lit(value) for name, value in given.items()})
+    shown = rows.select(prompts.change_prompt(user=True, history=True)).first()[0]
+    for value in given.values():
+        assert f'"{value:.4f}"' in shown
+    assert '"avg_entities_per_day_user":"0.1562"' in shown
+
+
 def test_change_prompts_show_the_chosen_sections(spark):
     df = prompt_rows(spark, dict(new_datatype="wikibase-item", new_value='"Q5"', new_value_label="Unknown", old_value=None, label="x"),
                      dict(user_type="anonymous"))
