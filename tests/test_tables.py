@@ -230,6 +230,22 @@ def test_failed_requests_give_empty_scores(spark):
     assert {r.accuracy_score_with_user_model for r in rows} == {None} and {r.accuracy_error_all_features for r in rows} == {"ValueError: no answer"}
 
 
+def test_requests_are_put_together_in_small_batches(spark):
+    features = prompt_rows(spark, *[dict(comment=f"c{i}") for i in range(600)]).coalesce(1)
+
+    def make():
+        import hashlib
+        return lambda texts: ['{"score": %d, "explanation": "%s"}' % (len(texts), hashlib.md5(text.encode()).hexdigest()) for text in texts]
+
+    scored = prompts.score_changes(features, make, "needs_reference")
+    rows = {r.revision_id: r for r in scored.collect()}
+    for name, flags in prompts.SETTINGS.items():
+        told = prompts.instructions("needs_reference", *flags)
+        wanted = features.select("revision_id", F.md5(F.concat(F.lit(told + "\n\n"), prompts.change_prompt(*flags, "needs_reference"))).alias("digest")).collect()
+        assert all(rows[w.revision_id][f"needs_reference_explanation_{name}"] == w.digest for w in wanted)
+        assert max(r[f"needs_reference_score_{name}"] for r in rows.values()) <= 256
+
+
 @pytest.mark.parametrize("n, found", [(None, 6), (1, 2), (2, 4), (100, 6)])
 def test_judged_changes_are_limited_per_kind(spark, n, found):
     rows = [dict(label="statement_insertion"), dict(label="value_update", change_type="refinement")] * 3 + [dict(label="statement_deletion"), dict(label="x")]
