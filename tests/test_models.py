@@ -144,6 +144,15 @@ def test_a_search_is_saved_and_loaded_by_its_content(spark, tmp_path, monkeypatc
     assert [f.scores.count() for f in others] == [6, 3] and len(list((tmp_path / "models").iterdir())) == 3
 
 
+def test_forests_keep_the_place_of_rows_in_their_trees(spark):
+    kept = search.forest("label", search.candidates(GRID)[0])
+    assert kept.getCacheNodeIds()
+    found = searched(points(spark))
+    rows = found.tested.select("features", "label").withColumn("label", F.col("label").cast("double")).withColumn("weight", F.lit(1.0)).cache()
+    plain = kept.copy().setCacheNodeIds(False).fit(rows)
+    assert kept.fit(rows).toDebugString.split("\n", 1)[1] == plain.toDebugString.split("\n", 1)[1]
+
+
 def test_search_without_a_class(spark):
     found = searched(points(spark, positive=0), folds=2)
     assert all((r.num_predicted, r.f1) == (0, 0.0) for r in found.scores.collect())
