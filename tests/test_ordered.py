@@ -7,7 +7,7 @@ from editlore.operators.ordered import (
     STATEMENT, After, Before, First, Latest, Running, Total, by_heat, ordered_scan, overlay, row_number, scan_in_slices,
 )
 from editlore.plans import history
-from editlore.session import Scale
+from editlore.session import TASK_BYTES, Scale, spread_shuffles
 
 from .conftest import changes, day
 
@@ -115,3 +115,12 @@ def test_history_does_not_depend_on_partitions(spark):
         assert rows(history.running_history(log.repartition(13), Scale(200))) == expected
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_tasks_are_given_bounded_shuffles(spark):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    fresh, choosy = spark.newSession(), spark.newSession()
+    choosy.conf.set(size, "32m")
+    for session in (fresh, choosy):
+        spread_shuffles(session, 1_000)
+    assert fresh.conf.get(size) == str(TASK_BYTES) and choosy.conf.get(size) == "32m"
