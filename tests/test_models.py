@@ -202,6 +202,17 @@ def test_neighbours_match_brute_force(spark, monkeypatch, limit):
     assert neighbours.nearest_non_self(found, hint_from=2.0).filter("nn_sim is not null").count() == 0
 
 
+def test_known_bounds_leave_the_nearest_in_place():
+    random = np.random.default_rng(3)
+    vectors, queries = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (random.normal(size=(500, 8)), random.normal(size=(40, 8))))
+    vectors[100:300] = vectors[0]  # many ties
+    ids = np.arange(500)
+    want = neighbours._top(np.arange(40), queries, ids, vectors, 4)
+    kth = want.groupby("property_id")["similarity"].min().to_numpy()
+    for floors in (kth, kth - 0.1, np.full(40, -2.0)):
+        assert neighbours._top(np.arange(40), queries, ids, vectors, 4, floors).equals(want)
+
+
 def test_accuracy_counts_every_grouping(spark):
     _, df = vectors(spark)
     nearest = neighbours.nearest_non_self(neighbours.neighbours(df))
