@@ -165,6 +165,20 @@ def test_fold_sizes_and_weights(spark):
     assert {r["class"]: round(r.weight, 6) for r in found} == {1: 1.5, 0: 0.75}
 
 
+def test_powers_of_both_groups_read_the_features_once(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(classify, "materialise", lambda df: stored.append(df) or df.cache())
+    monkeypatch.setattr(classify, "chosen_powers", lambda df, names: spark.createDataFrame(
+        [(name, df.count(), 1.0, None) for name in names], "feature string, num_rows bigint, power double, log_likelihood double"))
+    names = {c for group in classify.GROUPS for kind in classify.features_for(group) for c in kind}
+    features = spark.range(10).select(
+        "id", F.lit("").alias("change_target"), *(F.lit("UPDATE" if c == "action" else "1").alias(c) for c in names),
+        F.when(F.col("id") < 3, classify.GROUPS[0]).otherwise(classify.GROUPS[1]).alias("model_group"), F.lit("train").alias("split"))
+    routed = spark.range(2).select(*(F.lit(1.0).alias(c) for c in profile.ROUTED_FEATURES))
+    found = {r.model: r.num_rows for r in classify.powers_of_models(features, routed).select("model", "num_rows").distinct().collect()}
+    assert found == {"properties": 2, classify.GROUPS[0]: 3, classify.GROUPS[1]: 7} and len(stored) == 1
+
+
 def test_unknown_categories_become_zeros(spark):
     train = spark.createDataFrame([("a", 0, 1.0), ("b", 1, 2.0), ("a", 1, 3.0)], "c string, f int, x double")
     fitted = classify.preprocessing(["x"], ["c"], ["f"]).fit(train)
