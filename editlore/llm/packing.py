@@ -1,13 +1,12 @@
-"""Packing token sequences by bulk-synchronous best fit.
+"""Packing token sequences by best fit, on counted sizes.
 
-All open sequences (gaps) and all waiting pieces are sorted by size together, across range partitions. One ascending sweep
-matches them like brackets: a gap takes the largest waiting piece that fits and that no smaller gap has taken. A task sweeps its own
-partition; what stays open is a count of gaps, then of pieces, per partition, and a pass over those counts (two numbers per partition) says
-which ranks of one partition's pieces go to which ranks of another's gaps. Filled gaps shrink, and the next round follows. A gap that
-finds nothing in a full sweep is closed for good, since waiting pieces only become fewer. Sequences are opened first for the pieces that fill
-more than half of one, then, whenever no gap is left, as many as the waiting tokens need. Small pieces are first tied into bundles where there are very many to a sequence, which
-bounds the rounds by the number of bundles that a sequence can hold. Before bundles open further sequences, they are untied into smaller bundles and
-in the end into pieces, and these are swept against the gaps that the larger bundles have missed.
+Pieces of one size are alike, so best fit needs only how many there are of each: at most ``capacity`` counts, whatever the number of pieces. Sizes come in
+descending order; the pieces of one size fill the smallest gaps that hold them, whole runs of sequences with equal gaps at a time, and open further sequences where
+no gap does. The packing is that of best fit decreasing, piece by piece. A run that takes pieces keeps less than half of its gap, and each size splits two runs at
+most, so there are at most about ``2 * capacity * log2(capacity)`` runs, again whatever the number of pieces.
+
+Pieces are numbered within their size where they lie: dealt into buckets, numbered in each bucket of a size, and moved up by the counts of the buckets before. A
+piece's size and number then give its run, its sequence and its offset, without a join. No task holds a size.
 
 Pieces of full length are sequences of their own. Null texts are empty, and an empty document is one piece with its end id. Equal
 sizes are matched in any order. Repeated documents are packed once per row.
@@ -16,18 +15,18 @@ sizes are matched in any order. Repeated documents are packed once per row.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from editlore.llm import common, tokens
 
 CAPACITY = 2048
-BUNDLE = 16  # pieces below capacity / BUNDLE are tied together where sequences hold more than BUNDLE pieces on average
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -50,174 +49,82 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: in
     return common.texts(docs, key, text).mapInArrow(cut, PIECES)
 
 
-def best_fit(pieces: DataFrame, capacity: int = CAPACITY, bundle: int = BUNDLE) -> DataFrame:
-    """``pieces`` (with ``length`` from 1 to ``capacity``) plus ``sequence_id`` and ``offset``; all sequences are filled without gaps from 0."""
+def best_fit(pieces: DataFrame, capacity: int = CAPACITY, buckets: int | None = None) -> DataFrame:
+    """``pieces`` (with ``length`` from 1 to ``capacity``) plus ``sequence_id`` and ``offset``; all sequences are filled without gaps from 0.
+
+    Pieces of one size are numbered in so many ``buckets``; None: one for each shuffle partition, more where these would get many.
+    """
     spark = pieces.sparkSession
     table = common.stored(pieces.withColumn("_piece", F.monotonically_increasing_id()))
-    full = table.filter(F.col("length") >= capacity)
-    items = table.filter(F.col("length") < capacity).select(F.col("_piece").alias("id"), F.col("length").cast("int").alias("size"))
-    placed = _rounds(spark, items, capacity, bundle)
-    loose = table.join(placed.select(F.col("id").alias("_piece"), F.col("bin").alias("sequence_id"), "offset"), "_piece")
-    alone = full.select("*", (-1 - F.col("_piece")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return loose.unionByName(alone).drop("_piece")
-
-
-def _bundles(items: DataFrame, limit: int, parts: int) -> DataFrame:
-    """Members (``member``, ``size``, ``inside`` the bundle) of bundles ``id`` of at most ``limit``; larger pieces are alone in theirs."""
-
-    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, used = None, 0
-        for batch in batches:
-            heads, inside = [], []
-            ids, sizes = (batch.column(i).to_pylist() for i in (0, 1))
-            for i, size in zip(ids, sizes):
-                if head is None or used + size > limit:
-                    head, used = i, 0
-                heads.append(head)
-                inside.append(used)
-                used += size
-            yield pa.RecordBatch.from_pydict({"id": pa.array(heads, pa.int64()), "member": ids, "size": pa.array(sizes, pa.int32()), "inside": inside})
-
-    return items.repartitionByRange(parts, "size", "id").sortWithinPartitions("size", "id").mapInArrow(tie, "id long, member long, size int, inside long")
-
-
-SWEPT = "part int, kind int, id long, size int, bin long, gap int, rank long"
-_ITEM, _GAP, _MATCHED = 0, 1, 2
-
-
-def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Match sorted pieces and gaps of a partition. What is left keeps its rank: gaps in ascending order, pieces from the largest."""
-    part = TaskContext.get().partitionId()
-    waiting: list[tuple[int, int]] = []
-    gaps = 0
-    for batch in batches:
-        kinds, ids, sizes = (batch.column(i).to_pylist() for i in range(3))
-        rows = []
-        for kind, i, size in zip(kinds, ids, sizes):
-            if kind == _ITEM:
-                waiting.append((i, size))
-            elif waiting:
-                item, length = waiting.pop()
-                rows.append((part, _MATCHED, item, length, i, size, None))
-            else:
-                rows.append((part, _GAP, None, None, i, size, gaps))
-                gaps += 1
-        yield _swept(rows)
-    while waiting:
-        some, waiting[-10_000:] = waiting[-10_000:], []
-        done = len(waiting)
-        yield _swept([(part, _ITEM, i, size, None, None, done + k) for k, (i, size) in enumerate(some)])
-
-
-def _swept(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
-    columns = zip(*rows) if rows else [[]] * 7
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=[f.split()[0] for f in SWEPT.split(", ")])
-
-
-def _rounds(spark: SparkSession, items: DataFrame, capacity: int, bundle: int) -> DataFrame:
-    """Place ``items`` (id, size): id, size, bin, offset."""
-    waiting, bins, done = items, 0, []
-    n, total, large, least = items.agg(F.count("*"), F.sum("size"), F.count_if(F.col("size") * 2 > capacity), F.min("size")).first()
-    while n:
-        # Pieces of more than half a sequence need one each; after them, as many as the waiting tokens need.
-        new = large or max(1, -(-total // capacity))
-        large = 0
-        limits, limit = [], capacity // bundle
-        while n > bundle * -(-total // capacity) and limit >= 2 * least:
-            limits.append(limit)
-            limit //= bundle
-        gaps, open_gaps = spark.range(bins, bins + new, 1, common.few(spark, new)).select(F.lit(_GAP).alias("kind"), "id", F.lit(capacity).alias("size")), new
-        bins += new
-        for limit in limits:
-            if n and open_gaps:
-                members = common.stored(_bundles(waiting, limit, common.few(spark, n)))
-                bundles = members.groupBy("id").agg(F.sum("size").cast("int").alias("size"))
-                placed, left, _, _, gaps, open_gaps = _filled(spark, bundles, members.filter("inside = 0").count(), gaps, open_gaps, capacity)
-                done += [members.join(p.drop("size"), "id").select(F.col("member").alias("id"), "size", "bin", (F.col("offset") + F.col("inside")).alias("offset")) for p in placed]
-                waiting = common.stored(members.join(left.select("id"), "id", "left_semi").select(F.col("member").alias("id"), "size"))
-                n, total = waiting.agg(F.count("*"), F.sum("size")).first()
-        if n and open_gaps:
-            # What misses a single piece is closed for good.
-            placed, waiting, n, total, _, _ = _filled(spark, waiting, n, gaps, open_gaps, capacity)
-            done += placed
-    if not done:
-        return spark.createDataFrame([], "id long, size int, bin long, offset long")
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def _filled(spark: SparkSession, items: DataFrame, n: int, gaps: DataFrame, open_gaps: int, capacity: int) -> tuple[list[DataFrame], DataFrame, int, int, DataFrame | None, int]:
-    """Rounds until no gap takes any of ``items``: what is placed (id, size, bin, offset), what waits on, its number and sum, the gaps that are left
-    and their number."""
-    waiting = items.select(F.lit(_ITEM).alias("kind"), "id", "size")
-    done, missed, n_missed, total = [], None, 0, 0
-    while n and open_gaps:
-        both = waiting.unionByName(gaps)
-        swept = common.stored(both.repartitionByRange(common.few(spark, n + open_gaps), "size", "kind", "id").sortWithinPartitions("size", "kind", "id").mapInArrow(_sweep, SWEPT))
-        left = {(r.part, r.kind): r.n for r in swept.filter(F.col("kind") != _MATCHED).groupBy("part", "kind").agg(F.count("*").alias("n")).collect()}
-        resolved, without = _resolved(spark, swept, left)
-        table = common.stored(resolved)
-        placed = table.filter("bin is not null")
-        done.append(placed.select("id", "size", "bin", (F.lit(capacity) - F.col("gap")).cast("long").alias("offset")))
-        waiting = table.filter("bin is null").select(F.lit(_ITEM).alias("kind"), "id", "size")
-        gaps = placed.filter("gap > size").select(F.lit(_GAP).alias("kind"), F.col("bin").alias("id"), (F.col("gap") - F.col("size")).alias("size"))
-        before = n
-        n, total, still_open = table.agg(F.count_if(F.expr("bin is null")), F.sum(F.when(F.col("bin").isNull(), F.col("size"))), F.count_if(F.expr("gap > size"))).first()
-        if lost := open_gaps - (before - n):
-            n_missed += lost
-            missed = without if missed is None else missed.unionByName(without)
-        open_gaps = still_open
-    return done, waiting.select("id", "size"), n, total, missed, n_missed
-
-
-def _resolved(spark: SparkSession, swept: DataFrame, left: dict[tuple[int, int], int]) -> tuple[DataFrame, DataFrame]:
-    """Matches inside and across partitions, and the pieces that wait on: id, size, bin, gap; and the gaps that no piece fits."""
-    stack: list[list[int]] = []  # pieces left open: [partition, rank of the next from the top, number]
-    runs: list[tuple[int, int, int, int, int]] = []  # (pieces' partition, their first rank, gaps' partition, their first rank, number)
-    for part in sorted({p for p, _ in left}):
-        gaps, at = left.get((part, _GAP), 0), 0
-        while gaps and stack:
-            top = stack[-1]
-            took = min(gaps, top[2])
-            runs.append((top[0], top[1], part, at, took))
-            top[1], top[2], gaps, at = top[1] + took, top[2] - took, gaps - took, at + took
-            if not top[2]:
-                stack.pop()
-        if n := left.get((part, _ITEM), 0):
-            # Ranks of waiting pieces count from the smallest; the top of the stack is the largest.
-            stack.append([part, 0, n])
-    inside = swept.filter(F.col("kind") == _MATCHED).select("id", "size", "bin", "gap")
-    # Ranks by partition and kind, ascending: (first ranks, last ranks, runs). There are at most two runs to a partition on average.
-    ranges: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    for k, (a, x, b, y, n) in enumerate(runs):
-        ranges.setdefault((a, _ITEM), []).append((left[a, _ITEM] - x - n, left[a, _ITEM] - x, k))
-        ranges.setdefault((b, _GAP), []).append((y, y + n, k))
-    sorted_ranges = {key: tuple(np.array(c) for c in zip(*sorted(found))) for key, found in ranges.items()}
-
-    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    items = table.filter(F.col("length") < capacity)
+    counts = {r.length: r.n for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    numbered = _numbered(items, buckets or max(common.partitions(spark), common.few(spark, sum(counts.values()))))
+    alone = table.filter(F.col("length") >= capacity).select("*", (-1 - F.col("_piece")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return _placed(numbered, runs(counts, capacity)).unionByName(alone).drop("_piece")
+
+
+def runs(counts: dict[int, int], capacity: int) -> np.ndarray:
+    """Best fit decreasing over ``counts`` (size: number): rows of size, number of the first piece, first sequence, pieces in each, offset; in order."""
+    out: list[tuple[int, int, int, int, int]] = []
+    gaps: list[int] = []  # ascending
+    of: dict[int, list[tuple[int, int]]] = {}  # sequences with a gap: first, number
+    opened = 0
+
+    def leave(gap: int, first: int, n: int) -> None:
+        if gap and n:
+            if gap not in of:
+                insort(gaps, gap)
+            of.setdefault(gap, []).append((first, n))
+
+    for size in sorted(counts, reverse=True):
+        at, left = 0, counts[size]
+        while left:
+            if (place := bisect_left(gaps, size)) == len(gaps):
+                leave(capacity, opened, new := -(-left // (capacity // size)))
+                opened += new
+            gap = gaps[place]
+            first, n = of[gap].pop()
+            if not of[gap]:
+                del of[gap], gaps[place]
+            each = gap // size
+            # Full ones take ``each``; where fewer pieces than that are left, one more sequence takes them.
+            for each, filled in ((each, min(n, left // each)), (left % each, int(left < n * each))):
+                if each and filled:
+                    out.append((size, at, first, each, capacity - gap))
+                    leave(gap - each * size, first, filled)
+                    at, left, first, n = at + each * filled, left - each * filled, first + filled, n - filled
+            leave(gap, first, n)
+    return np.array(sorted(out), np.int64).reshape(-1, 5)
+
+
+def _numbered(items: DataFrame, buckets: int) -> DataFrame:
+    """``items`` with ``_number``, from 0 within each length."""
+    dealt = items.withColumn("_bucket", F.pmod(F.xxhash64("_piece"), F.lit(buckets)).cast("int"))
+    inside = dealt.withColumn("_number", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("_piece")) - 1)
+    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n")).select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return inside.join(starts, ["length", "_bucket"]).withColumn("_number", F.col("_number") + F.col("_start")).select(*items.columns, "_number")
+
+
+def _placed(numbered: DataFrame, table: np.ndarray) -> DataFrame:
+    """``numbered`` with ``sequence_id`` and ``offset`` from the runs of ``table`` instead of ``_number``."""
+    shared = numbered.sparkSession.sparkContext.broadcast(table)
+    kept = [f for f in numbered.schema.fields if f.name != "_number"]
+    schema = T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    names = [f.name for f in schema.fields]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, numbers, firsts, each, offsets = shared.value.T
+        starts = (sizes << 40) + numbers
         for batch in batches:
-            part, kind, rank = (batch.column(i).to_numpy() for i in range(3))
-            run, place = np.full(len(rank), -1), np.full(len(rank), -1)
-            for key in set(zip(part.tolist(), kind.tolist())) & set(sorted_ranges):
-                firsts, ends, names = sorted_ranges[key]
-                rows = np.flatnonzero((part == key[0]) & (kind == key[1]))
-                at = np.searchsorted(firsts, rank[rows], "right") - 1
-                ok = (at >= 0) & (rank[rows] < ends[at])
-                run[rows[ok]] = names[at[ok]]
-                # The first of a run's gaps is its smallest, and takes the largest of the run's pieces.
-                place[rows[ok]] = (ends[at] - 1 - rank[rows] if key[1] == _ITEM else rank[rows] - firsts[at])[ok]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:2], *batch.columns[3:], pa.array(run, pa.int32(), mask=run < 0), pa.array(place, pa.int64())],
-                                             names=["kind", "id", "size", "bin", "gap", "run", "place"])
-
-    rest = swept.filter(F.col("kind") != _MATCHED).select("part", "kind", "rank", "id", "size", "bin", "gap").mapInArrow(
-        tag, "kind int, id long, size int, bin long, gap int, run int, place long")
-    pieces = rest.filter(F.col("kind") == _ITEM).select("id", "size", "run", "place")
-    gaps = rest.filter((F.col("kind") == _GAP) & F.col("run").isNotNull()).select("run", "place", "bin", "gap")
-    missed = rest.filter((F.col("kind") == _GAP) & F.col("run").isNull()).select("kind", F.col("bin").alias("id"), F.col("gap").alias("size"))
-    return inside.unionByName(pieces.join(gaps, ["run", "place"], "left").select("id", "size", "bin", "gap")), missed
+            size, number = (batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("length", "_number"))
+            at = np.searchsorted(starts, (size << 40) + number, "right") - 1
+            inside = number - numbers[at]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(batch.schema.get_field_index(f.name)) for f in kept), pa.array(firsts[at] + inside // each[at]), pa.array(offsets[at] + inside % each[at] * size)],
+                names=names)
+
+    return numbered.mapInArrow(place, schema)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

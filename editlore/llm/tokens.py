@@ -20,6 +20,7 @@ CACHE_WORDS = 700_000  # words kept by one Python worker, and with their bytes:
 CACHE_BYTES = {"bytes": 60_000_000, "words": 180_000_000}  # words with their signs are many more than those of the byte-level vocabulary
 SLICE_BYTES = 32_000_000  # of texts encoded in one call, after which freed memory goes back
 BATCH_CHARS = 4_000_000  # characters looked up together; distinct words are found once in them
+JOINED = 200  # new words encoded as one text; the library's time for a word grows with its text
 
 #: Strings before which a text is encoded as it is: white space that splits in another way, special tokens, our own marks.
 _RUNS = [a + b + c for a in " \n" for b in " \n" for c in " \n"]
@@ -94,8 +95,10 @@ class Encoder:
         if missing:
             more = _bytes_of(missing)
             if (self.size + more > self.most or len(words) + len(missing) > CACHE_WORDS) and words:
-                words.clear()
-                missing, self.size, more = keys, 0, _bytes_of(keys)
+                # Of the old words only those asked for now stay.
+                kept = [key for key in keys if key in words]
+                words = self.words = {key: words[key] for key in kept}
+                self.size = _bytes_of(kept)
             self.size += more
             plain, counts, other = self.sorted_out(missing)
             self.together(plain, counts)
@@ -104,10 +107,12 @@ class Encoder:
         return list(map(words.__getitem__, keys))
 
     def together(self, keys: list[str], counts: np.ndarray) -> None:
-        """Encode words as one text. Marked ids begin or end each of the ``counts`` pieces of a word."""
+        """Encode words, ``JOINED`` of them as one text. Marked ids begin or end each of the ``counts`` pieces of a word."""
         if not keys:
             return
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join([self.text(k) for k in keys])], add_special_tokens=False)[0].ids, "<u4")
+        texts = [self.text(k) for k in keys]
+        joined = ["".join(texts[a:a + JOINED]) for a in range(0, len(texts), JOINED)]
+        ids = np.concatenate([np.array(found.ids, "<u4") for found in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
         bounds = self.bounds(ids)
         if len(bounds) != counts.sum() + 1:
             raise ValueError("this vocabulary does not mark words")

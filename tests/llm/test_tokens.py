@@ -36,6 +36,19 @@ def test_cache_overflow_keeps_ids(monkeypatch):
         assert coder.encode([text])[0].tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("path, kind", [(BYTES, "bytes"), (WORDS, "words")])
+def test_words_in_use_survive_a_full_cache(path, kind, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 300)
+    coder, asked = tokens.Encoder.__subclasses__()[kind == "words"](path), []
+    together = coder.together
+    monkeypatch.setattr(coder, "together", lambda keys, counts: asked.append(len(keys)) or together(keys, counts))
+    text = " ".join(f"often{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(100))
+    for k in range(9):
+        new = " ".join(f"once{'abcdefghij'[k]}{'abcdefghij'[j % 10]}{'klmnopqrst'[j // 10]}" for j in range(100))
+        assert coder.encode([f"{text} {new}"])[0].tolist() == coder.tokenizer.encode(f"{text} {new}", add_special_tokens=False).ids
+    assert sum(asked) <= 1_010  # each word once; texts begin with another key
+
+
 def test_segment_round_trip():
     rng = np.random.default_rng(1)
     ids = np.concatenate([rng.integers(0, 50_000, 3000), [0, 255, 256, 65535, 65536, 2**32 - 1]]).astype(np.uint32)
@@ -121,6 +134,26 @@ def test_packing_is_tight(spark, seed, low, high, monkeypatch):
     assert check_packed(rows, 100) <= best_fit_decreasing(lengths, 100) * 1.03 + 1
 
 
+@pytest.mark.parametrize("capacity, low, high, n", [(100, 1, 100, 3_000), (100, 1, 5, 3_000), (64, 20, 40, 500), (2048, 1, 2047, 2_000), (7, 1, 6, 50)])
+def test_counted_packing_equals_best_fit_decreasing(spark, capacity, low, high, n, monkeypatch):
+    rng = random.Random(capacity + high)
+    lengths = [rng.randint(low, high) for _ in range(n)]
+    tables = []
+    stored = packing.common.stored
+    monkeypatch.setattr(packing.common, "stored", lambda df: tables.append(df) or stored(df))
+    pieces = spark.createDataFrame([(i, 0, 0, x, 0) for i, x in enumerate(lengths)], packing.PIECES)
+    rows = packing.best_fit(pieces, capacity, 3).collect()
+    assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(lengths))
+    assert check_packed(rows, capacity) == best_fit_decreasing(lengths, capacity)
+    assert len(tables) == 1  # no rounds
+
+
+def test_runs_do_not_grow_with_pieces():
+    one = packing.runs({size: 1_000 + size * 7 % 513 for size in range(1, 2048)}, 2048)
+    many = packing.runs({size: 1_000_003 * (1_000 + size * 7 % 513) for size in range(1, 2048)}, 2048)
+    assert max(len(one), len(many)) < 2 * 2048 * 11 and packing.runs({}, 2048).shape == (0, 5)
+
+
 def test_packing_unties_bundles(spark):
     lengths = [60] * 40 + [1] * 400  # bundles of 16 fit into no gap of 4
     pieces = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], packing.PIECES)
