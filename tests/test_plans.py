@@ -6,6 +6,7 @@ import re
 import pytest
 
 from editlore.queries import ANALYSES, Analyses
+from editlore.session import prepare
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are not here")
@@ -46,3 +47,9 @@ def test_scans_read_what_they_need(spark):
     assert set(re.findall(r"ReadSchema: struct<([^>]*)>", text)) == {"event_id:bigint,props:string"}
     assert "PushedFilters: [In(event_type, [click,error,signup])]" in plan(spark, "reference_intervals").replace(
         "signup,error,click", "click,error,signup")
+
+
+def test_stages_of_wide_rows_are_not_one_long_method(spark):
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    prepare(spark)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000  # what the JVM compiles
