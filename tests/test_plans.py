@@ -53,3 +53,17 @@ def test_stages_of_wide_rows_are_not_one_long_method(spark):
     spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
     prepare(spark)
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000  # what the JVM compiles
+
+
+@pytest.mark.parametrize("name", ["roc_curve", "target_label", "predictor_features"])
+def test_first_edits_do_not_take_the_user_model(spark, name):
+    analyses = Analyses(spark, FOLDER)
+    ANALYSES[name](analyses)
+    assert "model" not in vars(analyses)
+
+
+def test_first_edits_are_those_of_the_user_model(spark):
+    analyses = Analyses(spark, FOLDER)
+    columns = ["user_id", "username", "user_type", "first_edit"]
+    first, model = (sorted(map(tuple, df.select(*columns).collect()), key=str) for df in (analyses.first_edits, analyses.model))
+    assert first == model and len(first) > 10
