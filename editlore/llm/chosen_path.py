@@ -7,8 +7,9 @@ has met near copies, which no further split would part: such a bucket, and what
 with every other one. The number of runs follows from the target recall.
 
 Texts with the same words are one text with a number of copies. In a bucket, pairs whose sketches are far apart are left out first; the
-shingles of the others are then fetched and compared exactly. A pair belongs to the least bucket that holds both texts, so that it is
-counted once. Tasks return one row per text and bucket (links and a union-find root), never pairs. Classes are connected
+shingles of the others are then fetched and compared exactly. A pair belongs to the least bucket that holds both texts, and in a bucket compared in
+blocks to the one pair of their blocks, so that it is counted once. A text carries its list of buckets, whose length runs and branches bound, not the
+blocks they are cut into. Tasks return one row per text and bucket (links and a union-find root), never pairs. Classes are connected
 components over these rows.
 
 Null and empty texts have no shingles: each is a class of its own with no links. Texts of fewer than five words have one shingle, all their words.
@@ -90,37 +91,57 @@ def _sketched(rows: DataFrame, runs: int) -> DataFrame:
 
 
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The next buckets of texts in a bucket that is split."""
+    """The next buckets of texts in a bucket that is split; branches that choose one position are one bucket."""
     for batch in batches:
         node = batch.column(1).to_numpy().view(np.uint64)
         sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, POSITIONS)
-        keys, was = batch.column(0), batch.column(2)
-        for branch in range(BRANCHES):
-            position = (mix(node + np.uint64(branch + 1)) % np.uint64(POSITIONS)).astype(np.int64)
-            value = sketch[np.arange(len(node)), position]
-            yield pa.RecordBatch.from_arrays([keys, pa.array(_node(node, position, value)), was], names=["key", "node", "was"])
+        chosen = [(mix(node + np.uint64(branch + 1)) % np.uint64(POSITIONS)).astype(np.int64) for branch in range(BRANCHES)]
+        for branch, position in enumerate(chosen):
+            own = np.flatnonzero(np.all([position != other for other in chosen[:branch]], axis=0) if branch else np.ones(len(node), bool))
+            value = sketch[own, position[own]]
+            places = pa.array(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(places), pa.array(_node(node[own], position[own], value)), batch.column(2).take(places)], names=["key", "node", "was"])
 
 
-def _leaves(texts: DataFrame, limit: int, depth: int) -> DataFrame:
-    """Buckets to compare: key, leaf. ``texts`` has key, sketch, roots."""
+def _tasks(spark: SparkSession, rows: int) -> int:
+    """Tasks for ``rows`` narrow rows: what the rows fill, and no fewer than run at once."""
+    return max(common.few(spark, rows), spark.sparkContext.defaultParallelism)
+
+
+def _buckets(texts: DataFrame, limit: int, depth: int) -> DataFrame:
+    """Buckets that are not split further: key, node, n. ``texts`` has key, sketch, roots."""
+    spark = texts.sparkSession
     live = texts.select("key", F.explode("roots").alias("node"), F.lit(None).cast("long").alias("was"))
-    leaves = None
+    tasks = _tasks(spark, live.count())
+    buckets = None
     for level in range(depth + 1):
         sizes = live.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        table = common.stored(live.join(sizes, "node"))
+        table = common.stored(live.join(sizes, "node").coalesce(tasks))
         split = (F.col("n") > limit) & (F.coalesce(F.col("n") <= DENSE * F.col("was"), F.lit(True)) if level < depth else F.lit(False))
-        done = table.filter(~split)
-        blocks = F.ceil(F.col("n") / limit).cast("int")
-        own = F.pmod(F.xxhash64("key"), blocks).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.when(F.col("n") > limit, blocks - 1).otherwise(0)))
-        done = done.select("key", "node", "n", F.when(F.col("n") > limit, own).otherwise(0).alias("own"), other.alias("other")).select(
-            "key", F.when(F.col("n") > limit, F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("node")).alias("leaf"))
-        leaves = done if leaves is None else leaves.unionByName(done)
+        done = table.filter(~split).select("key", "node", "n")
+        buckets = done if buckets is None else buckets.unionByName(done)
         rest = table.filter(split)
-        if level == depth or rest.isEmpty():
-            return leaves.distinct()
-        live = rest.select("key", "node", F.col("n").alias("was")).join(texts.select("key", "sketch"), "key").select("key", "node", "was", "sketch").mapInArrow(
-            _children, "key binary, node long, was long").distinct()
+        left = rest.count() if level < depth else 0
+        if not left:
+            return buckets
+        tasks = _tasks(spark, BRANCHES * left)
+        sketched = rest.select("key", "node", F.col("n").alias("was")).join(texts.select("key", "sketch"), "key").select("key", "node", "was", "sketch")
+        live = common.stored(sketched.coalesce(tasks).mapInArrow(_children, "key binary, node long, was long"))
+
+
+def _leaves(buckets: DataFrame, texts: DataFrame, limit: int) -> DataFrame:
+    """Comparisons that a text takes part in: leaf, node, side, key, nodes (all its buckets, ascending), sketch.
+
+    A bucket of at most ``limit`` texts is one leaf, compared whole (side 0). A larger one is dealt into blocks; a leaf is a block (side 0), or two of them,
+    whose texts (sides -1 and 1) are compared across only.
+    """
+    lists = buckets.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "n"))).alias("buckets"))
+    rows = lists.join(texts.select("key", "sketch"), "key").select("key", "sketch", F.col("buckets.node").alias("nodes"), F.explode("buckets").alias("bucket"))
+    blocks = F.when(F.col("bucket.n") > limit, F.ceil(F.col("bucket.n") / limit)).otherwise(1).cast("int")
+    rows = rows.select("key", "sketch", "nodes", F.col("bucket.node").alias("node"), blocks.alias("blocks"), F.pmod(F.xxhash64("key"), blocks).cast("int").alias("own"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    leaf = F.when(F.col("blocks") > 1, F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("node"))
+    return rows.select(leaf.alias("leaf"), "node", F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "key", "nodes", "sketch")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -140,92 +161,117 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield rest
 
 
-def _owned(leaf: int, leaves: list[list[int]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether ``leaf`` is the least bucket that texts ``a`` and ``b`` share, for each pair."""
+def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the texts to compare with each other in a leaf: those of its two blocks, or twice all."""
+    if side.any():
+        return np.flatnonzero(side < 0), np.flatnonzero(side > 0)
+    every = np.arange(len(side))
+    return every, every
+
+
+def _owned(node: int, nodes: pa.ListArray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether ``node`` is the least bucket that texts ``a`` and ``b`` share, for each pair. ``nodes`` has each text's buckets."""
     if len(a) <= 8:
-        return np.array([min(set(leaves[i]).intersection(leaves[j])) == leaf for i, j in zip(a.tolist(), b.tolist())], bool)
-    width = max(map(len, leaves))
-    wide = np.full((len(leaves), width), np.iinfo(np.int64).max)
-    for i, some in enumerate(leaves):
-        wide[i, :len(some)] = some
-    out = np.ones(len(a), bool)
-    for k in range(0, len(a), 200_000):
-        left, right = wide[a[k:k + 200_000]], wide[b[k:k + 200_000]]
-        earlier = np.zeros(len(left), bool)
-        for c in range(width):
-            earlier |= (left[:, c] < leaf) & (right == left[:, c:c + 1]).any(axis=1)
-        out[k:k + 200_000] = ~earlier
+        own = {i: set(nodes[i].as_py()) for i in {*a.tolist(), *b.tolist()}}
+        return np.array([min(own[i] & own[j]) == node for i, j in zip(a.tolist(), b.tolist())], bool)
+    of, values = np.repeat(np.arange(len(nodes)), np.diff(nodes.offsets.to_numpy())), nodes.flatten().to_numpy()
+    of, values = of[values < node], values[values < node]
+    _, at, often = np.unique(values, return_inverse=True, return_counts=True)
+    column = np.cumsum(often > 1) - 1
+    of, at = of[often[at] > 1], column[at[often[at] > 1]]
+    earlier = np.zeros((len(nodes), len(nodes)), bool)
+    for low in range(0, int(at.max()) + 1 if len(at) else 0, 1024):
+        holds = np.zeros((len(nodes), 1024), np.float32)
+        some = (at >= low) & (at < low + 1024)
+        holds[of[some], at[some] - low] = 1
+        earlier |= holds @ holds.T > 0
+    return ~earlier[a, b]
+
+
+def _agreeing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """At how many positions two sketches agree, for each of ``left`` and each of ``right``."""
+    if len(left) * len(right) <= 1024:
+        return (left[:, None, :] == right[None, :, :]).sum(axis=2)
+    out = np.zeros((len(left), len(right)), np.uint8)
+    for x, y in zip(np.ascontiguousarray(left.T), np.ascontiguousarray(right.T)):
+        out += x[:, None] == y[None, :]
     return out
 
 
+def _pairs(found: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs marked in ``found`` (left x right), each once."""
+    a, b = np.nonzero(np.triu(found, 1) if left is right else found)
+    return left[a], right[b]
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of each leaf with a partner whose sketch is not far and whose pair belongs to the leaf. Columns leaf, key, leaves, sketch."""
-    found: list[tuple[int, bytes]] = []
+    """Texts of each leaf with a partner whose sketch is not far and whose pair belongs to the leaf. Columns leaf, node, side, key, nodes, sketch; all but the
+    sketch are returned."""
+    found: list[pa.Table] = []
+    rows = 0
     for group in _groups(batches):
         m = len(group)
         if m < 2:
             continue
-        leaf = group.column(0)[0].as_py()
-        keys, leaves = group.column(1).to_pylist(), group.column(2).to_pylist()
-        sketch = np.frombuffer(b"".join(group.column(3).to_pylist()), np.uint32).reshape(m, POSITIONS)
-        hit = np.zeros(m, bool)
-        for i in range(0, m, 64):
-            same = (sketch[i:i + 64, None, :] == sketch[None, :, :]).sum(axis=2)
-            a, b = np.nonzero(same >= FAR * POSITIONS)
-            a, b = (a + i)[a + i < b], b[a + i < b]
-            if len(a):
-                own = _owned(leaf, leaves, a, b)
-                hit[a[own]] = hit[b[own]] = True
-        found += [(leaf, keys[i]) for i in np.flatnonzero(hit).tolist()]
-        if len(found) > 10_000:
-            yield _pairs(found)
-            found = []
-    yield _pairs(found)
-
-
-def _pairs(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["leaf", "key"])
-
-
-def _shared(sets: list[np.ndarray]) -> np.ndarray:
-    """Numbers of shared shingles of all pairs of sets."""
+        left, right = _sides(group.column(2).to_numpy())
+        sketch = np.frombuffer(b"".join(group.column(5).to_pylist()), np.uint32).reshape(m, POSITIONS)
+        a, b = _pairs(_agreeing(sketch[left], sketch[right]) >= FAR * POSITIONS, left, right)
+        if not len(a):
+            continue
+        own = _owned(group.column(1)[0].as_py(), _list(group.column(4)), a, b)
+        hit = np.unique(np.concatenate([a[own], b[own]]))
+        if len(hit):
+            found.append(group.select([0, 1, 2, 3, 4]).take(pa.array(hit)))
+            rows += len(hit)
+        if rows > 10_000:
+            yield from pa.concat_tables(found).to_batches()
+            found, rows = [], 0
+    if found:
+        yield from pa.concat_tables(found).to_batches()
+
+
+def _list(column: pa.ChunkedArray) -> pa.ListArray:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Numbers of shared shingles of the sets at ``left`` with those at ``right``."""
     m = len(sets)
-    if m == 2:
-        n = len(np.intersect1d(*sets, assume_unique=True))
-        return np.array([[len(sets[0]), n], [n, len(sets[1])]])
+    if m == 2 and left is not right:
+        return np.array([[len(np.intersect1d(*sets, assume_unique=True))]])
     of = np.repeat(np.arange(m), [len(s) for s in sets])
     _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     column = np.cumsum(often > 1) - 1
     use = often[at] > 1
     of, at = of[use], column[at[use]]
-    out = np.zeros((m, m), np.float32)
+    out = np.zeros((len(left), len(right)), np.float32)
     order = np.argsort(at, kind="stable")
     of, at = of[order], at[order]
     for low in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
         a, b = np.searchsorted(at, [low, low + 4096])
         some = np.zeros((m, 4096), np.float32)
         some[of[a:b], at[a:b] - low] = 1
-        out += some @ some.T
+        out += some[left] @ some[right].T
     return out.astype(np.int64)
 
 
 def _linker(threshold: float):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links and a root for each text of a leaf. Columns leaf, key, leaves, copies, shingles."""
+        """Links and a root for each text of a leaf. Columns leaf, node, side, key, nodes, copies, shingles."""
         rows: list[tuple[bytes, int, bytes]] = []
         for group in _groups(batches):
             m = len(group)
             if m < 2:
                 continue
-            leaf = group.column(0)[0].as_py()
-            keys, leaves, copies = group.column(1).to_pylist(), group.column(2).to_pylist(), group.column(3).to_numpy()
-            sets = [np.frombuffer(s, np.uint64) for s in group.column(4).to_pylist()]
+            left, right = (np.array([0]), np.array([1])) if m == 2 else _sides(group.column(2).to_numpy())
+            keys, copies = group.column(3).to_pylist(), group.column(5).to_numpy()
+            sets = [np.frombuffer(s, np.uint64) for s in group.column(6).to_pylist()]
             size = np.array([len(s) for s in sets])
-            both = _shared(sets)
-            a, b = np.nonzero(np.triu(both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9, 1))
+            both = _shared(sets, left, right)
+            a, b = _pairs(both >= threshold * (size[left][:, None] + size[right][None, :] - both) - 1e-9, left, right)
             if not len(a):
                 continue
-            own = _owned(leaf, leaves, a, b)
+            own = _owned(group.column(1)[0].as_py(), _list(group.column(4)), a, b)
             a, b = a[own], b[own]
             links = np.bincount(a, copies[b], m) + np.bincount(b, copies[a], m)
             root = np.arange(m)
@@ -266,14 +312,15 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """``key`` and the least key ``label`` of its connected component, over ``edges`` (key, root): labels take the least of their
     neighbours' and jump to their label's label until nothing changes."""
+    tasks = _tasks(edges.sparkSession, 2 * edges.count())
     both = common.stored(edges.filter("key != root").select("key", F.col("root").alias("to")).unionByName(
-        edges.filter("key != root").select(F.col("root").alias("key"), F.col("key").alias("to"))).distinct())
-    labels = common.stored(both.groupBy("key").agg(F.least(F.min("key"), F.min("to")).alias("label")))
+        edges.filter("key != root").select(F.col("root").alias("key"), F.col("key").alias("to"))).distinct().coalesce(tasks))
+    labels = common.stored(both.groupBy("key").agg(F.least(F.min("key"), F.min("to")).alias("label")).coalesce(tasks))
     while True:
-        around = both.join(labels.select(F.col("key").alias("to"), F.col("label").alias("seen")), "to").groupBy("key").agg(F.min("seen").alias("seen"))
-        lower = labels.join(around, "key").select("key", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
+        around = both.join(labels.select(F.col("key").alias("to"), F.col("label").alias("seen")), "to").select("key", F.lit(None).cast("binary").alias("old"), "seen")
+        lower = around.unionByName(labels.select("key", F.col("label").alias("old"), F.col("label").alias("seen"))).groupBy("key").agg(F.min("old").alias("old"), F.min("seen").alias("label"))
         jumped = lower.join(labels.select(F.col("key").alias("label"), F.col("label").alias("far")), "label", "left")
-        table = common.stored(jumped.select("key", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
+        table = common.stored(jumped.select("key", "old", F.least("label", F.coalesce("far", "label")).alias("label")).coalesce(tasks))
         changed = not table.filter("label != old").isEmpty()
         labels = table.select("key", "label")
         if not changed:
@@ -291,15 +338,14 @@ def _classes(docs: DataFrame, threshold: float, recall: float, limit: int, depth
     sketched = common.stored(_sketched(rows, run_count(threshold, recall)))
     texts = common.stored(sketched.filter("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "sketch", "roots")).alias("s"), F.count("*").alias("copies"))
                           .select("key", F.col("s.doc_id").alias("doc_id"), "s.sketch", "s.roots", "copies"))
-    leaves = common.stored(_leaves(texts, limit, depth))
-    lists = leaves.groupBy("key").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))  # a text has a bounded number of runs and branches
+    leaves = _leaves(_buckets(texts, limit, depth), texts, limit)
     n = common.partitions(docs.sparkSession)
-    wide = lists.join(texts.select("key", "sketch"), "key").select(F.explode("leaves").alias("leaf"), "key", "leaves", "sketch")
-    near = common.stored(wide.repartition(n, "leaf").sortWithinPartitions("leaf").mapInArrow(_near, "leaf long, key binary"))
+    compared = "leaf long, node long, side int, key binary, nodes array<long>"
+    near = common.stored(leaves.repartition(n, "leaf").sortWithinPartitions("leaf").mapInArrow(_near, compared))
     wanted = near.select("key").distinct().join(texts.select("key", "doc_id", "copies"), "key")
     source = rows.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
     sets = source.mapInArrow(_shingles, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
-    full = near.join(wanted.join(sets, "key").select("key", "copies", "shingles"), "key").join(lists, "key").select("leaf", "key", "leaves", "copies", "shingles")
+    full = near.join(wanted.join(sets, "key").select("key", "copies", "shingles"), "key").select("leaf", "node", "side", "key", "nodes", "copies", "shingles")
     linked = common.stored(full.repartition(n, "leaf").sortWithinPartitions("leaf").mapInArrow(_linker(threshold), "key binary, links long, root binary"))
     labels = components(linked.select("key", "root"))
     of_text = texts.select("key", F.col("doc_id").alias("copy_of"), "copies").join(linked.groupBy("key").agg(F.sum("links").alias("links")), "key", "left").join(labels, "key", "left")

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from editlore.llm import chosen_path, decontamination, exact_topk
@@ -117,6 +118,60 @@ def test_chosen_path_equals_brute_force(spark, limit, depth):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == brute_classes(docs)
 
 
+def near_copies(n):
+    """Texts of one group that differ in one or two of 60 words."""
+    rng = random.Random(n)
+    base = [f"w{k}" for k in range(60)]
+    docs = []
+    for k in range(n):
+        words = list(base)
+        words[rng.randrange(60)] = f"x{k}"
+        words[rng.randrange(60)] = f"y{k % 3}"
+        docs.append((k, " ".join(words)))
+    return docs
+
+
+def test_near_copies_carry_their_buckets_and_meet_once_in_each(spark):
+    limit, depth, runs = 4, 2, chosen_path.run_count()
+    for n in (30, 120):
+        rows = documents(spark, near_copies(n)).selectExpr("doc_id", "text", "true AS given", "0L AS mark")
+        texts = chosen_path._sketched(rows, runs).select("key", "sketch", "roots")
+        buckets = chosen_path._buckets(texts, limit, depth)
+        leaves = chosen_path._leaves(buckets, texts, limit).collect()
+        assert max(len(r.nodes) for r in leaves) <= runs * chosen_path.BRANCHES**depth  # whatever the size of the group
+        met, sides = {}, {}
+        for r in leaves:
+            sides.setdefault((r.node, r.leaf), {}).setdefault(r.side, []).append(bytes(r.key))
+        for (node, _), side in sides.items():
+            whole = side.get(0, [])
+            assert not whole or len(side) == 1
+            pairs = [(a, b) for k, a in enumerate(whole) for b in whole[:k]] + [(a, b) for a in side.get(-1, []) for b in side.get(1, [])]
+            met.setdefault(node, []).extend(tuple(sorted(p)) for p in pairs)
+        of = {}
+        for r in buckets.collect():
+            of.setdefault(r.node, []).append(bytes(r.key))
+        assert any(len(keys) > 4 * limit for keys in of.values())
+        for node, keys in of.items():
+            assert sorted(met.get(node, [])) == sorted(tuple(sorted((a, b))) for k, a in enumerate(keys) for b in keys[:k])
+
+
+def test_a_large_group_of_near_copies_equals_brute_force(spark):
+    docs = near_copies(200) + [(1000 + k, f"other text number {k} of no group at all") for k in range(5)]
+    got = chosen_path.similarity_classes(documents(spark, docs), limit=6, depth=3).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == brute_classes(docs)
+
+
+def test_owned_pairs_are_those_of_the_least_shared_bucket():
+    rng = np.random.default_rng(9)
+    lists = [sorted({7, *rng.integers(-20, 20, 5).tolist()}) for _ in range(30)]
+    a, b = np.nonzero(np.triu(np.ones((30, 30)), 1))
+    want = [min(set(lists[i]) & set(lists[j])) == 7 for i, j in zip(a, b)]
+    nodes = pa.array([[0], *lists], pa.list_(pa.int64())).slice(1)
+    assert any(want) and not all(want)
+    assert chosen_path._owned(7, nodes, a, b).tolist() == want
+    assert [chosen_path._owned(7, nodes, a[k:k + 1], b[k:k + 1])[0] for k in range(60)] == want[:60]
+
+
 def test_chosen_path_repeated_rows_and_nothing(spark):
     docs = documents(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")])
     assert sorted(tuple(r) for r in chosen_path.similarity_classes(docs).collect()) == [(1, 1, 1, 3, 2), (1, 1, 1, 3, 2), (2, 1, 1, 3, 2)]
