@@ -1,6 +1,9 @@
+import threading
+
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.sql import functions as F
 
 from editlore.operators import neighbours
@@ -153,12 +156,68 @@ def test_forests_keep_the_place_of_rows_in_their_trees(spark):
     assert kept.fit(rows).toDebugString.split("\n", 1)[1] == plain.toDebugString.split("\n", 1)[1]
 
 
+def test_candidates_fitted_at_the_same_time_have_their_own_job_properties(spark, monkeypatch):
+    make, both, seen = search.forest, threading.Barrier(2, timeout=120), []
+
+    def marked(label, chosen):
+        name = str(chosen["numTrees"]) + str(threading.get_ident())
+        spark.sparkContext.setLocalProperty("candidate", name)
+        both.wait()  # two candidates are fitted at the same time
+        seen.append(spark.sparkContext.getLocalProperty("candidate") == name)
+        return make(label, chosen)
+
+    monkeypatch.setattr(search, "forest", marked)
+    rows = spark.createDataFrame([(Vectors.dense([float(i % 3), float(i)]), float(i % 3 == 0), 1.0, i % 2) for i in range(40)],
+                                 ["features", "label", "weight", "fold"])
+    assert len(search.fold_scores(rows, "label", GRID, folds=2, at_once=2)) == 4
+    assert seen == [True] * 4
+
+
 def test_search_without_a_class(spark):
     found = searched(points(spark, positive=0), folds=2)
     assert all((r.num_predicted, r.f1) == (0, 0.0) for r in found.scores.collect())
     assert {r.prediction for r in found.tested.collect()} == {0.0}
 
 
+def test_training_rows_lie_in_few_partitions(spark, monkeypatch):
+    monkeypatch.setattr(search, "TASK_ROWS", 30)
+    rows = points(spark).repartition(7)
+    assert [search.dealt(rows, n).rdd.getNumPartitions() for n in (0, 30, 31, 90, 900)] == [1, 1, 2, 3, 7]
+    assert search.dealt(rows, 90).count() == 90
+    dealt = []
+    scored = search.fold_scores
+    monkeypatch.setattr(search, "fold_scores", lambda rows, *more: dealt.append(rows.rdd.getNumPartitions()) or scored(rows, *more))
+    searched(rows, folds=2)  # 72 of the 90 rows are for training
+    assert dealt == [3]
+
+
+def test_both_groups_are_fitted_on_features_stored_once(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(classify, "materialise", lambda df: stored.append(df) or df.cache())
+    monkeypatch.setattr(classify, "fit_forest", lambda train, test, *_: (train.count(), test.count()))
+    names = sorted({c for group in classify.GROUPS for kind in classify.features_for(group) for c in kind})
+    features = spark.range(10).select(
+        "id", F.when(F.col("id") == 9, "rank").otherwise("").alias("change_target"), *(F.lit("UPDATE" if c == "action" else "1").alias(c) for c in names),
+        F.when(F.col("id") < 3, classify.GROUPS[0]).otherwise(classify.GROUPS[1]).alias("model_group"),
+        F.when(F.col("id") % 2 == 0, "train").otherwise("test").alias("split"))
+    assert classify.train_predictors(features) == {classify.GROUPS[0]: (2, 1), classify.GROUPS[1]: (3, 3)} and len(stored) == 1
+
+
+def test_forests_get_dense_vectors_and_are_the_same(spark):
+    train = spark.createDataFrame([("abcdefghij"[i % 10], float(i % 7), int(i % 4 == 0)) for i in range(80)], "c string, x double, label int")
+    fitted = classify.preprocessing(["x"], ["c"], []).fit(train)
+    rows = fitted.transform(train).withColumns({"label": F.col("label").cast("double"), "weight": F.lit(1.0)}).cache()
+    assert {type(r.features) for r in rows.select("features").collect()} == {DenseVector}
+    attributes = rows.schema["features"].metadata["ml_attr"]["attrs"]
+    assert sorted(a["name"] for kind in attributes.values() for a in kind)[:2] == ["c_hot_a", "c_hot_b"]
+    sparse = PipelineModel(stages=fitted.stages[:-1]).transform(train).withColumnRenamed("assembled", "features").withColumns(
+        {"label": F.col("label").cast("double"), "weight": F.lit(1.0)}).cache()
+    assert sparse.first().features.numNonzeros() < sparse.first().features.size / 2
+    forest = search.forest("label", search.candidates(GRID)[0])
+    shown = [forest.fit(df).toDebugString.split("\n", 1)[1] for df in (rows, sparse)]
+    assert shown[0] == shown[1]
+
+
 def test_fold_sizes_and_weights(spark):
     found = search.fold_sizes(points(spark), "label", [], ["id"]).collect()
     assert sum(r.num_rows for r in found) == 90
